@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.shipping import ship
+
 #: Used only where the session names no checkpoint folder (tests on one machine).
 LOCAL_DIR = "/tmp/checkpoints"
 
@@ -27,6 +30,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """`df.mapInArrow`, with this package sent to the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
