@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact, linealign, minhash, quality, secrets, sharding, toxicity
+from . import bpe, decontam, exact, linealign, minhash, quality, secrets, sharding, suffix, toxicity
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,14 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.remove_repeats(documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    return out.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality.score(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -76,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op5_toxicity": op5_toxicity,
     "op6_secrets": op6_secrets,
     "op7_sharding": op7_sharding,
+    "op8_suffix": op8_suffix,
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
 }
