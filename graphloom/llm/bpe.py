@@ -14,16 +14,16 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import map_arrow, text_of
 
 #: Chunks per cache generation; a worker holds two.
-CACHE = 150_000
+CACHE = 250_000
 
 
 def byte_letters() -> list[str]:
@@ -33,6 +33,23 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+class Seen(dict):
+    """Results by piece of text, in two generations of at most `most` each; long pieces are not kept."""
+
+    def __init__(self, of: Callable[[str], tuple[str, str]], most: int):
+        super().__init__()
+        self.of, self.most, self.old = of, most, {}
+
+    def __missing__(self, piece: str) -> tuple[str, str]:
+        got = self.old.get(piece) or self.of(piece)
+        if len(piece) <= 48:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = got
+        return got
+
+
 class WordBpe:
     """A BPE tokenizer with word ends: normalise, split into words, map bytes to letters, merge."""
 
@@ -59,7 +76,7 @@ class WordBpe:
         splitter = next(p for p in t["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.word = regex.compile(splitter["pattern"]["Regex"])
         self.apart = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.cache, self.new, self.old = cache, {}, {}
+        self.seen = Seen(self.chunk, cache)
 
     def merge(self, word: bytes) -> list[int]:
         """Token ids of one word."""
@@ -101,54 +118,38 @@ class WordBpe:
                     push(queue, (r << bits) | h)
         return [x for x in ids if x >= 0]
 
-    def chunk(self, chunk: str) -> tuple[str, int, str]:
-        """Of a piece without white space: ids and token strings, each joined by spaces, and their number."""
-        ids: list[int] = []
-        for word in self.word.findall(chunk):
-            ids += self.merge(word.encode())
-        return " ".join(map(str, ids)), len(ids), " ".join([self.strings[i] for i in ids])
+    def chunk(self, chunk: str) -> tuple[str, str]:
+        """Of a piece without white space: ids and token strings, each joined by spaces."""
+        words = self.word.findall(chunk)
+        if len(words) > 1:
+            parts = [*map(self.seen.__getitem__, words)]
+            return " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+        ids = self.merge(chunk.encode())
+        return " ".join(map(str, ids)), " ".join([self.strings[i] for i in ids])
 
-    def _plain(self, text: str, ids: list[str], strings: list[str]) -> int:
+    def _plain(self, text: str) -> list[tuple[str, str]]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
             # letter by letter, as the final sigma is not told from others
-            text = self.spaces.sub(" ", text).replace("Σ", "σ").lower()
-            chunks = text.split(" ")
-        else:
-            text = text.lower()
-            # ASCII white space here is tab to carriage return and space, not the separators 1C to 1F
-            chunks = text.split() if not any(c in text for c in "\x1c\x1d\x1e\x1f") else self.spaces.split(text)
-        n, new = 0, self.new
-        for c in chunks:
-            got = new.get(c)
-            if got is None:
-                if not c:
-                    continue
-                got = self.old.get(c) or self.chunk(c)
-                if len(new) >= self.cache:
-                    self.old, self.new = new, {}
-                    new = self.new
-                if len(c) <= 64:
-                    new[c] = got
-            if got[1]:
-                ids.append(got[0])
-                strings.append(got[2])
-                n += got[1]
-        return n
+            text = self.spaces.sub(" ", text).replace("Σ", "σ")
+        text = text.lower()
+        # split() also cuts at the separators 1C to 1F, which are not white space here
+        chunks = text.split() if not any(c in text for c in "\x1c\x1d\x1e\x1f") else [c for c in self.spaces.split(text) if c]
+        return [*map(self.seen.__getitem__, chunks)]
 
     def encode(self, text: str) -> tuple[str, int, str]:
         """Ids of the whole text joined by spaces, their number, and the decoded text."""
-        ids: list[str] = []
-        strings: list[str] = []
-        n = at = 0
-        if self.apart is not None:
+        if self.apart is None or not self.apart.search(text):
+            parts = self._plain(text)
+        else:
+            parts, at = [], 0
             for m in self.apart.finditer(text):
-                n += self._plain(text[at : m.start()], ids, strings) + 1
-                ids.append(str(self.special[m[0]]))
-                strings.append(m[0])
+                parts += self._plain(text[at : m.start()])
+                parts.append((str(self.special[m[0]]), m[0]))
                 at = m.end()
-        n += self._plain(text[at:] if at else text, ids, strings)
-        return " ".join(ids), n, " ".join(strings)
+            parts += self._plain(text[at:])
+        ids = " ".join([p[0] for p in parts])
+        return ids, ids.count(" ") + bool(ids), " ".join([p[1] for p in parts])
 
     def ids(self, text: str) -> list[int]:
         return [int(x) for x in self.encode(text)[0].split()]
@@ -181,6 +182,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         config = spark.sparkContext.broadcast(f.read())  # a fixed file of about 2 MB
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         bpe = loaded(config.value)
@@ -194,7 +196,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                 cols[1].append(hashlib.sha256(joined.encode()).hexdigest())
                 cols[2].append(hashlib.sha256(decoded.encode()).hexdigest())
                 if ids:
-                    cols[3].append([int(x) for x in joined.split()])
+                    cols[3].append(np.fromstring(joined, np.int32, sep=" "))
             arrays = [batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:
@@ -204,4 +206,4 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * ids
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
