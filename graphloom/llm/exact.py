@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import text_of
+from .common import NULL_ID, text_of, written
 
 MAX_HOT = 512
 TRACKED = 8192
+#: Keys of dropped rows up to which they are broadcast; beyond, both sides shuffle.
+BROADCAST_IDS = 500_000
 
 
 def exact_dedup(
@@ -54,6 +56,22 @@ def exact_dedup(
     return settled.unionByName(shuffled)
 
 
+def select(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, that `exact_dedup` keeps; of rows that repeat id and text, one."""
+    told = written(exact_dedup(docs, id_col, text_col).select("doc_id", "text_sha256", "kept"), "exact-told")
+    key = [F.coalesce(F.col("doc_id"), F.lit(NULL_ID).cast("long")).alias("_id"), F.col("text_sha256").alias("_sha")]
+    of = told.select(*key, "kept").groupBy("_id", "_sha").agg(F.max("kept").alias("stays"), F.count("*").alias("c"))
+    lost = written(of.where("NOT stays OR c > 1"), "exact-lost")
+    if lost.count() <= BROADCAST_IDS:
+        lost = F.broadcast(lost)
+    rows = docs.select(
+        F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID).cast("long")).alias("_id"),
+        F.sha2(text_of(text_col), 256).alias("_sha"),
+    ).join(lost, ["_id", "_sha"], "left")
+    once = rows.where("stays").dropDuplicates(["_id", "_sha"])
+    return rows.where("stays IS NULL").unionByName(once).select("row.*")
+
+
 #: Rows that repeat an id and its text do not occur in the tables this runs on.
 SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

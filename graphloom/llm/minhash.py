@@ -210,3 +210,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def select(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, that `near_dedup` keeps: of each component that of the least id."""
+    lost = written(near_dedup(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_lost")).distinct(), "minhash-lost")
+    if lost.count() <= BROADCAST_IDS:
+        lost = F.broadcast(lost)
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("_key"))
+    return rows.join(lost, F.col("_key") == F.col("_lost"), "left_anti").select("row.*")
