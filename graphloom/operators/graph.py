@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import confidence_weight, is_test_file, min_max, path_tokens, token_estimate, token_set
+from graphloom.storage import written
 
 WEIGHTS = {"graph": 0.35, "sem": 0.30, "conf": 0.20, "hint": 0.10, "pen": 0.05}
 
@@ -177,47 +178,44 @@ def personalization(files: DataFrame, text: str) -> DataFrame:
     return raw.crossJoin(F.broadcast(total)).select("file", F.when(F.col("total") > 0, F.col("raw") / F.col("total")).otherwise(1 / F.col("n")).alias("p"))
 
 
-def pagerank(graph: DataFrame, person: DataFrame, alpha: float = 0.85, iterations: int = 100, tolerance: float = 1e-6, check: int = 10) -> DataFrame:
+def pagerank(graph: DataFrame, person: DataFrame, alpha: float = 0.85, iterations: int = 100, tolerance: float = 1e-6, check: int = 3) -> DataFrame:
     """`file, rank` by power iteration of `graph(src, dst, weight)` with restarts and dangling mass by `person(file, p)`.
 
     Every `check` steps the ranks are written to the checkpoint folder, which cuts the lineage, and the change is tested.
     """
-    spark = graph.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    links = row_normalized(graph).select("src", "dst", F.col("p").alias("w"))
-    node = person.select("file", "p").join(links.select(F.col("src").alias("file"), F.lit(1).alias("linked")).distinct(), "file", "left").checkpoint()
-    links = links.checkpoint()
+    links = written(row_normalized(graph).select("src", "dst", "p"), "links")
+    node = written(person.select("file", "p"), "nodes")
     n = node.count()
-    if not n:
-        return person.select("file", F.col("p").alias("rank"))
-    ranks = node.select("file", "p", "linked", F.lit(1.0 / n).alias("r"))
-    for i in range(1, iterations + 1):
-        got = ranks.join(links, ranks.file == links.src).groupBy(F.col("dst").alias("file")).agg(F.sum(F.col("r") * F.col("w")).alias("in"))
-        dangling = ranks.where("linked IS NULL").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("d"))
-        new = F.lit(1 - alpha) * F.col("p") + F.lit(alpha) * (F.coalesce("in", F.lit(0.0)) + F.col("d") * F.col("p"))
-        nxt = ranks.join(got, "file", "left").crossJoin(F.broadcast(dangling)).select("file", "p", "linked", new.alias("new"), F.col("r").alias("old"))
-        if i % check == 0 or i == iterations:
-            nxt = nxt.checkpoint()
-            if nxt.agg(F.sum(F.abs(F.col("new") - F.col("old")))).first()[0] < tolerance * n:
-                ranks = nxt.withColumnRenamed("new", "r")
-                break
-        ranks = nxt.select("file", "p", "linked", F.col("new").alias("r"))
+    ranks = node.withColumn("r", F.lit(1.0 / max(n, 1)))
+    done = 0
+    while n and done < iterations:
+        steps = min(check, iterations - done)
+        nxt = written(_steps(ranks, links, steps, alpha), "ranks")
+        done += steps
+        moved = nxt.join(ranks.select("file", F.col("r").alias("old")), "file").agg(F.sum(F.abs(F.col("r") - F.col("old")))).first()[0]
+        ranks = nxt
+        if moved < tolerance * n:
+            break
     total = ranks.agg(F.sum("r").alias("total"))
     return ranks.crossJoin(F.broadcast(total)).select("file", (F.col("r") / F.col("total")).alias("rank"))
 
 
+def _steps(ranks: DataFrame, links: DataFrame, steps: int, alpha: float) -> DataFrame:
+    """`steps` iterations of `ranks(file, p, r)`. Ranks sum to 1, so the dangling mass is what links did not carry on."""
+    e = links.select("src", "dst", F.col("p").alias("w"))
+    for _ in range(steps):
+        got = ranks.select(F.col("file").alias("src"), "r").join(e, "src").groupBy(F.col("dst").alias("file")).agg(F.sum(F.col("r") * F.col("w")).alias("got"))
+        carried = got.agg(F.coalesce(F.sum("got"), F.lit(0.0)).alias("carried"))
+        lost = F.lit(1.0) - F.col("carried")
+        new = F.lit(1 - alpha) * F.col("p") + F.lit(alpha) * (F.coalesce("got", F.lit(0.0)) + lost * F.col("p"))
+        ranks = ranks.select("file", "p").join(got, "file", "left").crossJoin(F.broadcast(carried)).select("file", "p", new.alias("r"))
+    return ranks
+
+
 def pagerank_fixed(links: DataFrame, person: DataFrame, steps: int, alpha: float = 0.85) -> DataFrame:
     """`steps` unrolled iterations over `links(src, dst, p)`, one plan without actions: `file, rank`."""
-    node = person.select("file", "p").join(links.select(F.col("src").alias("file"), F.lit(1).alias("linked")).distinct(), "file", "left")
-    node = node.withColumn("r", 1.0 / F.count("*").over(Window.partitionBy()))
-    for _ in range(steps):
-        got = node.join(links, node.file == links.src).groupBy(F.col("dst").alias("file")).agg(F.sum(node.r * links.p).alias("in"))
-        dangling = node.where("linked IS NULL").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("d"))
-        node = node.join(got, "file", "left").crossJoin(F.broadcast(dangling)).select(
-            "file", "p", "linked", (F.lit(1 - alpha) * F.col("p") + F.lit(alpha) * (F.coalesce("in", F.lit(0.0)) + F.col("d") * F.col("p"))).alias("r")
-        )
-    return node.select("file", F.col("r").alias("rank"))
+    start = person.select("file", "p").crossJoin(F.broadcast(person.agg(F.count("*").alias("n")))).select("file", "p", (1.0 / F.col("n")).alias("r"))
+    return _steps(start, links, steps, alpha).select("file", F.col("r").alias("rank"))
 
 
 def budget_prefix(lines: DataFrame, budget: int, group: Sequence[str] = ()) -> DataFrame:
