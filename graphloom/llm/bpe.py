@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, text_of
+from .common import map_arrow, pieces, text_of
 
 #: Chunks per cache generation; a worker holds two.
 CACHE = 250_000
@@ -186,7 +186,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         import pyarrow as pa
 
         bpe = loaded(config.value)
-        for batch in batches:
+        for batch in pieces(batches):
             text = batch.column(1)
             cols: list[list] = [[], [], [], []]
             # texts are read one by one: a batch's result holds digests, and ids only where asked for

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +36,13 @@ def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def pieces(batches: Iterator, rows: int = 512) -> Iterator:
+    """Arrow batches in slices, so that what a function makes of one at a time stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -78,8 +85,7 @@ def components(edges: DataFrame, name: str, rounds_between: int = 2) -> DataFram
     """
     both = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = written(both, f"{name}-cc")
-    before = None
-    while True:
+    while not _stars(now):
         for _ in range(rounds_between):
             # large star: larger neighbours of u link to the least of u and its neighbours
             sym = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -95,9 +101,10 @@ def components(edges: DataFrame, name: str, rounds_between: int = 2) -> DataFram
                 .union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
             )
         now = written(now, f"{name}-cc")
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before:
-            return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(
-                now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        before = mark
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _stars(links: DataFrame) -> bool:
+    """Whether every node links to one other at most, and none that is linked to links on."""
+    ends = links.select(F.col("u").alias("n"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(links.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("n").agg(F.sum("a").alias("a"), F.max("b").alias("b")).where("a > 1 OR (a > 0 AND b > 0)").limit(1).count() == 0

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_back, map_arrow, row_key, text_of, written
+from .common import id_back, map_arrow, pieces, row_key, text_of, written
 
 #: Holders up to which all pairs of a line are aligned.
 RARE = 12
@@ -85,7 +85,7 @@ def _lines(batches: Iterator) -> Iterator:
     import pyarrow as pa
     import xxhash
 
-    for batch in batches:
+    for batch in pieces(batches):
         hashes, sizes = [], []
         for t in batch.column(2):
             lines = [x.strip() for x in t.as_py().split("\n")]
@@ -101,7 +101,7 @@ def _lines(batches: Iterator) -> Iterator:
 def _align(batches: Iterator, least: int) -> Iterator:
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in pieces(batches):
         out = []
         for late, sizes, early in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
             out.append(blocks(patience(late.as_py(), early.as_py()), sizes.as_py(), least))

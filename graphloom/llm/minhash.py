@@ -7,8 +7,10 @@ about the square root of what independent tables take. Documents of similarity s
 
 Groups of one table key are not expanded into all pairs. Documents of equal shingle sets are one node. In a first round
 each member is compared with a few centres of its groups, chosen by hash; components of the verified links follow. Where
-a group still spans several components, the members outside its largest one are compared with all members of other
-components - so of the pairs in a group only those that cannot change the components are left out, and no cap is needed.
+a member and a centre of its group ended in different components, other members of those could still link them. These
+components are gathered, with the shingles of their nodes, and compared in blocks: a task counts common shingles between
+the nodes of two blocks through an inverted index, and tells only which components are linked, at most one row for each.
+No pair that could link is left out, no cap is needed, and no rows are made for pairs.
 """
 
 from __future__ import annotations
@@ -20,8 +22,9 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import components, map_arrow, written
+from .common import components, map_arrow, pieces, written
 
 SHINGLE = 5
 SIDE = 12
@@ -29,6 +32,8 @@ SIDE = 12
 SHARE = 75
 #: Up to so many ids (8 bytes each) are broadcast to read their texts again; beyond, the texts are shuffled to them.
 BROADCAST_IDS = 500_000
+#: Nodes of a block; a task compares two.
+BLOCK = 512
 
 _RANDOM = np.random.default_rng(20240229)
 _POSITION = _RANDOM.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -47,7 +52,7 @@ class Words(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         if len(word) <= 64:
             self[word] = h
@@ -82,7 +87,7 @@ def _signatures(batches: Iterator) -> Iterator:
 
     words = Words()
     kind = pa.list_(pa.int64())
-    for batch in batches:
+    for batch in pieces(batches):
         n, d1, d2, a, b = [], [], [], [], []
         for t in batch.column(1):
             h = shingles(t.as_buffer().to_pybytes(), words)
@@ -103,7 +108,7 @@ def _sets(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     words = Words()
-    for batch in batches:
+    for batch in pieces(batches):
         sets = [shingles(t.as_buffer().to_pybytes(), words).tobytes() for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
 
@@ -122,17 +127,61 @@ def _verified(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["x", "y", "linked"])
 
 
+def _links(table):
+    """Of one pair of blocks: links between components that the nodes' sets show, without those that others imply."""
+    import pyarrow as pa
+
+    parts = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+    comp, side = table["comp"].to_numpy(), table["block"].to_numpy()
+    low, high = table["lo"][0].as_py(), table["hi"][0].as_py()
+    sizes = np.array([len(p) for p in parts])
+    owner = np.repeat(np.arange(len(parts)), sizes)
+    _, ids, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    ids = ids.ravel()
+    order = np.argsort(ids, kind="stable")
+    posting, start = owner[order], np.concatenate(([0], np.cumsum(count)))
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    parent = {c: c for c in np.unique(comp).tolist()}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    out: list[tuple[int, int]] = []
+    for x in np.flatnonzero(side == low).tolist():
+        own = ids[at[x] : at[x + 1]]
+        own = own[count[own] > 1]
+        if not len(own):
+            continue
+        meets = np.concatenate([posting[start[i] : start[i + 1]] for i in own.tolist()])
+        shared = np.bincount(meets, minlength=len(parts))
+        near = (100 * shared >= SHARE * (sizes + sizes[x] - shared)) & (side == high) & (comp != comp[x])
+        for c in np.unique(comp[near]).tolist():
+            a, b = root(int(comp[x])), root(c)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((int(comp[x]), c))
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text")
     )
 
 
+def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    ids = written(ids, "minhash-ids")
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return texts.join(wanted, F.col("doc_id") == F.col("node"), "left_semi")
+
+
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """`pairs(x, y)` with `linked`, on the full sets. Rows of one id are one document; any of their sets will do."""
-    ids = written(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "minhash-ids")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = map_arrow(texts.join(wanted, F.col("doc_id") == F.col("node"), "left_semi"), _sets, "node long, shingles binary")
+    ids = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
+    sets = map_arrow(_texts_of(ids, texts), _sets, "node long, shingles binary")
     sets = sets.repartition("node")  # one shuffle of the sets serves both joins
     with_x = pairs.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("_x")), "x")
     with_both = with_x.join(sets.select(F.col("node").alias("y"), F.col("shingles").alias("_y")), "y")
@@ -143,6 +192,21 @@ def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("x"), F.greatest(x, y).alias("y")]
 
 
+def _across(apart: DataFrame, comp: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links `a, b` between components, where `apart(x, y)` are pairs of one table that are not linked directly."""
+    of = lambda df, n: df.join(comp.select(F.col("node").alias(n), F.col("component").alias(f"c{n}")), n, "left").withColumn(f"c{n}", F.coalesce(f"c{n}", n))
+    edges = of(of(apart, "x"), "y").where("cx <> cy").select(F.col("cx").alias("a"), F.col("cy").alias("b")).distinct()
+    family = written(components(edges, "minhash-families").select(F.col("node").alias("comp"), F.col("component").alias("family")), "minhash-families")
+    open_ = nodes.select("node").distinct().join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("comp")).join(family, "comp")
+    place = F.row_number().over(Window.partitionBy("family").orderBy("comp", "node")) - 1
+    open_ = open_.withColumn("block", F.floor(place / BLOCK)).withColumn("last", F.max("block").over(Window.partitionBy("family")))
+    open_ = written(open_, "minhash-open")
+    sets = map_arrow(_texts_of(open_.select("node"), texts), _sets, "node long, shingles binary")
+    dealt = open_.join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    dealt = dealt.select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "comp", "shingles")
+    return dealt.groupBy("family", "lo", "hi").applyInArrow(_links, "a long, b long")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: `doc_id, n_shingles, component_id, kept`.
 
@@ -168,36 +232,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # The centre of a group: least by a hash that depends on the first half only, so that a document has few centres.
     centres = rows.groupBy("k").agg(
         F.min(F.struct(F.xxhash64("node", "i").alias("h"), F.col("node").alias("c"), F.col("n").alias("cn"))).alias("m"), F.count("*").alias("size")
-    ).where("size > 1").select("k", "m.c", "m.cn", "size")
+    ).where("size > 1").select("k", "m.c", "m.cn")
     near = F.least("n", "cn") * 100 >= F.greatest("n", "cn") * SHARE
-    starred = rows.join(centres, "k").where("node <> c")
-    pairs = written(starred.where(near).select(*_ordered("node", "c")).distinct(), "minhash-pairs")
-    first = written(_verify(pairs, texts), "minhash-verified")
-    linked = first.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    comp = written(components(linked, "minhash"), "minhash-components")
-
-    # Groups that still span several components: members outside the largest one meet the rest.
-    of = lambda df: df.join(comp.withColumnRenamed("component", "_c"), "node", "left").withColumn("_c", F.coalesce("_c", "node"))
-    members = of(rows.join(centres.where("size > 2").select("k"), "k").select("k", "node", "n").distinct())
-    parts = members.groupBy("k", "_c").agg(F.count("*").alias("m"))
-    spanning = parts.groupBy("k").agg(F.max(F.struct("m", "_c")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = written(
-        members.join(spanning.select("k", F.col("top._c").alias("top")), "k").withColumn("minor", F.col("_c") != F.col("top")), "minhash-open"
-    )
-    left = open_.where("minor").select("k", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("_c").alias("pc"))
-    right = open_.select("k", F.col("node").alias("q"), F.col("n").alias("qn"), F.col("_c").alias("qc"), F.col("minor").alias("qm"))
-    across = (
-        left.join(right, "k").where("pc <> qc AND (NOT qm OR p < q)").where("least(pn, qn) * 100 >= greatest(pn, qn) * 75")
-        .select(*_ordered("p", "q")).distinct().join(pairs, ["x", "y"], "left_anti")
-    )
-    second = _verify(written(across, "minhash-pairs"), texts).where("linked")
-    of_x = comp.select(F.col("node").alias("x"), F.col("component").alias("cx"))
-    of_y = comp.select(F.col("node").alias("y"), F.col("component").alias("cy"))
-    joined = written(
-        second.join(of_x, "x", "left").join(of_y, "y", "left")
-        .select(F.coalesce("cx", "x").alias("a"), F.coalesce("cy", "y").alias("b")).where("a <> b").distinct(),
-        "minhash-across",
-    )
+    starred = rows.join(centres, "k").where("node <> c").select(*_ordered("node", "c"), near.alias("near")).distinct()
+    starred = written(starred, "minhash-pairs")
+    first = written(_verify(starred.where("near").select("x", "y"), texts).where("linked").select("x", "y"), "minhash-verified")
+    comp = written(components(first.select(F.col("x").alias("a"), F.col("y").alias("b")), "minhash"), "minhash-components")
+    apart = starred.select("x", "y").join(first, ["x", "y"], "left_anti")
+    joined = written(_across(apart, comp, nodes, texts), "minhash-across")
     merged = components(joined, "minhash").select(F.col("node").alias("_c"), F.col("component").alias("_m"))
     final = (
         nodes.select("d1", "d2", "node", F.col("n").alias("_nn")).join(comp.withColumnRenamed("component", "_c"), "node", "left")

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, pieces
 
 KINDS = ("assign", "access", "hex", "novel")
 
@@ -100,7 +100,7 @@ def _scan(batches: Iterator, least: float) -> Iterator:
 
     novelty = Novelty()
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("novelty", pa.float64())]))
-    for batch in batches:
+    for batch in pieces(batches):
         spans = [[{"kind": k, "start": a, "end": b, "novelty": x} for a, b, k, x in find(t.as_py(), novelty, least)] for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_back, map_arrow, row_key, text_of, written
+from .common import id_back, map_arrow, pieces, row_key, text_of, written
 
 LENGTH = 200
 CORE = 40
@@ -118,7 +118,7 @@ def _anchors(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     names = ["_id", "_h", "core", "pos", "end", "lead"]
-    for batch in batches:
+    for batch in pieces(batches):
         rows: list[list[np.ndarray]] = [[], [], [], []]
         which, local = [], []
         for k, t in enumerate(batch.column(2)):
@@ -151,7 +151,7 @@ def _around(batches: Iterator, splitters: np.ndarray, parts: int) -> Iterator:
     import pyarrow as pa
 
     span = np.arange(-LEFT, LENGTH)
-    for batch in batches:
+    for batch in pieces(batches):
         for k in range(batch.num_rows):
             data = np.frombuffer(batch.column(2)[k].as_buffer(), np.uint8)
             found = batch.column(3)[k].values
@@ -255,7 +255,7 @@ def _strings(batches: Iterator) -> Iterator:
     """A row for each string of LENGTH bytes around the anchor of a hot core: its digest and where it starts."""
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in pieces(batches):
         out: list[list] = [[], [], [], [], []]
         for k in range(batch.num_rows):
             text = batch.column(7)[k].as_py()
@@ -275,7 +275,7 @@ def _cut(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    for batch in batches:
+    for batch in pieces(batches):
         kept, size, spans = [], [], []
         for t, found in zip(batch.column(1), batch.column(2), strict=True):
             data = t.as_buffer().to_pybytes()
