@@ -23,8 +23,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
-from .training import MASK, MAX_TRAIN, Weights, adam, compact, sample, sigmoid, slot
+from .common import map_arrow, pieces
+from .training import MASK, MAX_TRAIN, Weights, adam, compact, sample, sigmoid, slot, summed
 
 STEPS, RATE, L2 = 200, 0.3, 1e-6
 #: A document stays if P(grade >= the second grade) is at least this.
@@ -80,13 +80,14 @@ def fit(cols: np.ndarray, values: np.ndarray, doc: np.ndarray, ratings: np.ndarr
 
     def gradient(x: np.ndarray) -> np.ndarray:
         theta, w = unpack(x), x[k:]
-        s = np.bincount(doc, values * w[col], n)
+        s = summed(doc, lambda p: values[p] * w[col[p]], n)
         high = np.where(y < k, sigmoid(theta[np.minimum(y, k - 1)] - s), 1.0)
         low = np.where(y > 0, sigmoid(theta[np.maximum(y - 1, 0)] - s), 0.0)
         p = np.maximum(high - low, 1e-9)
         up, down = high * (1 - high) / p, low * (1 - low) / p
         out = np.empty_like(x)
-        out[k:] = np.bincount(col, values * (up - down)[doc], len(found)) / n + L2 * w
+        slope = up - down
+        out[k:] = summed(col, lambda p: values[p] * slope[doc[p]], len(found)) / n + L2 * w
         by = np.zeros(k)
         np.add.at(by, np.minimum(y, k - 1), np.where(y < k, -up, 0) / n)
         np.add.at(by, np.maximum(y - 1, 0), np.where(y > 0, down, 0) / n)
@@ -102,7 +103,7 @@ def fit(cols: np.ndarray, values: np.ndarray, doc: np.ndarray, ratings: np.ndarr
 def _train_rows(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in pieces(batches):
         slots, values = [], []
         for t in batch.column(1):
             tokens = t.as_py().split()
@@ -124,8 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     texts = sample(docs, labels, label, max_rows).select("doc_id", "text", F.col("label").cast("int"))
     rows = map_arrow(texts, _train_rows, "doc_id long, label int, slots array<int>, vals array<float>").toArrow().sort_by("doc_id")
     slots = rows["slots"].combine_chunks()
-    doc = np.repeat(np.arange(len(slots)), np.diff(slots.offsets.to_numpy()))
-    return fit(slots.values.to_numpy().astype(np.int64), rows["vals"].combine_chunks().values.to_numpy().astype(float), doc, rows["label"].to_numpy())
+    doc = np.repeat(np.arange(len(slots), dtype=np.int32), np.diff(slots.offsets.to_numpy()))
+    return fit(slots.values.to_numpy(), rows["vals"].combine_chunks().values.to_numpy(), doc, rows["label"].to_numpy())
 
 
 def _score(batches: Iterator, model) -> Iterator:
@@ -141,7 +142,7 @@ def _score(batches: Iterator, model) -> Iterator:
     get = weight.__getitem__
     low = m.grades[0] if m.grades else 0
     steps = np.diff(m.grades)
-    for batch in batches:
+    for batch in pieces(batches):
         s = []
         for t in batch.column(1):
             tokens = t.as_py().split()

@@ -21,14 +21,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
-from .training import MASK, Weights, adam, compact, held_out, sample, sigmoid, slot
+from .common import map_arrow, pieces
+from .training import MASK, MAX_TRAIN, Weights, adam, compact, held_out, sample, sigmoid, slot, summed
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
 STEPS, RATE, L2 = 100, 0.1, 1e-4
-#: Documents to fit on.
-TRAIN_ROWS = 6_000
 
 
 def word_slots(word: str) -> tuple[int, ...]:
@@ -56,16 +54,18 @@ def fit(flat: np.ndarray, sizes: np.ndarray, doc: np.ndarray, labels: np.ndarray
         return Model(weights, base)
     sent = np.repeat(np.arange(many, dtype=np.int32), sizes)
     stay, col, found = compact(flat, doc[sent])
-    sent, col = sent[stay], col.astype(np.int32)
+    sent = sent[stay]
+    del stay
     pos = labels[doc] == 1
 
     def gradient(x: np.ndarray) -> np.ndarray:
-        z = x[-1] + np.bincount(sent, x[:-1][col], many) if len(col) else np.full(many, x[-1])
+        w = x[:-1]
+        z = x[-1] + summed(sent, lambda p: w[col[p]], many)
         total = np.bincount(doc, np.logaddexp(0, z), n)
         factor = np.where(pos, -1 / np.expm1(np.clip(total, 1e-9, 500))[doc], 1.0)
         g = sigmoid(z) * factor
         out = np.empty_like(x)
-        out[:-1] = np.bincount(col, g[sent], len(found)) / n + L2 * x[:-1]
+        out[:-1] = summed(col, lambda p: g[sent[p]], len(found)) / n + L2 * w
         out[-1] = g.sum() / n
         return out
 
@@ -77,7 +77,7 @@ def fit(flat: np.ndarray, sizes: np.ndarray, doc: np.ndarray, labels: np.ndarray
 def _train_rows(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in pieces(batches):
         slots = []
         for t in batch.column(1):
             slots.append([[*chain.from_iterable(map(word_slots, {*ws}))] for x in SENTENCE.findall(t.as_py().lower()) if (ws := WORD.findall(x))])
@@ -86,7 +86,7 @@ def _train_rows(batches: Iterator) -> Iterator:
         )
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = TRAIN_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_TRAIN) -> Model:
     texts = sample(docs, labels, label, max_rows).select("doc_id", "text", F.col("label").cast("int"))
     rows = map_arrow(texts, _train_rows, "doc_id long, label int, slots array<array<int>>").toArrow().sort_by("doc_id")
     slots = rows["slots"].combine_chunks()
@@ -104,7 +104,7 @@ def _score(batches: Iterator, model, least: float) -> Iterator:
     get, bias, exp, log1p = weight.__getitem__, m.bias, math.exp, math.log1p
     low = math.log(least / (1 - least))
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-    for batch in batches:
+    for batch in pieces(batches):
         scores, found = [], []
         for t in batch.column(1):
             text = t.as_py()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 BITS = 18
 MASK = (1 << BITS) - 1
 #: The most labelled rows that a model is fitted on, those with the least hash of their id.
-MAX_TRAIN = 12_000
+MAX_TRAIN = 4_000
 #: Features seen in fewer training documents than this keep weight 0.
 MIN_DF = 3
 
@@ -69,15 +69,31 @@ def adam(x: np.ndarray, gradient: Callable[[np.ndarray], np.ndarray], steps: int
 
 
 def compact(features: np.ndarray, doc: np.ndarray, min_df: int = MIN_DF) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keeps features of at least `min_df` documents: which entries stay, their columns, the columns' features."""
-    pairs = np.unique(features.astype(np.int64) * (int(doc.max()) + 1 if len(doc) else 1) + doc)
-    found, df = np.unique(pairs // (int(doc.max()) + 1 if len(doc) else 1), return_counts=True)
-    found = found[df >= min_df]
-    at = np.searchsorted(found, features)
-    at[at == len(found)] = 0
-    stay = found[at] == features if len(found) else np.zeros(len(features), bool)
+    """Keeps features of at least `min_df` documents: which entries stay, their columns, the columns' features.
+
+    `doc` is sorted; documents are counted a few at a time, so that little memory is needed.
+    """
+    df = np.zeros(MASK + 1, np.int32)
+    cuts = np.searchsorted(doc, np.arange(0, (int(doc[-1]) if len(doc) else 0) + 65, 64))
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        pairs = np.unique(doc[a:b].astype(np.int64) << BITS | features[a:b])
+        df += np.bincount(pairs & MASK, minlength=MASK + 1).astype(np.int32)
+    found = np.flatnonzero(df >= min_df)
+    column = np.full(MASK + 1, -1, np.int32)
+    column[found] = np.arange(len(found))
+    at = column[features]
+    stay = at >= 0
     return stay, at[stay], found
 
 
+def summed(index: np.ndarray, values: Callable[[slice], np.ndarray], size: int, step: int = 1 << 20) -> np.ndarray:
+    """`bincount` with weights, a stretch at a time."""
+    out = np.zeros(size)
+    for a in range(0, len(index), step):
+        part = slice(a, a + step)
+        out += np.bincount(index[part], values(part), size)
+    return out
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
