@@ -22,7 +22,6 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import components, map_arrow, pieces, written
 
@@ -198,8 +197,9 @@ def _across(apart: DataFrame, comp: DataFrame, nodes: DataFrame, texts: DataFram
     edges = of(of(apart, "x"), "y").where("cx <> cy").select(F.col("cx").alias("a"), F.col("cy").alias("b")).distinct()
     family = written(components(edges, "minhash-families").select(F.col("node").alias("comp"), F.col("component").alias("family")), "minhash-families")
     open_ = nodes.select("node").distinct().join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("comp")).join(family, "comp")
-    place = F.row_number().over(Window.partitionBy("family").orderBy("comp", "node")) - 1
-    open_ = open_.withColumn("block", F.floor(place / BLOCK)).withColumn("last", F.max("block").over(Window.partitionBy("family")))
+    # Nodes are dealt over blocks of about BLOCK by hash, so no task numbers a family's nodes.
+    last = open_.groupBy("family").agg(F.floor((F.count("*") - 1) / BLOCK).alias("last"))
+    open_ = open_.join(last, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("last") + 1))
     open_ = written(open_, "minhash-open")
     sets = map_arrow(_texts_of(open_.select("node"), texts), _sets, "node long, shingles binary")
     dealt = open_.join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last")))

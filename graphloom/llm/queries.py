@@ -91,4 +91,5 @@ QUERIES: dict[str, Query] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": exact.SQL,
+    "op7_sharding": sharding.duckdb_sql(),
 }

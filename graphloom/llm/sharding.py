@@ -103,3 +103,27 @@ def shard_rows(
         "doc_id", "size", "text_crc32", F.col("_row").alias("row_number"),
         F.pmod("_to", F.lit(shards)).cast("int").alias("shard"), F.expr(f"_to div {shards}").alias("slot"),
     )
+
+
+def duckdb_sql(shards: int = 24, key: int = KEY, buckets: int = BUCKETS) -> str:
+    """The `rows` law in DuckDB: a table-driven CRC, and a recursion over rounds that goes on while a point is outside."""
+
+    def mix(x: str, k: int) -> str:
+        mul, add = round_constants(key)[k]
+        y = f"((({x} % {PRIME}) * {mul} + {add}) % {PRIME})"
+        return f"(({y} * {y} % {PRIME}) * {y} % {PRIME})"
+
+    left = " ".join(f"WHEN {k} THEN (l + {mix('r', k)}) % a" for k in range(ROUNDS) if k % 2 == 0)
+    right = " ".join(f"WHEN {k} THEN (r + {mix('l', k)}) % b" for k in range(ROUNDS) if k % 2)
+    return f"""
+WITH RECURSIVE crc_table AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) x(i))),
+sized AS (SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 8)::BIGINT AS size,
+ xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) AS text_crc32,
+ {bucket_of("doc_id", buckets)} AS bucket FROM documents, crc_table),
+n AS (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS a FROM documents), grid AS (SELECT n, a, (n + a - 1) // a AS b FROM n),
+rows_ AS (SELECT *, row_number() OVER (ORDER BY bucket, doc_id) - 1 AS x FROM sized),
+walk AS (SELECT doc_id, n, a, b, x // b AS l, x % b AS r, 0 AS k FROM rows_, grid
+ UNION ALL SELECT doc_id, n, a, b, CASE k % {ROUNDS} {left} ELSE l END, CASE k % {ROUNDS} {right} ELSE r END, k + 1 FROM walk WHERE k = 0 OR k % {ROUNDS} <> 0 OR l * b + r >= n),
+done AS (SELECT doc_id, l * b + r AS p FROM walk WHERE k > 0 AND k % {ROUNDS} = 0 AND l * b + r < n)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (p % {shards})::INT AS shard, p // {shards} AS slot, NULL::INT AS grown_shard FROM sized JOIN done USING (doc_id)
+"""

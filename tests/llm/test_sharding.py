@@ -63,3 +63,17 @@ def test_partitioning_does_not_matter(spark):
 
 def test_empty(spark):
     assert shard_rows(table(spark, [])).count() == 0
+
+
+def test_equals_duckdb(spark):
+    import duckdb
+
+    from graphloom.llm.queries import ORACLE_SQL, QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for name in ("op4_exact_dedup", "op7_sharding"):
+        df = QUERIES[name](spark, sf)
+        want = c.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLE_SQL[name]})").fetchall()
+        assert sorted(map(tuple, df.collect())) == sorted(want)
