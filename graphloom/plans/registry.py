@@ -7,9 +7,12 @@ import time
 from collections.abc import Callable, Sequence
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.shipping import ship
+
 # Fixed names of the methods and of what they used to be called.
 METHODS = (
     "none", "oracle", "bm25", "raw_rag_fixed", "raw_rag_function", "rag_metadata", "rag_progressive", "gm_deterministic", "gm_progressive", "repomap_like",
@@ -47,10 +50,6 @@ def oracle_files(issues: DataFrame, **_: Any) -> DataFrame:
 
 def generate(rows: DataFrame, model: Callable[[list[str]], list[str]], prompt: str = "prompt", answer: str = "answer") -> DataFrame:
     """O1: `rows` with a model's answers, by batches; the model is any function of a list of prompts."""
-    import pandas as pd
-
-    from graphloom.shipping import ship
-
     ship(rows.sparkSession)
 
     @F.pandas_udf("string")

@@ -20,9 +20,14 @@ def latest_per_instance(stream: DataFrame) -> DataFrame:
     return stream.groupBy("run_id", "instance_id").agg(F.max_by("patch_status", "ts").alias("patch_status"), F.max("ts").alias("ts"))
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return rows.withWatermark("ts", late) if events.isStreaming else rows
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Sessions of each user's events; state older than the watermark is dropped."""
-    w = events.withWatermark("ts", late) if events.isStreaming else events
+    w = _timed(events, late)
     return w.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(
         "user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "value"
     )
@@ -30,7 +35,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
 
 def status_counts(events: DataFrame, every: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """Events by type in windows of time."""
-    w = events.withWatermark("ts", late) if events.isStreaming else events
+    w = _timed(events, late)
     return w.groupBy(F.window("ts", every).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
