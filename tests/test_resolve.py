@@ -3,6 +3,18 @@ import pytest
 from graphloom.operators import extract, resolve
 
 
+@pytest.fixture(autouse=True)
+def small(spark):
+    """A hundred tiny joins: planning costs more than running."""
+    quick = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "1", "spark.sql.codegen.wholeStage": "false"}
+    was = {k: spark.conf.get(k) for k in quick}
+    for k, v in quick.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in was.items():
+        spark.conf.set(k, v)
+
+
 def built(spark, files, low=True):
     df = spark.createDataFrame(list(files.items()), "path string, content string")
     nodes, edges = resolve.code_graph(df, low)
