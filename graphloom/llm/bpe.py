@@ -78,6 +78,11 @@ class WordBpe:
         self.apart = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.seen = Seen(self.chunk, cache)
 
+    def forget(self) -> None:
+        """Empties the cache; between tasks, so that an idle worker holds none."""
+        self.seen.clear()
+        self.seen.old = {}
+
     def merge(self, word: bytes) -> list[int]:
         """Token ids of one word."""
         n = len(word)
@@ -163,7 +168,7 @@ _LOADED: dict[str, WordBpe] = {}
 
 
 def loaded(config: str) -> WordBpe:
-    """One tokenizer, and so one cache, for each worker process."""
+    """One tokenizer for each worker process."""
     key = hashlib.sha256(config.encode()).hexdigest()
     if key not in _LOADED:
         _LOADED[key] = WordBpe(config)
@@ -186,6 +191,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         import pyarrow as pa
 
         bpe = loaded(config.value)
+        bpe.forget()
         for batch in pieces(batches):
             text = batch.column(1)
             cols: list[list] = [[], [], [], []]
@@ -203,6 +209,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                 arrays.append(pa.array(cols[3], pa.list_(pa.int32())))
                 names.append("token_ids")
             yield pa.RecordBatch.from_arrays(arrays, names)
+        bpe.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * ids

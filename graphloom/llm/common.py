@@ -30,10 +30,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Released:
+    """A function of Arrow batches after which the worker gives its memory back: Spark keeps workers for later stages."""
+
+    def __init__(self, function: Callable):
+        self.function = function
+
+    def __call__(self, batches: Iterator) -> Iterator:
+        try:
+            yield from self.function(batches)
+        finally:
+            release_memory()
+
+
+def release_memory() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
     """`df.mapInArrow`, with this package sent to the executors."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(Released(function), schema)
 
 
 def pieces(batches: Iterator, rows: int = 512) -> Iterator:
