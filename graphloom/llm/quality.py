@@ -22,8 +22,9 @@ from operator import eq
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_arrow, pieces
+from .common import map_arrow, pieces, release_memory
 from .training import MASK, MAX_TRAIN, Weights, adam, compact, sample, sigmoid, slot, summed
 
 STEPS, RATE, L2 = 200, 0.3, 1e-6
@@ -126,7 +127,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     rows = map_arrow(texts, _train_rows, "doc_id long, label int, slots array<int>, vals array<float>").toArrow().sort_by("doc_id")
     slots = rows["slots"].combine_chunks()
     doc = np.repeat(np.arange(len(slots), dtype=np.int32), np.diff(slots.offsets.to_numpy()))
-    return fit(slots.values.to_numpy(), rows["vals"].combine_chunks().values.to_numpy(), doc, rows["label"].to_numpy())
+    model = fit(slots.values.to_numpy(), rows["vals"].combine_chunks().values.to_numpy(), doc, rows["label"].to_numpy())
+    del rows, slots
+    release_memory()
+    return model
 
 
 def _score(batches: Iterator, model) -> Iterator:
@@ -150,7 +154,7 @@ def _score(batches: Iterator, model) -> Iterator:
         tails = m.tails(np.array(s, float))
         grade = low + tails @ steps if tails.shape[1] else np.full(len(s), float(low))
         tail = tails[:, 0] if tails.shape[1] else np.ones(len(s))
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(2, batch.num_columns)), pa.array(grade), pa.array(tail)], [*batch.schema.names[2:], "_grade", "_tail"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grade), pa.array(tail)], ["row", "grade", "tail"])
 
 
 def score(docs: DataFrame, model: Model, least_tail: float = LEAST_TAIL) -> DataFrame:
@@ -160,18 +164,20 @@ def score(docs: DataFrame, model: Model, least_tail: float = LEAST_TAIL) -> Data
     texts are scored by their emptiness alone. Where the labels held one grade or none, everything is kept. Null and
     repeated ids pass through; an empty table gives an empty result; other columns are ignored.
     """
-    return _scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).select(
-        "doc_id", F.col("_grade").alias("expected_grade"), F.col("_tail").alias("tail_probability"), (F.col("_tail") >= least_tail).alias("kept")
+    return _scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, ["doc_id"]).select(
+        F.col("row.doc_id").alias("doc_id"), F.col("grade").alias("expected_grade"), F.col("tail").alias("tail_probability"),
+        (F.col("tail") >= least_tail).alias("kept"),
     )
 
 
 def select(docs: DataFrame, model: Model, least_tail: float = LEAST_TAIL) -> DataFrame:
     """The rows of `docs`, with all their columns, that `score` keeps."""
-    return _scored(docs, model).where(F.col("_tail") >= least_tail).select(*docs.columns)
+    return _scored(docs, model, docs.columns).where(F.col("tail") >= least_tail).select("row.*")
 
 
-def _scored(docs: DataFrame, model: Model) -> DataFrame:
+def _scored(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
+    """`row, grade, tail`; a struct keeps the documents' own columns apart."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS floats
-    rows = docs.select(F.lit(0).alias("_0"), F.coalesce("text", F.lit("")).alias("_text"), *docs.columns)
-    schema = docs.schema.add("_grade", "double").add("_tail", "double")
+    rows = docs.select(F.struct(*columns).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    schema = T.StructType([rows.schema["row"], T.StructField("grade", T.DoubleType()), T.StructField("tail", T.DoubleType())])
     return map_arrow(rows, partial(_score, model=shared), schema)

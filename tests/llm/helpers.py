@@ -17,7 +17,7 @@ def clashing(df: DataFrame) -> DataFrame:
     """With more columns whose names operators might use themselves."""
     from pyspark.sql import functions as F
 
-    names = ["_id", "_h", "_k", "_n", "_row", "_bucket", "kept", "score", "size", "shard", "pos", "start", "component_id", "text_sha256", "key", "n"]
+    names = ["_id", "_h", "_k", "_n", "_row", "_bucket", "kept", "score", "size", "shard", "pos", "start", "component_id", "text_sha256", "key", "n", "row", "grade", "tail", "stays", "label", "windows", "_text"]
     return df.withColumns({n: F.lit("x") for n in names})
 
 
