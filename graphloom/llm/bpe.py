@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, pieces, text_of
 
 #: Chunks per cache generation; a worker holds two.
-CACHE = 250_000
+CACHE = 150_000
 
 
 def byte_letters() -> list[str]:
