@@ -1,3 +1,5 @@
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -59,6 +61,26 @@ def test_frequent_lines(spark):
     assert out.pop(0) == [] and all(d == [1, 2, 3] for d in out.values())
 
 
+def rows_with_frequent_blocks():
+    """Blocks of frequent lines that the first holder and the one before it lack, hold twice or hold in crossing order."""
+    rng = random.Random(5)
+    block = ["Released under the MIT License.", "", "See the file for the terms."]
+    rows = []
+    for i in range(160):
+        parts = [[line(k)] for k in rng.sample(range(4), rng.randrange(3))] + [[x] for x in rng.sample(["{", "}", "short", ""], 2)]
+        parts += [block] * rng.choice([0, 1, 1, 2]) + [block[:1]] * rng.randrange(2) + [[f"own {i // 3} words that three documents hold"]] * rng.randrange(2)
+        parts += [[f"document {i} has its own line {j} here"] for j in range(rng.randrange(3))]
+        rng.shuffle(parts)
+        rows.append((i, "\n".join(x for p in parts for x in p)))
+    return rows
+
+
+def test_frequent_blocks_equal_brute_force(spark):
+    rows = rows_with_frequent_blocks()
+    out = {r.doc_id: (r.text, r.deleted) for r in line_dedup(table(spark, rows)).collect()}
+    assert out == brute(rows)
+
+
 def test_odd_rows(spark):
     out = line_dedup(clashing(table(spark, ODD))).collect()
     assert len(out) == len(ODD)
