@@ -3,14 +3,17 @@
 Patterns find assignments, access keys and long hexadecimal runs. Beyond them, every run of credential characters that
 stands shortly after a sensitive word is a candidate. Its novelty is what it adds to the compressed size of the text
 around it, by a compressor primed with a dictionary of identifiers and common words: names, paths and words that occur
-nearby compress away, random strings do not. Candidates whose marginal bytes per character reach a limit are reported.
+nearby compress away, random strings do not. What a random string adds depends on its length, its alphabet and the text
+(0.4 to more than one byte a character), so candidates are held against random strings of their own length and alphabet
+at the same place. Those that add nearly as much are reported, and those whose bytes per character alone reach the limit.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -33,9 +36,14 @@ NEAR = 64
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
 #: Code points of text on either side that a candidate is measured against.
 AROUND = 256
-#: Compressed bytes a character: a short random string costs about one byte a character whatever its alphabet, names
-#: and paths whose parts the dictionary or the text around them hold cost 0.3 to 0.8.
+#: The share of the bytes of random strings that a secret adds at least, and the bytes a character that suffice.
 NOVELTY = 0.9
+#: Bytes by which a short string may fall below that share, as compressed sizes are whole bytes.
+ROUNDING = 1
+#: Characters that come together in an alphabet; others count one by one.
+CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ")
+#: Random strings that a candidate is held against: several for short ones, whose sizes vary; long ones vary little.
+SAMPLES, LONG = 5, 512
 
 # Fixed word list: what primes the compressor.
 IDENTIFIERS = """
@@ -62,6 +70,32 @@ class Novelty:
         around = before + after
         return size(around + candidate) - size(around)
 
+    def is_novel(self, candidate: str, added: int, before: str, after: str, least: float = NOVELTY) -> bool:
+        if added >= least * len(candidate):
+            return True
+        others = [self.bytes_added(x, before, after) for x in random_strings(alphabet(candidate), len(candidate))]
+        return added + ROUNDING >= least * sum(others) / len(others)
+
+
+def alphabet(text: str) -> str:
+    """All characters of the classes that occur in `text`."""
+    have = set(text)
+    return "".join(x for x in CLASSES if have & set(x)) + "".join(sorted(have - set("".join(CLASSES))))
+
+
+def random_strings(letters: str, length: int) -> list[str]:
+    return _short_strings(letters, length) if length < LONG else _drawn(letters, length, 1)
+
+
+def _drawn(letters: str, length: int, n: int) -> list[str]:
+    rng = random.Random(f"{length} {letters}")
+    return ["".join(rng.choices(letters, k=length)) for _ in range(n)]
+
+
+@lru_cache(4096)
+def _short_strings(letters: str, length: int) -> list[str]:
+    return _drawn(letters, length, SAMPLES)
+
 
 def base_spans(text: str, low: str) -> list[tuple[int, int, str, float | None]]:
     out: list[tuple[int, int, str, float | None]] = []
@@ -77,16 +111,17 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, str, float | None]]:
 def novel_spans(text: str, low: str, novelty: Novelty, least: float = NOVELTY) -> list[tuple[int, int, str, float | None]]:
     if not any(w in low for w in CONTEXT_WORDS):
         return []
-    found: dict[int, tuple[int, int, str, float | None]] = {}
+    found: dict[int, tuple[int, int, str, float | None] | None] = {}
     for word in CONTEXT.finditer(text):
         for m in CANDIDATE.finditer(text, word.end()):
             start, end = m.span()
             if start > word.end() + NEAR:
                 break
             if start not in found:
-                added = novelty.bytes_added(m[0], text[max(0, start - AROUND) : start], text[end : end + AROUND])
-                found[start] = (start, end, "novel", added / (end - start))
-    return [x for x in found.values() if x[3] >= least]
+                around = text[max(0, start - AROUND) : start], text[end : end + AROUND]
+                added = novelty.bytes_added(m[0], *around)
+                found[start] = (start, end, "novel", added / (end - start)) if novelty.is_novel(m[0], added, *around, least) else None
+    return [x for x in found.values() if x]
 
 
 def find(text: str, novelty: Novelty, least: float = NOVELTY) -> list[tuple[int, int, str, float | None]]:
