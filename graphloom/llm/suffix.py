@@ -114,7 +114,7 @@ def leading(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (token.astype(np.uint64) ^ _U(1 << 63)).view(np.int64)
 
 
-def _anchors(batches: Iterator) -> Iterator:
+def _anchors(batches: Iterator, stretch: int = STRETCH) -> Iterator:
     import pyarrow as pa
 
     names = ["_id", "_h", "core", "pos", "end", "lead"]
@@ -123,14 +123,19 @@ def _anchors(batches: Iterator) -> Iterator:
         which, local = [], []
         for k, t in enumerate(batch.column(2)):
             whole = np.frombuffer(t.as_buffer(), np.uint8)
-            for from_ in range(0, max(len(whole) - LENGTH + 1, 0), STRETCH):
-                data = whole[from_ : from_ + STRETCH + LENGTH - 1]
+            own: list[tuple] = []
+            for from_ in range(0, max(len(whole) - LENGTH + 1, 0), stretch):
+                data = whole[from_ : from_ + stretch + LENGTH - 1]
                 at, core, spans = anchors(data)
-                lead = leading(data, at)
-                for x, y in zip(rows, (core.view(np.int64), at + from_, lead, (core & _U(SAMPLE - 1)) == 0), strict=True):
-                    x.append(y)
-                which.append(np.full(len(at), k))
+                own.append((core.view(np.int64), at + from_, leading(data, at), (core & _U(SAMPLE - 1)) == 0))
                 local += [(k, a + from_, b + from_) for a, b in spans]
+            if own:
+                columns = [np.concatenate(x) for x in zip(*own, strict=True)]
+                # neighbouring stretches mostly have an anchor in common
+                _, once = np.unique(columns[1], return_index=True)
+                for x, y in zip(rows, columns, strict=True):
+                    x.append(y[once])
+                which.append(np.full(len(once), k))
         if which:
             row = np.concatenate(which)
             core, pos, lead, sampled = (np.concatenate(x) for x in rows)
@@ -296,7 +301,7 @@ def _cut(batches: Iterator) -> Iterator:
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, hot: int = HOT
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, hot: int = HOT, stretch: int = STRETCH
 ) -> DataFrame:
     """One row per input row: `doc_id, n_bytes, spans, kept` - maximal removed runs (bytes, end exclusive) and the rest.
 
@@ -306,7 +311,7 @@ def remove_repeats(
     """
     texts = docs.select(*row_key(id_col, text_col), F.encode(text_of(text_col), "UTF-8").alias("text"))
     found = written(
-        map_arrow(texts, _anchors, "_id long, _h long, core long, pos long, end long, lead long"), "suffix-anchors"
+        map_arrow(texts, partial(_anchors, stretch=stretch), "_id long, _h long, core long, pos long, end long, lead long"), "suffix-anchors"
     )
     local = found.where("core IS NULL").select("_id", "_h", F.col("pos").alias("start"), "end")
     sparse = found.where("core IS NOT NULL").select("_id", "_h", "core", "pos", "lead")

@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 
-from graphloom.llm.suffix import LENGTH, multikey_quicksort, remove_repeats
+from graphloom.llm.suffix import LENGTH, STRETCH, _anchors, multikey_quicksort, remove_repeats
 
 from .helpers import ODD, clashing, documents, table
 
@@ -53,6 +53,27 @@ def test_small_buckets_and_hot_cores(spark):
     assert got(remove_repeats(table(spark, rows), bucket=30, hot=3)) == want
 
 
+def test_texts_of_several_stretches(spark):
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefghij klmno") for _ in range(n))
+    again = text(700)
+    rows = [(1, text(5000)), (2, text(900) + again + text(1500) + again), (3, text(2000) + "word " * 500 + text(300)), (4, again[:400] + text(2600))]
+    want = brute(rows)
+    assert want[0][2] == 0
+    assert got(remove_repeats(table(spark, rows), stretch=1000)) == want
+    assert got(remove_repeats(table(spark, rows), stretch=1000, hot=1)) == want
+
+
+def test_anchors_of_stretches_are_distinct():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    text = bytes(rng.randrange(97, 123) for _ in range(5000))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([text], pa.binary())], ["_id", "_h", "text"])
+    cut, whole = ([p for out in _anchors([batch], n) for p in out.column(3).to_pylist()] for n in (1000, STRETCH))
+    assert cut == whole
+
+
 def test_odd_rows(spark):
     odd = [(i, t if t is None or len(t) < 10_000 else t[:4000]) for i, t in ODD]
     assert got(remove_repeats(clashing(table(spark, odd)))) == brute(odd)
