@@ -16,7 +16,7 @@ DOCS = "SELECT doc_id, text, source FROM {documents}"
 PAGES = "SELECT page_id, url FROM {pages}"
 URL_PATHS = "SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM {pages}"
 VECTORS = "SELECT vec_id AS id, embedding, label FROM {embeddings}"
-ITEMS = "SELECT item_id AS query_id, text FROM {benchmark} WHERE item_id < 20"
+ITEMS = "SELECT item_id AS query_id, text FROM {benchmark}"
 TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
 
 
