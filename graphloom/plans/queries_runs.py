@@ -11,12 +11,12 @@ from graphloom.streaming import checkpoints
 
 from .base import QUERIES, query
 
-ISSUES = "SELECT CAST(doc_id AS STRING) AS instance_id, source AS base_commit, doc_id AS ord FROM {documents} WHERE doc_id < 400"
+ISSUES = "SELECT CAST(doc_id AS STRING) AS instance_id, source AS base_commit, doc_id AS ord FROM {documents}"
 METHODS = "SELECT DISTINCT concat('m', CAST(event_id % 4 AS STRING)) AS method FROM {events}"
 RESULTS = """SELECT CAST(d.doc_id AS STRING) AS instance_id, concat('m', CAST(m AS STRING)) AS method, CASE WHEN (d.doc_id + m) % 11 = 0 THEN 'failed' END AS error,
 CAST((d.doc_id * 7 + m * 13) % 101 AS DOUBLE) / 100 AS f1, CAST((d.doc_id * 3 + m) % 101 AS DOUBLE) / 100 AS precision, CAST((d.doc_id * 5 + m) % 101 AS DOUBLE) / 100 AS recall,
 CAST(length(text) % 1000 AS BIGINT) AS total_tokens, CAST(length(text) % 7 AS BIGINT) AS query_embedding_tokens, CASE d.doc_id % 4 WHEN 0 THEN 'budget' WHEN 1 THEN 'max_turns' WHEN 2 THEN '' END AS stop_reason
-FROM {documents} d CROSS JOIN (SELECT DISTINCT event_id % 4 AS m FROM {events}) x WHERE d.doc_id < 400 AND (d.doc_id + m) % 17 <> 0"""
+FROM {documents} d CROSS JOIN (SELECT DISTINCT event_id % 4 AS m FROM {events}) x WHERE (d.doc_id + m) % 17 <> 0"""
 SETUP = "SELECT method, CAST(1000 + 777 * (ascii(substr(method, 2, 1)) - 48) AS BIGINT) AS setup_tokens FROM (SELECT DISTINCT concat('m', CAST(event_id % 3 AS STRING)) AS method FROM {events}) z"
 H = {"issues": ISSUES, "methods": METHODS, "results": RESULTS, "setup": SETUP}
 SUMMARY = """

@@ -1,5 +1,7 @@
 """Queries see all rows of their tables."""
 
+from pyspark.sql import functions as F
+
 from graphloom import catalog
 
 SF = "/root/testdata/sf0.01"
@@ -14,3 +16,11 @@ def test_bm25_ranks_for_every_benchmark_item(spark):
     assert len(items) > 20
     for name in ("bm25plus_topk", "bm25_prefix_scope"):
         assert ids(catalog.QUERIES[name](spark, SF), "query_id") == items
+
+
+def test_summaries_count_every_document(spark):
+    n = spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert n > 400
+    assert catalog.QUERIES["commit_groups"](spark, SF).agg(F.sum("n_issues")).first()[0] == n
+    assert catalog.QUERIES["track_groups"](spark, SF).count() == n
+    assert ids(catalog.QUERIES["method_summary"](spark, SF), "n_issues") == {n}
