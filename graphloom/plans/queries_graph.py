@@ -14,11 +14,12 @@ from .base import query
 FILE = "concat('src/n', s_nationkey, CASE WHEN s_suppkey % 9 = 0 THEN '/tests' ELSE '' END, '/s', s_suppkey, '.py')"
 EDGES = f"""SELECT DISTINCT f AS src, concat('p', l_partkey) AS dst, CASE l_partkey % 3 WHEN 0 THEN 'CALLS' WHEN 1 THEN 'IMPORTS' ELSE 'INHERITS' END AS type,
 CASE (l_partkey + l_suppkey) % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' END AS confidence
-FROM {{lineitem}} JOIN (SELECT s_suppkey, {FILE} AS f FROM {{supplier}}) s ON l_suppkey = s_suppkey WHERE l_quantity > 45"""
+FROM {{lineitem}} JOIN (SELECT s_suppkey, {FILE} AS f FROM {{supplier}}) s ON l_suppkey = s_suppkey"""
 NODES = f"""SELECT {FILE} AS id, 'file' AS type, s_name AS name, {FILE} AS file, CAST(NULL AS STRING) AS docstring FROM {{supplier}}
 UNION ALL SELECT concat('p', p_partkey), 'function', p_name, f, concat(p_brand, ' ', p_type) FROM {{part}} LEFT JOIN
-(SELECT l_partkey, min(f) AS f FROM {{lineitem}} JOIN (SELECT s_suppkey, {FILE} AS f FROM {{supplier}}) s ON l_suppkey = s_suppkey WHERE l_quantity > 45 GROUP BY l_partkey) x ON p_partkey = l_partkey"""
-SEEDS = f"SELECT concat('q', s_suppkey % 4) AS query_id, {FILE} AS node_id, CAST(1.0 - (s_suppkey % 10) * 0.07 AS DOUBLE) AS score FROM {{supplier}} WHERE s_suppkey % 20 < 4"
+(SELECT l_partkey, min(f) AS f FROM {{lineitem}} JOIN (SELECT s_suppkey, {FILE} AS f FROM {{supplier}}) s ON l_suppkey = s_suppkey GROUP BY l_partkey) x ON p_partkey = l_partkey"""
+# Every supplier is a seed, of the benchmark items in turn.
+SEEDS = f"SELECT concat('q', s_suppkey % (SELECT count(*) FROM {{benchmark}})) AS query_id, {FILE} AS node_id, CAST(1.0 - (s_suppkey % 10) * 0.07 AS DOUBLE) AS score FROM {{supplier}}"
 
 NEAR = """
 two AS (SELECT DISTINCT src AS id, dst AS other, type, coalesce(confidence, 'medium') AS confidence FROM edges UNION SELECT DISTINCT dst, src, type, coalesce(confidence, 'medium') FROM edges),
@@ -51,7 +52,7 @@ f AS (SELECT *, gg / max(gg) OVER (PARTITION BY query_id) AS s_graph, len(list_i
 scored AS (SELECT *, round(0.35 * s_graph + 0.30 * s_sem + 0.20 * s_conf + 0.10 * s_hint - 0.05 * s_pen, 6) AS score FROM f),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, n_high DESC, avg_depth, file) AS rank, max(score) OVER (PARTITION BY query_id) AS top FROM scored)
 """
-ISSUES = "SELECT concat('q', item_id) AS query_id, concat('src n', item_id, ' s', item_id, ' breaks') AS text FROM {benchmark} WHERE item_id < 4"
+ISSUES = "SELECT concat('q', item_id) AS query_id, concat('src n', item_id, ' s', item_id, ' breaks') AS text FROM {benchmark}"
 GRAPH = {"edges": EDGES, "nodes": NODES}
 
 
