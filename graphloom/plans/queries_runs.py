@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import evaluate, patches, resolve, stats, telemetry, tuning
+from graphloom.operators import evaluate, extract, patches, resolve, stats, telemetry, tuning
 from graphloom.sources import runs as run_files
 from graphloom.streaming import checkpoints
 
@@ -426,4 +426,10 @@ def call_cascade(spark: SparkSession, _: str) -> DataFrame:
     return resolve.code_graph(_sources(spark))[1]
 
 
-QUERIES |= {"code_graph_extract": code_graph_extract, "call_cascade": call_cascade}
+def import_resolve(spark: SparkSession, _: str) -> DataFrame:
+    files = _sources(spark)
+    bound = resolve.bindings(extract.imports(files), files, extract.definitions(files))
+    return bound.select("file", "alias", "kind", "symbol", "target_file", "target_node")
+
+
+QUERIES |= {"code_graph_extract": code_graph_extract, "call_cascade": call_cascade, "import_resolve": import_resolve}
