@@ -2,18 +2,17 @@
 
 A Misra-Gries frequent-items summary of the text digests, merged from per-partition summaries, proposes the digests
 that could be frequent. Their exact counts and surviving rows are then computed with map-side partial sums; the
-verified winners - at most `max_hot` rows of 32 bytes and two numbers - are broadcast, so rows of hot digests get
-their answer in the map task and are never shuffled. Only the other digests go through an ordinary shuffle, of which
-no group can be larger than the summary's error.
+verified winners - at most `max_hot` rows of a digest and two numbers - are broadcast, so rows of hot digests get their
+answer in the map task and are never shuffled. Only the other digests go through an ordinary shuffle, of which a group
+holds one row in `max_hot` at most, but for the summary's error; their sums stream past, no window holds a group.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import NULL_ID, text_of, written
+from .common import NULL_ID, row_key, text_of, written
 
 MAX_HOT = 512
 TRACKED = 8192
@@ -21,6 +20,29 @@ TRACKED = 8192
 BROADCAST_IDS = 500_000
 
 
+def _groups(rows: DataFrame, max_hot: int, tracked: int) -> DataFrame:
+    """`doc_id, sha, _h, _n, _keep, _size`: `rows(doc_id, sha, _h)`, repeated ones as one of `_n`, with their group's answer."""
+    found = rows.agg(F.expr(f"approx_top_k(sha, {max_hot}, {tracked})").alias("f"))
+    proposed = found.select(F.explode("f.item").alias("sha"))
+    answer = (F.max("doc_id").alias("_keep"), F.count("*").alias("_size"))
+    hot = rows.join(F.broadcast(proposed), "sha").groupBy("sha").agg(*answer).where("_size > 1")
+    told = rows.join(F.broadcast(hot), "sha", "left")
+    names = ["doc_id", "sha", "_h", "_n", "_keep", "_size"]
+    # Of a hot group only the rows that carry the surviving id are still open: one, unless rows repeat.
+    settled = told.where("_size IS NOT NULL AND NOT (doc_id <=> _keep)").withColumn("_n", F.lit(1).cast("long")).select(names)
+    top = told.where("_size IS NOT NULL AND doc_id <=> _keep").groupBy("sha", "_keep", "_size", "doc_id", "_h").agg(F.count("*").alias("_n")).select(names)
+    # One shuffle serves the sums and the join.
+    cold = told.where("_size IS NULL").select("doc_id", "sha", "_h").repartition("sha")
+    once = cold.groupBy("sha", "doc_id", "_h").agg(F.count("*").alias("_n"))
+    return settled.union(top).union(once.join(cold.groupBy("sha").agg(*answer), "sha").select(names))
+
+
+def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Written once, so that texts are read and hashed once."""
+    text = text_of(text_col)
+    return written(docs.select(F.col(id_col).alias("doc_id"), F.sha2(text, 256).alias("sha"), F.xxhash64(text).alias("_h")), "exact-digests")
+
+
 def exact_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_hot: int = MAX_HOT, tracked: int = TRACKED
 ) -> DataFrame:
@@ -31,45 +53,25 @@ def exact_dedup(
     id and its text are copies too, and exactly one of them is kept. An empty table gives an empty result. Other columns
     are ignored, whatever their names.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text_of(text_col), 256).alias("text_sha256"))
-    found = rows.agg(F.expr(f"approx_top_k(text_sha256, {max_hot}, {tracked})").alias("f"))
-    proposed = found.select(F.explode("f.item").alias("text_sha256"))
-    hot = (
-        rows.select("text_sha256", "doc_id").join(F.broadcast(proposed), "text_sha256")
-        .groupBy("text_sha256").agg(F.max("doc_id").alias("_keep"), F.count("*").alias("_size"))
-        .where("_size > 1")
-    )
-    told = rows.join(F.broadcast(hot), "text_sha256", "left")
-    # Of a hot group only the rows that carry the surviving id are still open: one, unless rows repeat.
-    settled = told.where("_size IS NOT NULL AND NOT (doc_id <=> _keep)").select(
-        "doc_id", F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"), F.lit(False).alias("kept"), "text_sha256"
-    )
-    same = Window.partitionBy("text_sha256")
-    first = F.row_number().over(same.orderBy(F.col("doc_id").desc_nulls_last())) == 1
-    shuffled = told.where("_size IS NULL OR doc_id <=> _keep").select(
-        "doc_id",
-        F.coalesce("_keep", F.max("doc_id").over(same)).alias("keep_id"),
-        F.coalesce("_size", F.count("*").over(same)).alias("group_size"),
-        first.alias("kept"),
-        "text_sha256",
+    told = _groups(_digests(docs, id_col, text_col), max_hot, tracked)
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_copy")
+    return told.select("doc_id", "_keep", "_size", "sha", copy).select(
+        "doc_id", F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"),
+        (F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_copy") == 1)).alias("kept"), F.col("sha").alias("text_sha256"),
     )
-    return settled.unionByName(shuffled)
 
 
 def select(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns, that `exact_dedup` keeps; of rows that repeat id and text, one."""
-    told = written(exact_dedup(docs, id_col, text_col).select("doc_id", "text_sha256", "kept"), "exact-told")
-    key = [F.coalesce(F.col("doc_id"), F.lit(NULL_ID).cast("long")).alias("_id"), F.col("text_sha256").alias("_sha")]
-    of = told.select(*key, "kept").groupBy("_id", "_sha").agg(F.max("kept").alias("stays"), F.count("*").alias("c"))
-    lost = written(of.where("NOT stays OR c > 1"), "exact-lost")
+    told = _groups(_digests(docs, id_col, text_col), MAX_HOT, TRACKED)
+    stays = F.col("doc_id").eqNullSafe(F.col("_keep"))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID).cast("long")).alias("_id")
+    lost = written(told.where(~stays | (F.col("_n") > 1)).select(key, "_h", stays.alias("_stays")), "exact-lost")
     if lost.count() <= BROADCAST_IDS:
         lost = F.broadcast(lost)
-    rows = docs.select(
-        F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID).cast("long")).alias("_id"),
-        F.sha2(text_of(text_col), 256).alias("_sha"),
-    ).join(lost, ["_id", "_sha"], "left")
-    once = rows.where("stays").dropDuplicates(["_id", "_sha"])
-    return rows.where("stays IS NULL").unionByName(once).select("row.*")
+    rows = docs.select(F.struct("*").alias("row"), *row_key(id_col, text_col)).join(lost, ["_id", "_h"], "left")
+    once = rows.where("_stays").dropDuplicates(["_id", "_h"])
+    return rows.where("_stays IS NULL").unionByName(once).select("row.*")
 
 
 #: Rows that repeat an id and its text do not occur in the tables this runs on.

@@ -16,15 +16,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import partial
 from operator import eq
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import map_arrow, pieces, release_memory
+from graphloom.shipping import ship
+
+from .common import map_arrow, pieces, release_memory, text_of
 from .training import MASK, MAX_TRAIN, Weights, adam, compact, sample, sigmoid, slot, summed
 
 STEPS, RATE, L2 = 200, 0.3, 1e-6
@@ -133,28 +133,45 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     return model
 
 
-def _score(batches: Iterator, model) -> Iterator:
-    import pyarrow as pa
-
-    m: Model = model.value
+def scorer(model: Model):
+    """A function of one text: its score s."""
 
     def weigh(token: str) -> float:
         a, b = token_slots(token)
-        return float(m.weights[a]) + float(m.weights[b])
+        return float(model.weights[a]) + float(model.weights[b])
 
     weight = Weights(weigh)
     get = weight.__getitem__
-    low = m.grades[0] if m.grades else 0
-    steps = np.diff(m.grades)
-    for batch in pieces(batches):
-        s = []
-        for t in batch.column(1):
-            tokens = t.as_py().split()
-            s.append((sum(map(get, tokens)) / len(tokens) if tokens else 0.0) + float(sum(m.weights[x] for x in text_features(tokens))))
-        tails = m.tails(np.array(s, float))
-        grade = low + tails @ steps if tails.shape[1] else np.full(len(s), float(low))
-        tail = tails[:, 0] if tails.shape[1] else np.ones(len(s))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grade), pa.array(tail)], ["row", "grade", "tail"])
+
+    def of(text: str) -> float:
+        tokens = text.split()
+        return (sum(map(get, tokens)) / len(tokens) if tokens else 0.0) + float(sum(model.weights[x] for x in text_features(tokens)))
+
+    return of
+
+
+def _verdicts(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
+    """`grade, tail` of a text. Only texts go to Python and only verdicts come back; the other columns stay in the JVM."""
+    import pyarrow as pa
+
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS floats
+
+    def verdicts(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m: Model = shared.value
+        of = scorer(m)
+        low, steps = m.grades[0] if m.grades else 0, np.diff(m.grades)
+        try:
+            for texts in arrays:
+                tails = m.tails(np.fromiter((of(t.as_py()) for t in texts), float, len(texts)))
+                grade = low + tails @ steps if tails.shape[1] else np.full(len(texts), float(low))
+                tail = tails[:, 0] if tails.shape[1] else np.ones(len(texts))
+                yield pa.StructArray.from_arrays([pa.array(grade), pa.array(tail)], ["grade", "tail"])
+        finally:
+            release_memory()
+
+    verdicts.__annotations__ = {"arrays": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(verdicts, "grade double, tail double")(text_of(text_col))
 
 
 def score(docs: DataFrame, model: Model, least_tail: float = LEAST_TAIL) -> DataFrame:
@@ -164,20 +181,13 @@ def score(docs: DataFrame, model: Model, least_tail: float = LEAST_TAIL) -> Data
     texts are scored by their emptiness alone. Where the labels held one grade or none, everything is kept. Null and
     repeated ids pass through; an empty table gives an empty result; other columns are ignored.
     """
-    return _scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, ["doc_id"]).select(
-        F.col("row.doc_id").alias("doc_id"), F.col("grade").alias("expected_grade"), F.col("tail").alias("tail_probability"),
-        (F.col("tail") >= least_tail).alias("kept"),
+    told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _verdicts(docs, model).alias("v"))
+    return told.select(
+        "doc_id", F.col("v.grade").alias("expected_grade"), F.col("v.tail").alias("tail_probability"), (F.col("v.tail") >= least_tail).alias("kept")
     )
 
 
 def select(docs: DataFrame, model: Model, least_tail: float = LEAST_TAIL) -> DataFrame:
     """The rows of `docs`, with all their columns, that `score` keeps."""
-    return _scored(docs, model, docs.columns).where(F.col("tail") >= least_tail).select("row.*")
-
-
-def _scored(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """`row, grade, tail`; a struct keeps the documents' own columns apart."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS floats
-    rows = docs.select(F.struct(*columns).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    schema = T.StructType([rows.schema["row"], T.StructField("grade", T.DoubleType()), T.StructField("tail", T.DoubleType())])
-    return map_arrow(rows, partial(_score, model=shared), schema)
+    # a struct keeps the documents' own columns apart from the verdict
+    return docs.select(F.struct("*").alias("row"), _verdicts(docs, model).alias("v")).where(F.col("v.tail") >= least_tail).select("row.*")
