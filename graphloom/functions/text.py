@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Mapping
+from typing import Any
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -132,18 +137,40 @@ def extract_patch(text: Column | str) -> Column:
 
 
 def is_test_file(path: Column | str) -> Column:
-    """D16."""
-    return col(path).rlike(r"(^|/)(tests|testing)(/|$)|(^|/)test_[^/]*$|_test\.py$")
+    """D16, whatever the case and the slashes."""
+    p = F.lower(F.translate(col(path), "\\", "/"))
+    return p.rlike(r"(^|/)(tests|testing)(/|$)|(^|/)test_[^/]*/*$|_test\.py/*$")
 
 
 def issue_set_id(repo: Column | str, ids: Column | str) -> Column:
     """A stable name of a repository's set of issues."""
-    return F.concat(F.lit("issues_"), F.substring(F.sha1(F.concat_ws("|", col(repo), F.array_join(F.array_sort(col(ids)), "|"))), 1, 12))
+    named = F.array_sort(F.filter(col(ids), lambda i: i != ""))
+    return F.concat(F.lit("issues_"), F.substring(F.sha1(F.concat_ws("|", col(repo), F.array_join(named, "|"))), 1, 12))
+
+
+def suite_id(settings: Mapping[str, Any]) -> str:
+    """A stable name of a configuration: a missing track or snapshot counts as empty, prefixes as a list."""
+    filled = dict(settings) | {k: settings.get(k) or "" for k in ("evaluation_track", "snapshot_commit")}
+    filled |= {"source_prefixes": [*(settings.get("source_prefixes") or ())], "seed": settings.get("seed")}
+    return f"suite_{hashlib.sha1(json.dumps(filled, sort_keys=True).encode()).hexdigest()[:12]}"
+
+
+def harness_id(prefix: str, run_id: Column | str, method: Column | str, results_path: Column | str, given: Column | str | None = None) -> Column:
+    """The given name, or else one of the run, its method and the digest of where its results go."""
+    made = F.concat_ws("_", F.lit(prefix), col(run_id), name_slug(method), F.substring(F.sha1(col(results_path)), 1, 8))
+    return made if given is None else F.coalesce(F.nullif(col(given), F.lit("")), made)
 
 
 def slug(text: Column | str) -> Column:
-    """D18."""
-    return F.regexp_replace(F.lower(col(text)), "[^a-z0-9]+", "_")
+    """D18, of experiments: letters and digits in small letters, slashes and dashes as underscores, all else left out."""
+    kept = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(col(text), F.lit(""))), "[/-]", "_"), r"[^\p{L}\p{N}_]", "")
+    return F.coalesce(F.nullif(F.regexp_replace(kept, "^_+|_+$", ""), F.lit("")), F.lit("exp"))
+
+
+def name_slug(text: Column | str) -> Column:
+    """D18, of runs: runs of anything but letters and digits as one dash."""
+    dashed = F.regexp_replace(F.lower(F.trim(F.coalesce(col(text), F.lit("")))), r"[^\p{L}\p{N}]+", "-")
+    return F.coalesce(F.nullif(F.regexp_replace(dashed, "^-|-$", ""), F.lit("")), F.lit("unknown"))
 
 
 def benchmark_of(dataset: Column | str) -> Column:
@@ -163,7 +190,7 @@ def domain_of(repo: Column | str, explicit: Column | None = None) -> Column:
 
 def embedding_text(name: Column | str, kind: Column | str, signature: Column | str, docstring: Column | str) -> Column:
     """D20."""
-    sig = F.when((col(kind) == "function") & (F.coalesce(col(signature), F.lit("")) != ""), F.concat(F.lit(" "), col(signature))).otherwise("")
+    sig = F.when((col(kind) == "function") & (F.coalesce(col(signature), F.lit("")) != ""), col(signature)).otherwise("")
     doc = F.when(F.coalesce(col(docstring), F.lit("")) != "", F.concat(F.lit(": "), F.substring(col(docstring), 1, 200))).otherwise("")
     return F.concat(F.coalesce(col(name), F.lit("")), sig, doc)
 
@@ -172,7 +199,7 @@ def confidence_weight(label: Column | str) -> Column:
     """An unknown label counts as medium."""
     out = F.lit(CONFIDENCE["medium"])
     for name, weight in CONFIDENCE.items():
-        out = F.when(col(label) == name, F.lit(weight)).otherwise(out)
+        out = F.when(F.lower(col(label)) == name, F.lit(weight)).otherwise(out)
     return out
 
 

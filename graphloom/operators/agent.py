@@ -27,37 +27,60 @@ def observed_scores(trace: DataFrame) -> DataFrame:
     return trace.where("file IS NOT NULL").groupBy("issue", "file").agg(F.sum(F.coalesce("score", F.lit(SILENT_SCORE))).alias("score"), F.count("*").alias("n"))
 
 
-def grounded(claimed: DataFrame, observed: DataFrame, confirmed: DataFrame, limit: int = 6) -> DataFrame:
-    """Claimed files that were observed or confirmed - only confirmed ones where there are any - best first."""
+def grounded(claimed: DataFrame, observed: DataFrame, confirmed: DataFrame, limit: int = 6, confirmed_only: bool = True) -> DataFrame:
+    """Claimed files that were observed or confirmed, confirmed ones first, then by score.
+
+    With `confirmed_only` an issue that has confirmed files, claimed or not, gives those of them that are claimed, and if
+    there are none, all of them.
+    """
     ok = confirmed.select("issue", "file", F.lit(True).alias("confirmed")).distinct()
     seen = observed.select("issue", "file", "score")
-    rows = claimed.select("issue", "file").distinct().join(seen, ["issue", "file"], "left").join(ok, ["issue", "file"], "left")
-    rows = rows.where("score IS NOT NULL OR confirmed").withColumns({"confirmed": F.coalesce("confirmed", F.lit(False)), "score": F.coalesce("score", F.lit(0.0))})
-    rows = rows.withColumn("_any", F.max("confirmed").over(Window.partitionBy("issue"))).where("confirmed OR NOT _any").drop("_any")
+    claims = claimed.select("issue", "file", F.lit(True).alias("_claimed")).distinct()
+    rows = claims.join(ok, ["issue", "file"], "full_outer").join(seen, ["issue", "file"], "left")
+    rows = rows.withColumn("confirmed", F.coalesce("confirmed", F.lit(False))).where("confirmed OR score IS NOT NULL")
+    of = lambda x: F.max(F.coalesce(x, F.lit(False))).over(Window.partitionBy("issue"))
+    claimed_ok = F.coalesce("_claimed", F.lit(False))
+    if confirmed_only:
+        rows = rows.withColumns({"_any": of(F.col("confirmed")), "_both": of(F.col("confirmed") & claimed_ok)})
+        rows = rows.where(F.when(F.col("_both"), F.col("confirmed") & claimed_ok).when(F.col("_any"), F.col("confirmed")).otherwise(claimed_ok))
+    else:
+        rows = rows.where(claimed_ok)
+    rows = rows.select("issue", "file", "confirmed", F.coalesce("score", F.lit(0.0)).alias("score"))
     w = Window.partitionBy("issue").orderBy(F.col("confirmed").desc(), F.col("score").desc(), "file")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def stop_reason(trace: DataFrame, max_turns: int, budget: int, stagnation: int = 2) -> DataFrame:
-    """Replay of `trace(issue, turn, file, tokens, confident)`: `issue, turns, stop_reason`.
+def stop_reason(trace: DataFrame, max_turns: int = 3, stagnation: int = 2, need_confirmed: bool = True, use_observed: bool = False) -> DataFrame:
+    """Replay of `trace(issue, turn, file, confirmed, answer, named)`: `issue, turns, stop_reason`.
 
-    A turn that shows no new file stagnates; the run ends at the first turn that is confident, over the budget, the last
-    of so many stagnating ones, or the last allowed.
+    A turn is an answer in text, which may name files, or calls that show files and may confirm them. An answer ends the run:
+    with sufficient confidence if it names files after any calls, or if there are files to fall back to - confirmed or observed
+    ones, as the mode says - and else by budget. Calls that show no new file stagnate; after so many such turns in a row the run
+    ends by budget, but only where there are files to fall back to. A run that uses up its turns, or its record, ends by budget
+    with files and by max_turns without.
     """
+    false = F.lit(False)
+    answer = F.coalesce("answer", false)
+    calls = trace.withColumn("answer", answer).withColumn("file", F.when(~answer, F.col("file")))
     new = F.row_number().over(Window.partitionBy("issue", "file").orderBy("turn")) == 1
-    turns = trace.withColumn("_new", (new & F.col("file").isNotNull()).cast("int")).groupBy("issue", "turn").agg(
-        F.max("_new").alias("fresh"), F.sum(F.coalesce("tokens", F.lit(0))).alias("tokens"), F.max(F.coalesce("confident", F.lit(False))).alias("confident")
+    turns = calls.withColumn("_new", (new & F.col("file").isNotNull()).cast("int")).groupBy("issue", "turn").agg(
+        F.max("_new").alias("fresh"), F.max("answer").alias("answer"), F.max(F.coalesce("named", false)).alias("named"),
+        F.max(F.coalesce("confirmed", false) & F.col("file").isNotNull()).alias("confirmed"),
     )
     w = Window.partitionBy("issue").orderBy("turn")
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    so_far, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     turns = turns.withColumns({
-        "nth": F.row_number().over(w), "spent": F.sum("tokens").over(so_far), "_run": F.sum("fresh").over(so_far), "_last": F.lead("turn").over(w).isNull()
+        "nth": F.row_number().over(w), "_run": F.sum("fresh").over(so_far), "_last": F.lead("turn").over(w).isNull(),
+        "called": F.coalesce(F.max(~F.col("answer")).over(before), false),
+        "have": (F.lit(need_confirmed) & F.max("confirmed").over(so_far)) | (F.lit(use_observed) & (F.sum("fresh").over(so_far) > 0)),
     })
     flat = F.row_number().over(Window.partitionBy("issue", "_run").orderBy("turn")) - F.max("fresh").over(Window.partitionBy("issue", "_run"))
     turns = turns.withColumn("flat", flat)
+    sure = (F.col("named") & F.col("called")) | F.col("have")
     why = (
-        F.when(F.col("confident"), "sufficient_confidence").when(F.col("spent") > budget, "budget").when(F.col("flat") >= stagnation, "stagnation")
-        .when(F.col("nth") >= max_turns, "max_turns").when(F.col("_last"), "finished")
+        F.when(F.col("answer"), F.when(sure, "sufficient_confidence").otherwise("budget"))
+        .when((F.col("flat") >= stagnation) & F.col("have"), "budget")
+        .when((F.col("nth") >= max_turns) | F.col("_last"), F.when(F.col("have"), "budget").otherwise("max_turns"))
     )
     ended = turns.withColumn("why", why).where("why IS NOT NULL")
     return ended.groupBy("issue").agg(F.min("nth").alias("turns"), F.min_by("why", "nth").alias("stop_reason"))

@@ -37,12 +37,13 @@ def topk(vectors: DataFrame, query: DataFrame, k: int = 10) -> DataFrame:
 
 
 def topk_batch(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """F2 for many queries(query_id, embedding): block matrix products; each task keeps `k` rows a query."""
+    """F2 for many queries(query_id, embedding): block matrix products; each task keeps `k` rows a query. Equal scores go by id."""
     import numpy as np
 
     spark = vectors.sparkSession
     ship(spark)
     out = None
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
     rows = queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator()
     block: list = []
 
@@ -60,7 +61,7 @@ def topk_batch(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
             for pdf in batches:
                 v = np.stack(pdf.embedding.to_numpy()).astype(float) if len(pdf) else np.zeros((0, m.shape[1]))
                 v /= np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) == 0, 1, n)
-                s = np.round(m @ v.T, 6)
+                s = np.round(m @ v.T, 6) + 0.0  # no negative zeros
                 for i, q in enumerate(ids):
                     least = np.partition(s[i], -k)[-k] if len(pdf) > k else -np.inf
                     near = np.flatnonzero(s[i] >= least)
@@ -71,7 +72,7 @@ def topk_batch(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
             if best is not None:
                 yield best
 
-        found = vectors.select("id", "embedding").mapInPandas(score, "query_id long, id long, score double")
+        found = vectors.select("id", "embedding").mapInPandas(score, schema)
         w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
         return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -81,7 +82,7 @@ def topk_batch(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
             out, block = run(block) if out is None else out.unionByName(run(block)), []
     if block:
         out = run(block) if out is None else out.unionByName(run(block))
-    return spark.createDataFrame([], "query_id long, id long, score double, rank int") if out is None else out
+    return spark.createDataFrame([], schema + ", rank int") if out is None else out
 
 
 def first_seen_files(ranked: DataFrame, file: str = "file") -> DataFrame:

@@ -86,19 +86,28 @@ def merged_maps(usage: DataFrame, by: Sequence[str], field: str) -> DataFrame:
 
 
 def method_summary(issues: DataFrame, methods: DataFrame, results: DataFrame, setup: DataFrame) -> DataFrame:
-    """H9: one row per method, over all issues: a missing or failed result counts zero. `setup(method, setup_tokens)`."""
+    """One row per method, over all issues: a missing or failed result counts zero.
+
+    `setup(method, setup_tokens)` may have `build_time_s`, results may have `prompt_tokens` and `candidate_tokens`. A method's
+    setup is paid once: the unamortised average charges every issue with all of it, the amortised one with its share.
+    """
     rows = with_error_results(issues, methods, results)
     n = F.count("*")
     s = rows.groupBy("method").agg(
         n.alias("n_issues"), F.count_if(~F.col("failed")).alias("n_success"), F.count_if("failed").alias("n_errors"),
         *(F.avg(m).alias(f"mean_{m}") for m in METRICS),
+        *(F.sum(F.coalesce(c, F.lit(0)) if c in results.columns else F.lit(0)).cast("long").alias(c) for c in ("prompt_tokens", "candidate_tokens")),
         F.sum("total_tokens").alias("llm_tokens"), F.sum("query_embedding_tokens").alias("query_tokens"),
-    ).join(F.broadcast(setup), "method", "left").withColumn("setup_tokens", F.coalesce("setup_tokens", F.lit(0)))
-    total = F.col("setup_tokens") + F.col("llm_tokens") + F.col("query_tokens")
-    runtime = (F.col("llm_tokens") + F.col("query_tokens")) / F.col("n_issues")
+    )
+    # one row a method on either side
+    s = s.join(setup, "method", "left").withColumn("setup_tokens", F.coalesce("setup_tokens", F.lit(0)))
+    s = s.withColumn("setup_time_s", F.coalesce("build_time_s", F.lit(0.0)) if "build_time_s" in setup.columns else F.lit(0.0)).drop("build_time_s")
+    spent = F.col("llm_tokens") + F.col("query_tokens")
+    runtime = spent / F.col("n_issues")
     return s.withColumns({
-        "error_rate": F.col("n_errors") / F.col("n_issues"), "total_cost_tokens": total,
-        "avg_runtime_tokens": runtime, "avg_total_tokens": total / F.col("n_issues"),
+        "error_rate": F.col("n_errors") / F.col("n_issues"), "total_runtime_tokens": spent, "total_cost_tokens": F.col("setup_tokens") + spent,
+        "avg_llm_tokens": F.col("llm_tokens") / F.col("n_issues"), "avg_query_tokens": F.col("query_tokens") / F.col("n_issues"), "avg_runtime_tokens": runtime,
+        "avg_total_unamortized": F.col("setup_tokens") + runtime, "avg_total_amortized": (F.col("setup_tokens") + spent) / F.col("n_issues"),
         "tokens_per_f1": F.when(F.col("mean_f1") > 0, runtime / F.col("mean_f1")),
     })
 
@@ -173,15 +182,16 @@ def bootstrap_ci(deltas: DataFrame, by: Sequence[str], value: str = "delta", res
     return rows.select(*by, n.alias("n_runs"), avg.alias("mean"), place(0.025).alias("low"), place(0.975).alias("high"))
 
 
-def repeat_gates(n_runs: int, pairwise: DataFrame) -> dict[str, bool]:
-    """I4."""
-    have = pairwise.limit(1).count() > 0
-    return {"enough_runs": n_runs >= 3, "pairwise_present": have, "ready": n_runs >= 3 and have}
+def gates(runs: DataFrame, pairwise: DataFrame, least: int = 3) -> DataFrame:
+    """I4: whether there are enough runs and any pairs of them."""
+    n = runs.agg((F.count_distinct("run") >= least).alias("enough_runs"))
+    have = pairwise.limit(1).agg((F.count("*") > 0).alias("pairwise_present"))
+    return n.crossJoin(have).withColumn("ready", F.col("enough_runs") & F.col("pairwise_present"))
 
 
-def amortization_rollup(runs: DataFrame) -> DataFrame:
+def amortization_rollup(runs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """I5 over runs' amortisation rows."""
-    return runs.agg(
+    return runs.groupBy(*by).agg(
         F.max("n_issues").alias("n_issues"), F.round(F.avg("n_unique_commits")).cast("long").alias("n_unique_commits"),
         F.avg("cache_hit_rate").alias("cache_hit_rate"),
         F.when(F.count_distinct("track_name") > 1, "mixed").otherwise(F.max("track_name")).alias("track_name"),

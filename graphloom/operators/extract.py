@@ -123,7 +123,7 @@ def definitions_of(path: str, content: str) -> tuple[list[dict], list[dict]]:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             tree = ast.parse(content)
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return rows, imports
     rows[0]["docstring"] = (ast.get_docstring(tree) or "").strip()
     defs: dict[str, dict] = {}
@@ -162,7 +162,7 @@ def chunks_of(path: str, content: str) -> list[dict]:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             body = ast.parse(content).body
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         body = []
     for node in body:
         if isinstance(node, (*FUNCTIONS, ast.ClassDef)):

@@ -5,19 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import confidence_label, excerpt, min_max, path_tokens, token_estimate, token_set
+from graphloom.functions.text import confidence_label, excerpt, min_max, token_estimate, token_set
 
 DENSE, LEXICAL, MODEL = 0.55, 0.30, 0.15
 
 
 def candidate_pool(files: DataFrame, text: str, limit: int = 200) -> DataFrame:
-    """`file, score, rank` - shared words, plus 2 where the text names the path; zero scores stay."""
-    shared = F.size(F.array_intersect(path_tokens("file"), token_set(F.lit(text))))
-    score = (shared + F.when(F.instr(F.lit(text), F.col("file")) > 0, 2).otherwise(0)).cast("double")
+    """`file, score, rank` - shared words of the path, its ending included, plus 2 where the text names it; zero scores stay."""
+    shared = F.size(F.array_intersect(token_set("file"), token_set(F.lit(text))))
+    score = (shared + F.when(F.instr(F.lit(text.lower()), F.lower("file")) > 0, 2).otherwise(0)).cast("double")
     best = files.select("file", score.alias("score")).orderBy(F.col("score").desc(), "file").limit(limit)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "file")))
 
 
+def candidate_pools(files: DataFrame, queries: DataFrame, limit: int = 200) -> DataFrame:
+    """F26 for each of `queries(query_id, text)`: `query_id, file, score, rank`."""
+    asked = queries.select("query_id", token_set("text").alias("_words"), F.lower("text").alias("_text"))
+    rows = files.select("file", token_set("file").alias("_own")).crossJoin(asked)
+    score = F.size(F.array_intersect("_own", "_words")) + F.when(F.contains("_text", F.lower("file")), 2).otherwise(0)
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "file")
+    return rows.select("query_id", "file", score.cast("double").alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+
+
 def fused(dense: DataFrame, lexical: DataFrame, model: DataFrame, by: list[str], limit: int = 12) -> DataFrame:
     """dense(by, file, score), lexical and model(by, file, rank): weighted sum, full outer; `score, rank`.
 
@@ -106,10 +115,19 @@ def span_excerpts(spans: DataFrame, chunks: DataFrame, bucket: int = 256) -> Dat
     return spans.join(best, "span_id", "left").select(*spans.columns, F.col("p.name").alias("chunk"), excerpt("p.text").alias("excerpt"))
 
 
-def final_files(spans: Column, symbols: Column, stage1: Column, limit: int = 6) -> Column:
-    """files of the spans, then of the symbols, then of the first stage, by first appearance."""
-    none = F.array().cast("array<string>")
-    return F.slice(F.array_distinct(F.concat(*(F.coalesce(x, none) for x in (spans, symbols, stage1)))), 1, limit)
+def final_files(spans: Column, symbols: Column, stage1: Column, limit: int = 12) -> Column:
+    """files of the spans, or if there are none, of the symbols, or else of the first stage, by first appearance."""
+    first = F.coalesce(*(F.when(F.size(x) > 0, x) for x in (spans, symbols, stage1)), F.array().cast("array<string>"))
+    return F.slice(F.array_distinct(first), 1, limit)
+
+
+def candidate_cut(ranked: DataFrame, k: int = 10, by: list[str] | None = None) -> DataFrame:
+    """of `ranked(by, file, score)` the first 3 `k` as candidates, the first `k` of them `chosen`."""
+    w = Window.partitionBy(*(by or [])).orderBy(F.col("score").desc(), "file")
+    if not by:
+        ranked = ranked.orderBy(F.col("score").desc(), "file").limit(3 * k)
+    rows = ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 3 * k)
+    return rows.withColumn("chosen", F.col("rank") <= k)
 
 
 def span_confidence(score: Column) -> Column:

@@ -8,25 +8,28 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import confidence_weight, is_test_file, min_max, path_tokens, token_estimate, token_set
-from graphloom.storage import written
+from graphloom.functions.text import confidence_label, confidence_weight, is_test_file, min_max, path_tokens, token_estimate, token_set
+from graphloom.storage import discard, written
 
 WEIGHTS = {"graph": 0.35, "sem": 0.30, "conf": 0.20, "hint": 0.10, "pen": 0.05}
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """`id, other, direction, type, confidence`; an edge without label is of medium confidence."""
-    conf = F.coalesce("confidence", F.lit("medium")).alias("confidence")
+    conf = F.lower(F.coalesce(F.nullif("confidence", F.lit("")), F.lit("medium"))).alias("confidence")
     out = edges.select(F.col("src").alias("id"), F.col("dst").alias("other"), F.lit("out").alias("direction"), "type", conf)
     back = edges.select(F.col("dst").alias("id"), F.col("src").alias("other"), F.lit("in").alias("direction"), "type", conf)
     return out.unionByName(back)
 
 
 def capped_neighbors(edges: DataFrame, cap: int = 12, types: Sequence[str] | None = None) -> DataFrame:
-    """each node's first `cap` neighbours by id, type and confidence: `id, other, type, confidence, pos`."""
+    """each node's first `cap` neighbours by id, type and weight of the confidence: `id, other, type, confidence, pos`.
+
+    A neighbour in both directions counts twice.
+    """
     e = both_ways(edges if types is None else edges.where(F.col("type").isin(list(types))))
-    e = e.select("id", "other", "type", "confidence").distinct()
-    w = Window.partitionBy("id").orderBy("other", "type", "confidence")
+    e = e.select("id", "other", "type", "confidence")
+    w = Window.partitionBy("id").orderBy("other", "type", confidence_weight("confidence"), "confidence")
     return e.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= cap)
 
 
@@ -81,25 +84,28 @@ def hub_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def evidence(paths: DataFrame, seeds: DataFrame, node_files: DataFrame) -> DataFrame:
-    """paths gathered by `query_id, file`. `seeds(query_id, node_id, score)` have scores in 0..1."""
+    """paths gathered by `query_id, file`; a path is high, medium or low by its own confidence.
+
+    `seeds(query_id, node_id, score)` have scores in 0..1.
+    """
     s = seeds.select("query_id", F.col("node_id").alias("seed"), F.col("score").alias("seed_score"))
     rows = paths.join(s, ["query_id", "seed"]).join(node_files, "node")
     conf = path_confidence(F.col("edge_types"), F.col("confidences"))
-    low = F.exists("confidences", lambda c: c == "low") & ~F.exists("confidences", lambda c: c != "low")
-    return rows.withColumn("conf", conf).withColumn("low", low).groupBy("query_id", "file").agg(
+    return rows.withColumn("conf", conf).withColumn("label", confidence_label("conf")).groupBy("query_id", "file").agg(
         F.count("*").alias("n_paths"),
         F.size(F.array_distinct(F.flatten(F.collect_set("edge_types")))).alias("n_types"),
         F.max(F.col("seed_score") / (F.col("depth") + 1)).alias("s_sem"),
         F.avg("conf").alias("s_conf"),
         F.avg(F.col("depth").cast("double")).alias("avg_depth"),
-        F.count_if("low").alias("n_low"),
-        F.count_if(F.col("conf") >= 0.8).alias("n_high"),
+        F.count_if(F.col("label") == "low").alias("n_low"),
+        F.count_if(F.col("label") == "high").alias("n_high"),
     )
 
 
 @dataclass(frozen=True)
 class Scoring:
     hub_threshold: int = 50
+    hub_scale: float = 0.35
     weights: tuple[tuple[str, float], ...] = tuple(WEIGHTS.items())
     ratio: float = 0.70
     min_cut: float = 0.0
@@ -120,7 +126,7 @@ def evidence_score(found: DataFrame, hints: DataFrame, degrees: DataFrame, how:
     base = F.when(F.col("n_low") == F.col("n_paths"), 1.0).otherwise(F.greatest(F.lit(0.0), F.col("n_low") / F.col("n_paths") - 0.7))
     top = F.max("_g").over(Window.partitionBy("query_id"))
     rows = rows.withColumns({
-        "s_graph": F.when(top > 0, F.col("_g") / top).otherwise(0.0), "s_hint": hint, "s_pen": F.least(F.lit(1.0), base + 0.35 * hub),
+        "s_graph": F.when(top > 0, F.col("_g") / top).otherwise(0.0), "s_hint": hint, "s_pen": F.least(F.lit(1.0), base + how.hub_scale * hub),
     })
     score = w["graph"] * F.col("s_graph") + w["sem"] * F.col("s_sem") + w["conf"] * F.col("s_conf") + w["hint"] * F.col("s_hint") - w["pen"] * F.col("s_pen")
     return rows.withColumn("score", F.round(score, 6)).drop("_g", "tokens", "degree")
@@ -171,44 +177,60 @@ def row_normalized(graph: DataFrame) -> DataFrame:
 
 
 def personalization(files: DataFrame, text: str) -> DataFrame:
-    """`file, p` - shared words, plus 3 where the text names the path; uniform where there is nothing."""
-    shared = F.size(F.array_intersect(path_tokens("file"), token_set(F.lit(text)))).cast("double")
-    raw = files.select("file", (shared + F.when(F.instr(F.lit(text), F.col("file")) > 0, 3.0).otherwise(0.0)).alias("raw"))
+    """`file, p` - shared words of the path, its ending included, plus 3 where the text names it; uniform where there is nothing."""
+    shared = F.size(F.array_intersect(token_set("file"), token_set(F.lit(text)))).cast("double")
+    raw = files.select("file", (shared + F.when(F.instr(F.lit(text.lower()), F.lower("file")) > 0, 3.0).otherwise(0.0)).alias("raw"))
     total = raw.agg(F.sum("raw").alias("total"), F.count("*").alias("n"))
     return raw.crossJoin(F.broadcast(total)).select("file", F.when(F.col("total") > 0, F.col("raw") / F.col("total")).otherwise(1 / F.col("n")).alias("p"))
 
 
-def pagerank(graph: DataFrame, person: DataFrame, alpha: float = 0.85, iterations: int = 100, tolerance: float = 1e-6, check: int = 3) -> DataFrame:
-    """`file, rank` by power iteration of `graph(src, dst, weight)` with restarts and dangling mass by `person(file, p)`.
+def personalizations(files: DataFrame, queries: DataFrame) -> DataFrame:
+    """F21 for each of `queries(query_id, text)`: `query_id, file, p`. Every query ranks all files, so both meet in full."""
+    asked = queries.select("query_id", token_set("text").alias("_words"), F.lower("text").alias("_text"))
+    rows = files.select("file", token_set("file").alias("_own")).crossJoin(asked)
+    named = F.when(F.contains("_text", F.lower("file")), 3.0).otherwise(0.0)
+    rows = rows.select("query_id", "file", (F.size(F.array_intersect("_own", "_words")) + named).alias("raw"))
+    total = rows.groupBy("query_id").agg(F.sum("raw").alias("total"), F.count("*").alias("n"))
+    return rows.join(total, "query_id").select("query_id", "file", F.when(F.col("total") > 0, F.col("raw") / F.col("total")).otherwise(1 / F.col("n")).alias("p"))
 
-    Every `check` steps the ranks are written to the checkpoint folder, which cuts the lineage, and the change is tested.
+
+def pagerank(
+    graph: DataFrame, person: DataFrame, alpha: float = 0.85, iterations: int = 100, tolerance: float = 1e-6, check: int = 3, by: Sequence[str] = ()
+) -> DataFrame:
+    """`by, file, rank` by power iteration of `graph(src, dst, weight)` with restarts and dangling mass by `person(by, file, p)`.
+
+    With `by`, one ranking for each of its values, all in the same steps until the last has converged. Every `check` steps
+    the ranks are written to the checkpoint folder, which cuts the lineage, and the change is tested.
     """
     links = written(row_normalized(graph).select("src", "dst", "p"), "links")
-    node = written(person.select("file", "p"), "nodes")
-    n = node.count()
-    ranks = node.withColumn("r", F.lit(1.0 / max(n, 1)))
-    done = 0
-    while n and done < iterations:
+    node = written(person.select(*by, "file", "p"), "nodes")
+    sizes = node.groupBy(*by).agg(F.count("*").alias("n"))
+    ranks = (node.join(sizes, list(by)) if by else node.crossJoin(F.broadcast(sizes))).select(*by, "file", "p", (1.0 / F.col("n")).alias("r"))
+    done, open_, old = 0, node.limit(1).count() > 0, None
+    while open_ and done < iterations:
         steps = min(check, iterations - done)
-        nxt = written(_steps(ranks, links, steps, alpha), "ranks")
+        nxt = written(_steps(ranks, links, steps, alpha, by), "ranks")
         done += steps
-        moved = nxt.join(ranks.select("file", F.col("r").alias("old")), "file").agg(F.sum(F.abs(F.col("r") - F.col("old")))).first()[0]
+        moved = nxt.join(ranks.select(*by, "file", F.col("r").alias("old")), [*by, "file"]).groupBy(*by).agg(F.sum(F.abs(F.col("r") - F.col("old"))).alias("d"), F.count("*").alias("n"))
         ranks = nxt
-        if moved < tolerance * n:
-            break
-    total = ranks.agg(F.sum("r").alias("total"))
-    return ranks.crossJoin(F.broadcast(total)).select("file", (F.col("r") / F.col("total")).alias("rank"))
+        open_ = moved.where(F.col("d") >= tolerance * F.col("n")).limit(1).count() > 0
+        if old is not None:
+            discard(old)
+        old = nxt
+    total = ranks.groupBy(*by).agg(F.sum("r").alias("total"))
+    return (ranks.join(total, list(by)) if by else ranks.crossJoin(F.broadcast(total))).select(*by, "file", (F.col("r") / F.col("total")).alias("rank"))
 
 
-def _steps(ranks: DataFrame, links: DataFrame, steps: int, alpha: float) -> DataFrame:
-    """`steps` iterations of `ranks(file, p, r)`. Ranks sum to 1, so the dangling mass is what links did not carry on."""
+def _steps(ranks: DataFrame, links: DataFrame, steps: int, alpha: float, by: Sequence[str] = ()) -> DataFrame:
+    """`steps` iterations of `ranks(by, file, p, r)`. Ranks sum to 1, so the dangling mass is what links did not carry on."""
     e = links.select("src", "dst", F.col("p").alias("w"))
     for _ in range(steps):
-        got = ranks.select(F.col("file").alias("src"), "r").join(e, "src").groupBy(F.col("dst").alias("file")).agg(F.sum(F.col("r") * F.col("w")).alias("got"))
-        carried = got.agg(F.coalesce(F.sum("got"), F.lit(0.0)).alias("carried"))
-        lost = F.lit(1.0) - F.col("carried")
+        got = ranks.select(*by, F.col("file").alias("src"), "r").join(e, "src").groupBy(*by, F.col("dst").alias("file")).agg(F.sum(F.col("r") * F.col("w")).alias("got"))
+        carried = got.groupBy(*by).agg(F.sum("got").alias("carried"))
+        lost = F.lit(1.0) - F.coalesce("carried", F.lit(0.0))
         new = F.lit(1 - alpha) * F.col("p") + F.lit(alpha) * (F.coalesce("got", F.lit(0.0)) + lost * F.col("p"))
-        ranks = ranks.select("file", "p").join(got, "file", "left").crossJoin(F.broadcast(carried)).select("file", "p", new.alias("r"))
+        ranks = ranks.select(*by, "file", "p").join(got, [*by, "file"], "left")
+        ranks = (ranks.join(carried, list(by), "left") if by else ranks.crossJoin(F.broadcast(carried))).select(*by, "file", "p", new.alias("r"))
     return ranks
 
 
@@ -229,12 +251,24 @@ def top_symbols(nodes: DataFrame, k: int = 6) -> DataFrame:
     return nodes.where("name IS NOT NULL AND type <> 'file'").groupBy("file").agg(F.slice(F.array_sort(F.collect_set("name")), 1, k).alias("symbols"))
 
 
-def neighbor_tool(nodes: DataFrame, edges: DataFrame, node_id: str, cap: int = 10) -> DataFrame:
-    """Neighbours of one node, outgoing first: `id, file, name, direction, type, pos`; one row of `error` if unknown."""
+def _described(nodes: DataFrame) -> DataFrame:
+    """With the columns that not every graph has."""
+    return nodes.withColumns({c: F.lit(None).cast("string") for c in ("docstring", "signature") if c not in nodes.columns})
+
+
+def neighbor_tool(nodes: DataFrame, edges: DataFrame, node_id: str, cap: int = 10, doc_chars: int = 120) -> DataFrame:
+    """Neighbours of one node, outgoing first: `id, direction, type, name, node_type, file, docstring, pos`; one row of `error` if unknown.
+
+    A neighbour without file stands under its own id.
+    """
+    nodes = _described(nodes)
     around = both_ways(edges.where((F.col("src") == node_id) | (F.col("dst") == node_id))).where(F.col("id") == node_id)
-    around = around.select(F.col("other").alias("id"), "direction", "type").distinct()
-    rows = around.join(nodes.select("id", "file", "name"), "id", "left")
-    w = Window.orderBy(F.when(F.col("direction") == "out", 0).otherwise(1), F.col("file").asc_nulls_first(), "id", "type")
+    way = F.when(F.col("direction") == "out", "outgoing").otherwise("incoming")
+    around = around.select(F.col("other").alias("id"), way.alias("direction"), "type").distinct()
+    said = F.substring(F.coalesce("docstring", F.lit("")), 1, doc_chars).alias("docstring")
+    about = nodes.select("id", F.coalesce("file", "id").alias("file"), "name", F.col("type").alias("node_type"), said)
+    rows = around.join(about, "id", "left").withColumn("file", F.coalesce("file", "id"))
+    w = Window.orderBy(F.col("direction").desc(), "file", "id", "type")
     rows = rows.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= cap).withColumn("error", F.lit(None).cast("string"))
     known = nodes.where(F.col("id") == node_id).agg(F.count("*").alias("n")).where("n = 0")
     bad = known.select(F.lit(f"unknown node: {node_id}").alias("error"))
@@ -242,11 +276,21 @@ def neighbor_tool(nodes: DataFrame, edges: DataFrame, node_id: str, cap: int = 1
 
 
 def file_summary(nodes: DataFrame, edges: DataFrame, path: str, per_class: int = 4, total: int = 8, doc_chars: int = 120) -> DataFrame:
-    """`file, id, name, type, docstring, methods` of what a file defines; the path may be a unique end of the file's."""
+    """`file, id, name, type, docstring, signature, methods` of what a file defines; the path may be the end of a file's.
+
+    Functions show their signature, classes their methods' names and signatures. One row of `error` if no file is found.
+    """
+    nodes = _described(nodes)
     file = nodes.where((F.col("type") == "file") & ((F.col("id") == path) | F.col("id").endswith("/" + path))).orderBy(F.when(F.col("id") == path, 0).otherwise(1), "id").limit(1)
     kids = file.select(F.col("id").alias("file")).join(edges.where("type = 'DEFINES'"), F.col("file") == F.col("src")).select("file", F.col("dst").alias("id"))
-    named = nodes.select("id", "name", "type", F.substring("docstring", 1, doc_chars).alias("docstring"))
-    methods = edges.where("type = 'CONTAINS'").join(nodes.select(F.col("id").alias("dst"), F.col("name").alias("method")), "dst")
-    methods = methods.groupBy(F.col("src").alias("id")).agg(F.slice(F.array_sort(F.collect_set("method")), 1, per_class).alias("methods"))
-    rows = kids.join(named, "id").join(methods, "id", "left")
-    return rows.withColumn("pos", F.row_number().over(Window.orderBy("name", "id"))).where(F.col("pos") <= total)
+    signed = F.coalesce("signature", F.lit(""))
+    named = nodes.select(
+        "id", "name", "type", F.substring(F.coalesce("docstring", F.lit("")), 1, doc_chars).alias("docstring"),
+        F.when(F.col("type") == "function", signed).alias("signature"),
+    )
+    methods = edges.where("type = 'CONTAINS'").join(nodes.select(F.col("id").alias("dst"), F.struct("name", signed.alias("signature")).alias("method")), "dst")
+    methods = methods.groupBy(F.col("src").alias("id")).agg(F.slice(F.array_sort(F.collect_list("method")), 1, per_class).alias("methods"))
+    rows = kids.join(named, "id").join(methods, "id", "left").withColumn("methods", F.when(F.col("type") == "class", F.col("methods")))
+    rows = rows.withColumn("pos", F.row_number().over(Window.orderBy("name", "id"))).where(F.col("pos") <= total)
+    bad = file.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(f"unknown file: {path}").alias("error"))
+    return rows.withColumn("error", F.lit(None).cast("string")).unionByName(bad, allowMissingColumns=True)

@@ -78,6 +78,12 @@ def under_prefixes(paths: DataFrame, prefixes: list[str], path: str = "path") ->
     return paths.where(keep)
 
 
+def under_prefix_of(paths: DataFrame, prefix: str, path: str = "path") -> DataFrame:
+    """A2 with a prefix in a column: no prefix lets every path pass."""
+    p = F.regexp_replace(F.coalesce(F.col(prefix), F.lit("")), "/+$", "")
+    return paths.where((p == "") | (F.col(path) == p) | F.col(path).startswith(F.concat(p, F.lit("/"))))
+
+
 def with_raw_prefixes(paths: DataFrame, prefixes: list[str], path: str = "path") -> DataFrame:
     """Paths that start with one of the prefixes, as strings."""
     keep = F.lit(not prefixes)

@@ -26,15 +26,25 @@ def cost_summary(instances: DataFrame, runs: DataFrame) -> DataFrame:
     return rows.withColumn("total_cost_tokens", total).withColumn("cost_per_resolved", F.when(F.col("n_resolved") > 0, F.col("total_cost_tokens") / F.col("n_resolved")))
 
 
-def harness_payload(payload: Column | str) -> Column:
-    """Resolved ids of a report: a list, a map by instance, or only a count; struct of `ids, n_resolved`."""
+def harness_payload(payload: Column | str, n_total: Column | int = 0) -> Column:
+    """Struct of `ids, n_resolved, resolved_rate` of a report: a list of resolved ids, instances by id, or only their number.
+
+    Null where the report is none of these; the rate is 0 where nothing was run.
+    """
     p = F.col(payload) if isinstance(payload, str) else payload
-    listed = F.from_json(p, "resolved_ids array<string>")["resolved_ids"]
-    by = F.from_json(p, "instances map<string, struct<resolved:boolean>>")["instances"]
-    mapped = F.map_keys(F.map_filter(by, lambda _, v: F.coalesce(v["resolved"], F.lit(False))))
-    count = F.from_json(p, "n_resolved long, resolved long")
-    ids = F.array_sort(F.coalesce(listed, mapped))
-    return F.struct(ids.alias("ids"), F.coalesce(F.when(ids.isNotNull(), F.size(ids).cast("long")), count["n_resolved"], count["resolved"]).alias("n_resolved"))
+    n = F.lit(n_total) if isinstance(n_total, int) else n_total
+    listed = F.array_sort(F.from_json(p, "resolved_ids array<string>")["resolved_ids"])
+    top = F.from_json(p, "map<string, string>")
+    said = lambda v: F.coalesce(F.get_json_object(v, "$.resolved"), F.lit("false"))
+    # Fixed list: how JSON writes what counts as no.
+    by = F.array_sort(F.map_keys(F.map_filter(top, lambda _, v: v.startswith("{") & ~said(v).isin("false", "null", "0", "0.0", "", "[]", "{}"))))
+    instances = (F.size(by) > 0) | ((F.size(top) > 0) & F.forall(F.map_values(top), lambda v: F.coalesce(v.startswith("{"), F.lit(False))))
+    ids = F.coalesce(listed, F.when(instances, by))
+    number = F.get_json_object(p, "$.resolved_instances")
+    counted = F.when(number.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"), number.try_cast("double").cast("long"))
+    found = F.when(ids.isNotNull(), F.size(ids).cast("long")).otherwise(counted)
+    rate = F.when(n > 0, F.round(found / n, 4)).otherwise(0.0)
+    return F.when(found.isNotNull(), F.struct(F.coalesce(ids, F.array().cast("array<string>")).alias("ids"), found.alias("n_resolved"), rate.alias("resolved_rate")))
 
 
 def resolved_from_reports(reports: DataFrame) -> DataFrame:
@@ -42,6 +52,14 @@ def resolved_from_reports(reports: DataFrame) -> DataFrame:
     return reports.where("resolved").groupBy("run_id").agg(F.array_sort(F.collect_set("instance_id")).alias("ids"))
 
 
+def harness_results(payloads: DataFrame, reports: DataFrame) -> DataFrame:
+    """`run_id, ids, n_resolved, resolved_rate` of `payloads(run_id, payload, n_total)`; of runs whose report says nothing, by their instances' reports."""
+    rows = payloads.withColumn("p", harness_payload("payload", F.col("n_total"))).join(resolved_from_reports(reports).withColumnRenamed("ids", "_ids"), "run_id", "left")
+    ids = F.when(F.col("p").isNotNull(), F.col("p.ids")).otherwise(F.col("_ids"))
+    n = F.when(F.col("p").isNotNull(), F.col("p.n_resolved")).when(F.col("_ids").isNotNull(), F.size("_ids").cast("long"))
+    return rows.select("run_id", ids.alias("ids"), n.alias("n_resolved"), F.when(F.col("n_total") > 0, F.round(n / F.col("n_total"), 4)).otherwise(0.0).alias("resolved_rate"))
+
+
 def last_attempts(attempts: DataFrame) -> DataFrame:
     """The final row of each instance's attempts, with how many repairs it took."""
     return attempts.groupBy("instance_id").agg(F.max_by(F.struct(*attempts.columns), "attempt").alias("r"), (F.count("*") - 1).alias("retries")).select("r.*", "retries")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed list: names in type expressions that are no classes.
-TYPING_NOISE = ("Any", "None", "Optional", "Union", "Literal", "Annotated", "Final", "ClassVar", "Self", "Type", "list", "dict", "set", "tuple", "List", "Dict", "Set", "Tuple", "Sequence", "Iterable", "Mapping", "Callable")
+TYPING_NOISE = ("Any", "None", "Optional", "Union", "Literal", "Annotated", "Final", "ClassVar", "Self", "Type", "list", "dict", "set", "tuple")
 
 
 def _first(candidates: DataFrame, by: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STALE_MINUTES, GRACE_MINUTES, ETA_AFTER_S = 15.0, 30.0, 120.0
-CONFIG_KEY = ("repo_name", "dataset_name", "issue_set_id", "evaluation_track", "snapshot_commit", "n_issues_evaluated", "enabled_methods", "benchmark")
+CONFIG_KEY = ("run_type", "repo_name", "dataset_name", "issue_set_id", "track", "snapshot_commit", "n_issues_evaluated", "source_prefixes")
 
 
 def latest(rows: DataFrame, by: Sequence[str], order: str) -> DataFrame:
@@ -45,11 +45,16 @@ def freshest_attempts(runs: DataFrame) -> DataFrame:
 
 
 def visible(runs: DataFrame, active_only: bool = False, complete: bool = True, stalled: bool = True, grace: float = GRACE_MINUTES) -> DataFrame:
-    """L5."""
-    keep = F.col("status").isin("running", "not_started")
-    if not active_only:
-        keep = keep | (F.col("status") == "complete") & F.lit(complete) | (F.col("status") == "stalled") & F.lit(stalled)
-    return runs.where(keep | (F.col("status") == "stalled") & (F.col("seen_age") <= grace))
+    """Complete and stalled runs as asked for. One that has not started shows while it is new; where stalled ones show and
+    not only active ones are asked for, whatever its age.
+    """
+    new = F.coalesce(F.col("seen_age") <= grace, F.lit(False))
+    pending = new if active_only or not stalled else F.lit(True)
+    status = F.col("status")
+    other = F.lit(not active_only) & ~status.isin("running", "complete", "stalled", "not_started")
+    return runs.where(
+        (status == "running") | (status == "complete") & F.lit(complete) | (status == "stalled") & F.lit(stalled) | (status == "not_started") & pending | other
+    )
 
 
 def status_summary(runs: DataFrame) -> DataFrame:
@@ -96,9 +101,17 @@ def flattened(rows: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
 
 def cost_points(rows: DataFrame) -> DataFrame:
-    """Cost by the first of three figures that there is, and tokens for a point of F1."""
-    cost = F.coalesce("avg_total_tokens", "avg_runtime_tokens", "total_tokens")
-    return rows.withColumn("cost", cost).withColumn("tokens_per_f1", F.when(F.col("f1") > 0, F.col("cost") / F.col("f1")))
+    """`rows` with `cost` for an issue and `tokens_per_f1`, null without F1.
+
+    Cost is the amortised average, or else the total over the issues, or else the runtime's average and the setup's share.
+    Issues are the run's, or else the method's.
+    """
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
+    n = F.when(zero("n_issues") > 0, zero("n_issues")).otherwise(zero("n_issues_method"))
+    share = F.when(n > 0, zero("setup_tokens") / n).otherwise(zero("setup_tokens"))
+    cost = F.coalesce(F.col("avg_total_amortized").cast("double"), F.when(n > 0, F.col("total_cost_tokens") / n), zero("avg_runtime_tokens") + share)
+    f1 = zero("mean_f1")
+    return rows.withColumn("cost", cost).withColumn("tokens_per_f1", F.when(f1 > 0, F.col("cost") / f1))
 
 
 def pareto(points: DataFrame, cost: str = "cost", quality: str = "quality", by: Sequence[str] = ()) -> DataFrame:
@@ -118,24 +131,34 @@ def without_covered(runs: DataFrame, aggregates: DataFrame) -> DataFrame:
     return runs.join(aggregates.select(F.explode("run_ids").alias("run_id")).distinct(), "run_id", "left_anti")
 
 
+def effective_track(own: Column | str = "evaluation_track", amortization: Column | str = "amortization_track") -> Column:
+    """The run's own track, or else its amortisation's; empty if it has none."""
+    of = lambda c: F.nullif(F.trim(F.col(c) if isinstance(c, str) else c), F.lit(""))
+    return F.coalesce(of(own), of(amortization), F.lit(""))
+
+
 def without_stale(runs: DataFrame) -> DataFrame:
     """Runs with a track, from their own data or the amortisation's."""
-    track = F.coalesce(F.nullif("evaluation_track", F.lit("")), F.nullif("amortization_track", F.lit("")))
-    return runs.withColumn("track", track).where("track IS NOT NULL")
+    return runs.withColumn("track", effective_track()).where("track <> ''")
 
 
 def superseded(runs: DataFrame, key: Sequence[str] = CONFIG_KEY, order: Sequence[str] = ("created_at", "run_id")) -> DataFrame:
-    """The newest run of each configuration."""
-    w = Window.partitionBy(*key).orderBy(*(F.col(c).desc() for c in order))
+    """The newest run of each configuration; a missing part of the key counts as empty, and as 0 for a number."""
+    kinds = dict(runs.dtypes)
+    blank = lambda c: F.array().cast(kinds[c]) if kinds[c].startswith("array") else F.lit("" if kinds[c] == "string" else 0).cast(kinds[c])
+    w = Window.partitionBy(*(F.coalesce(F.col(c), blank(c)) for c in key)).orderBy(*(F.col(c).desc_nulls_last() for c in order))
     return runs.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
 def regime_shift(rows: DataFrame, first: str, second: str, limit: int = 20) -> DataFrame:
-    """What changes between two tracks, the largest change of F1 first."""
-    of = lambda t, x: rows.where(F.col("track") == t).select("repo", "method", F.col("f1").alias(f"{x}_f1"), F.col("cost").alias(f"{x}_cost"))
-    j = of(first, "a").join(of(second, "b"), ["repo", "method"])
-    j = j.select("repo", "method", (F.col("b_f1") - F.col("a_f1")).alias("d_f1"), (F.col("b_cost") - F.col("a_cost")).alias("d_cost"))
-    return j.orderBy(F.abs("d_f1").desc(), "repo", "method").limit(limit)
+    """What changes between two tracks of one repository, dataset, set of issues and method, the largest change of F1 first."""
+    cell = ["repo", "dataset", "issue_set", "method"]
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    blank = [F.coalesce(c, F.lit("")).alias(c) for c in cell]
+    of = lambda t, x: rows.where(F.col("track") == t).select(*blank, zero("f1").alias(f"{x}_f1"), zero("cost").alias(f"{x}_cost"))
+    j = of(first, "a").join(of(second, "b"), cell)
+    j = j.select(*cell, (F.col("b_f1") - F.col("a_f1")).alias("d_f1"), (F.col("b_cost") - F.col("a_cost")).alias("d_cost"))
+    return j.orderBy(F.abs("d_f1").desc(), *cell).limit(limit)
 
 
 def cost_outliers(points: DataFrame, limit: int = 20) -> DataFrame:
@@ -149,6 +172,33 @@ def tool_rollup(calls: DataFrame) -> DataFrame:
     return t.groupBy("method").agg(F.sum("c").alias("n_calls"), F.sum("h").alias("n_hits"), F.max_by("tool", F.struct("c", "tool")).alias("top_tool"))
 
 
+def top_stop_reason(stops: DataFrame) -> DataFrame:
+    """Of `stops(method, stop_reason, n)` the sum and the commonest reason."""
+    t = stops.groupBy("method", "stop_reason").agg(F.sum("n").alias("c"))
+    return t.groupBy("method").agg(F.sum("c").alias("n"), F.max_by("stop_reason", F.struct("c", "stop_reason")).alias("top_stop_reason"))
+
+
+def token_breakdown(summaries: DataFrame) -> DataFrame:
+    """By method the runs' means of setup, of model and query tokens for an issue, of totals, seconds of setup and F1."""
+    n = F.when(F.col("n_issues") > 0, F.col("n_issues")).otherwise(1)
+    return summaries.groupBy("method").agg(
+        F.avg("setup_tokens").alias("setup_tokens"), F.avg(F.col("llm_tokens") / n).alias("llm_per_issue"), F.avg(F.col("query_tokens") / n).alias("query_per_issue"),
+        F.avg("avg_total_unamortized").alias("total_per_issue"), F.avg(F.when(F.col("setup_time_s") > 0, F.col("setup_time_s"))).alias("setup_time_s"), F.avg("mean_f1").alias("mean_f1"),
+    )
+
+
+def setup_scaling(summaries: DataFrame) -> DataFrame:
+    """Each run's setup beside its number of issues."""
+    each = F.when(F.col("n_issues") > 0, F.col("setup_tokens") / F.col("n_issues"))
+    return summaries.select("method", "run", "setup_tokens", "n_issues", each.alias("setup_per_issue"))
+
+
+def cost_reduction(rows: DataFrame, first: str, second: str) -> DataFrame:
+    """How many times the second track's cost the first one's is."""
+    of = lambda t, x: rows.where(F.col("track") == t).select("repo", "method", F.col("cost").alias(x))
+    return of(first, "a").join(of(second, "b"), ["repo", "method"]).select("repo", "method", F.when(F.col("b") > 0, F.col("a") / F.col("b")).alias("factor"))
+
+
 def best_per_group(rows: DataFrame, by: Sequence[str], value: str, name: str, order: str) -> DataFrame:
     """The name with the largest value; of equal ones the first in order."""
     return rows.groupBy(*by).agg(F.max_by(name, F.struct(value, -F.col(order))).alias("best"), F.max(value).alias("best_value"))

@@ -22,6 +22,23 @@ def plain(template: str) -> str:
     return template.format(**{t: t for t in TABLES})
 
 
+def fixed(name: str, columns: str, rows: list[tuple]):
+    """Registers a function of the session whose result, from fixed inputs, is `rows`, worked out by hand."""
+
+    def shown(x: object) -> str:
+        if isinstance(x, str):
+            return "'" + x.replace("'", "''") + "'"
+        return "NULL" if x is None else f"{x!r}::DOUBLE" if isinstance(x, float) else str(x)
+
+    def put(f: Callable[[SparkSession], DataFrame]) -> Callable[[SparkSession], DataFrame]:
+        QUERIES[name] = lambda spark, _: f(spark)
+        values = ", ".join(f"({', '.join(map(shown, r))})" for r in rows)
+        ORACLE_SQL[name] = f"SELECT * FROM (VALUES {values}) AS t({columns})"
+        return f
+
+    return put
+
+
 def query(name: str, sql: str | None = None, **bases: str):
     """Registers a function of DataFrames named like `bases`; `sql` is its DuckDB text over the same bases as CTEs."""
 

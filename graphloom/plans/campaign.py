@@ -50,7 +50,10 @@ def by_repository(jobs: Sequence[tuple[str, Callable[[], object]]], workers: int
 
 
 def provenance(manifest: str, versions: dict[str, str] | None = None) -> dict[str, str]:
-    """Digest of a manifest's text and versions of what ran it."""
+    """Digest of a manifest's text, versions of what ran it, and the commit of the code where it lies in a repository."""
+    import subprocess
+
     import pyspark
 
-    return {"manifest_sha256": hashlib.sha256(manifest.encode()).hexdigest(), "python": platform.python_version(), "pyspark": pyspark.__version__} | (versions or {})
+    found = subprocess.run(["git", "-C", str(Path(__file__).parent), "rev-parse", "HEAD"], capture_output=True, text=True, check=False)
+    return {"git_sha": found.stdout.strip() or "unknown", "manifest_sha256": hashlib.sha256(manifest.encode()).hexdigest(), "python": platform.python_version(), "pyspark": pyspark.__version__} | (versions or {})

@@ -13,7 +13,7 @@ from .base import query
 
 FILE = "concat('src/n', s_nationkey, CASE WHEN s_suppkey % 9 = 0 THEN '/tests' ELSE '' END, '/s', s_suppkey, '.py')"
 EDGES = f"""SELECT DISTINCT f AS src, concat('p', l_partkey) AS dst, CASE l_partkey % 3 WHEN 0 THEN 'CALLS' WHEN 1 THEN 'IMPORTS' ELSE 'INHERITS' END AS type,
-CASE (l_partkey + l_suppkey) % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' END AS confidence
+CASE (l_partkey + l_suppkey) % 4 WHEN 0 THEN 'High' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' END AS confidence
 FROM {{lineitem}} JOIN (SELECT s_suppkey, {FILE} AS f FROM {{supplier}}) s ON l_suppkey = s_suppkey"""
 NODES = f"""SELECT {FILE} AS id, 'file' AS type, s_name AS name, {FILE} AS file, CAST(NULL AS STRING) AS docstring FROM {{supplier}}
 UNION ALL SELECT concat('p', p_partkey), 'function', p_name, f, concat(p_brand, ' ', p_type) FROM {{part}} LEFT JOIN
@@ -22,8 +22,8 @@ UNION ALL SELECT concat('p', p_partkey), 'function', p_name, f, concat(p_brand,
 SEEDS = f"SELECT concat('q', s_suppkey % (SELECT count(*) FROM {{benchmark}})) AS query_id, {FILE} AS node_id, CAST(1.0 - (s_suppkey % 10) * 0.07 AS DOUBLE) AS score FROM {{supplier}}"
 
 NEAR = """
-two AS (SELECT DISTINCT src AS id, dst AS other, type, coalesce(confidence, 'medium') AS confidence FROM edges UNION SELECT DISTINCT dst, src, type, coalesce(confidence, 'medium') FROM edges),
-near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY other, type, confidence) AS pos FROM two) WHERE pos <= 6)
+two AS (SELECT src AS id, dst AS other, type, lower(coalesce(confidence, 'medium')) AS confidence FROM edges UNION ALL SELECT dst, src, type, lower(coalesce(confidence, 'medium')) FROM edges),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY other, type, CASE confidence WHEN 'high' THEN 1.0 WHEN 'low' THEN 0.2 ELSE 0.6 END, confidence) AS pos FROM two) WHERE pos <= 6)
 """
 BFS = NEAR + """,
 s0 AS (SELECT DISTINCT query_id, node_id AS seed, node_id AS node FROM seeds),
@@ -39,10 +39,10 @@ files AS (SELECT id AS node, CASE WHEN type = 'file' THEN id ELSE file END AS fi
 r AS (SELECT p.query_id, f.file, p.depth, edge_types, confidences, s.score AS seed_score,
  list_filter(list_transform(list_zip(edge_types, confidences), lambda z: CASE WHEN z[1] = 'CALLS' THEN z[2] END), lambda x: x IS NOT NULL) AS calls FROM paths p JOIN seeds s ON s.query_id = p.query_id AND s.node_id = p.seed JOIN files f USING (node)),
 r2 AS (SELECT *, CASE WHEN len(calls) > 0 THEN list_avg(list_transform(calls, lambda x: (CASE x WHEN 'high' THEN 1.0 WHEN 'low' THEN 0.2 ELSE 0.6 END)::DOUBLE))
- WHEN len(confidences) > 0 THEN list_avg(list_transform(confidences, lambda x: (CASE x WHEN 'high' THEN 1.0 WHEN 'low' THEN 0.2 ELSE 0.6 END)::DOUBLE)) ELSE 1.0 END AS conf,
- list_contains(confidences, 'low') AND len(list_filter(confidences, lambda x: x <> 'low')) = 0 AS low FROM r),
+ WHEN len(confidences) > 0 THEN list_avg(list_transform(confidences, lambda x: (CASE x WHEN 'high' THEN 1.0 WHEN 'low' THEN 0.2 ELSE 0.6 END)::DOUBLE)) ELSE 1.0 END AS conf
+ FROM r),
 g AS (SELECT query_id, file, count(*) AS n_paths, len(list_distinct(flatten(list(edge_types)))) AS n_types, max(seed_score / (depth + 1)) AS s_sem, avg(conf) AS s_conf, avg(depth::DOUBLE) AS avg_depth,
- count(*) FILTER (low) AS n_low, count(*) FILTER (conf >= 0.8) AS n_high FROM r2 GROUP BY ALL),
+ count(*) FILTER (conf < 0.4) AS n_low, count(*) FILTER (conf >= 0.8) AS n_high FROM r2 GROUP BY ALL),
 deg AS (SELECT file, count(*) AS degree FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) JOIN files USING (node) GROUP BY file),
 e AS (SELECT g.*, ln(1 + n_paths) + 0.25 * least(n_types, 3) / 3 AS gg, coalesce(degree, 0) AS d,
  list_distinct(flatten(list_transform(string_split(g.file, '/'), lambda p: regexp_extract_all(lower(regexp_replace(p, '\.[^.]*$', '')), '[a-z0-9]+')))) AS words,
@@ -105,7 +105,7 @@ fe AS (SELECT a.file AS src, b.file AS dst, CASE WHEN type = 'IMPORTS' THEN 'imp
  FROM edges JOIN files a ON a.node = edges.src JOIN files b ON b.node = edges.dst WHERE a.file <> b.file),
 fg AS (SELECT src, dst, sum(CASE kind WHEN 'test' THEN 0.5 ELSE 1.0 END)::DOUBLE AS weight, count(*) FILTER (kind = 'import') AS n_import, count(*) FILTER (kind = 'symbol') AS n_symbol, count(*) FILTER (kind = 'test') AS n_test FROM fe GROUP BY ALL),
 norm AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS p FROM fg),
-words AS (SELECT file, list_distinct(flatten(list_transform(string_split(file, '/'), lambda p: regexp_extract_all(lower(regexp_replace(p, '\.[^.]*$', '')), '[a-z0-9]+')))) AS w FROM (SELECT DISTINCT file FROM files)),
+words AS (SELECT file, list_distinct(regexp_extract_all(lower(file), '[a-z0-9]+')) AS w FROM (SELECT DISTINCT file FROM files)),
 raw AS (SELECT file, len(list_intersect(w, ['tests', 'n3', 's9', 'n5', 'in', 'src', 'n1', 's1', 'py'])) + CASE WHEN contains('tests n3 s9 n5 in src/n1/s1.py', file) THEN 3 ELSE 0 END AS raw FROM words),
 pers AS (SELECT file, CASE WHEN sum(raw) OVER () > 0 THEN raw / sum(raw) OVER () ELSE 1.0 / count(*) OVER () END AS p FROM raw)
 """
@@ -194,7 +194,7 @@ POOL = "SELECT concat('f', doc_id % 30, '/m', doc_id, '.py') AS file FROM {docum
 
 @query(
     "candidate_pool",
-    r"""WITH s AS (SELECT file, (len(list_intersect(list_distinct(flatten(list_transform(string_split(file, '/'), lambda p: regexp_extract_all(lower(regexp_replace(p, '\.[^.]*$', '')), '[a-z0-9]+')))), ['f3', 'm4', 'f7', 'm7', 'py'])) + CASE WHEN contains('f3 m4 f7/m7.py', file) THEN 2 ELSE 0 END)::DOUBLE AS score FROM files)
+    r"""WITH s AS (SELECT file, (len(list_intersect(list_distinct(regexp_extract_all(lower(file), '[a-z0-9]+')), ['f3', 'm4', 'f7', 'm7', 'py'])) + CASE WHEN contains('f3 m4 f7/m7.py', file) THEN 2 ELSE 0 END)::DOUBLE AS score FROM files)
     SELECT file, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, file) AS rank FROM s) WHERE rank <= 200""",
     files=POOL,
 )
@@ -228,24 +228,24 @@ HUB = "(SELECT min(id) FROM nodes WHERE type = 'file')"
 
 @query(
     "neighbor_tool",
-    f"""WITH e AS (SELECT DISTINCT dst AS id, 'out' AS direction, type FROM edges WHERE src = {HUB} UNION SELECT DISTINCT src, 'in', type FROM edges WHERE dst = {HUB})
-    SELECT * FROM (SELECT id, file, name, direction, type, row_number() OVER (ORDER BY CASE direction WHEN 'out' THEN 0 ELSE 1 END, file NULLS FIRST, id, type)::INT AS pos FROM e LEFT JOIN (SELECT id, file, name FROM nodes) USING (id)) WHERE pos <= 10""",
+    f"""WITH e AS (SELECT DISTINCT dst AS id, 'outgoing' AS direction, type FROM edges WHERE src = {HUB} UNION SELECT DISTINCT src, 'incoming', type FROM edges WHERE dst = {HUB})
+    SELECT * FROM (SELECT id, coalesce(file, id) AS file, name, node_type, substr(coalesce(docstring, ''), 1, 120) AS docstring, direction, type, row_number() OVER (ORDER BY direction DESC, coalesce(file, id), id, type)::INT AS pos FROM e LEFT JOIN (SELECT id, file, name, type AS node_type, docstring FROM nodes) USING (id)) WHERE pos <= 10""",
     **GRAPH,
 )
 def neighbor_tool(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     node = nodes.where("type = 'file'").agg(F.min("id")).first()[0]
-    return graph.neighbor_tool(nodes, edges, node).select("id", "file", "name", "direction", "type", "pos")
+    return graph.neighbor_tool(nodes, edges, node).select("id", "file", "name", "node_type", "docstring", "direction", "type", "pos")
 
 
 @query(
     "file_summary_tool",
-    f"""WITH k AS (SELECT dst AS id FROM edges WHERE type = 'CALLS' AND src = {HUB}) SELECT * FROM (SELECT {HUB} AS file, id, name, type, substr(docstring, 1, 120) AS docstring, row_number() OVER (ORDER BY name, id)::INT AS pos FROM k JOIN (SELECT id, name, type, docstring FROM nodes) USING (id)) WHERE pos <= 8""",
+    f"""WITH k AS (SELECT dst AS id FROM edges WHERE type = 'CALLS' AND src = {HUB}) SELECT * FROM (SELECT {HUB} AS file, id, name, type, substr(docstring, 1, 120) AS docstring, '' AS signature, row_number() OVER (ORDER BY name, id)::INT AS pos FROM k JOIN (SELECT id, name, type, docstring FROM nodes) USING (id)) WHERE pos <= 8""",
     **GRAPH,
 )
 def file_summary_tool(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     node = nodes.where("type = 'file'").agg(F.min("id")).first()[0]
     defines = edges.withColumn("type", F.when(F.col("type") == "CALLS", "DEFINES").otherwise(F.col("type")))
-    return graph.file_summary(nodes, defines, node).select("file", "id", "name", "type", "docstring", "pos")
+    return graph.file_summary(nodes, defines, node).select("file", "id", "name", "type", "docstring", "signature", "pos")
 
 
 TRACE = """SELECT conv_id AS issue, turn, concat('f', length(text) % 5, '.py') AS file, CASE WHEN turn % 3 = 0 THEN NULL ELSE CAST(length(text) % 100 AS DOUBLE) / 100 END AS score,
@@ -260,9 +260,11 @@ def trace_observed_scores(trace: DataFrame) -> DataFrame:
 @query(
     "trace_grounded",
     """WITH o AS (SELECT issue, file, sum(coalesce(score, 0.05)) AS score FROM trace GROUP BY ALL), c AS (SELECT DISTINCT issue, file FROM trace WHERE confident), cl AS (SELECT DISTINCT issue, file FROM claimed),
-    j AS (SELECT cl.issue, cl.file, coalesce(o.score, 0) AS score, c.file IS NOT NULL AS confirmed FROM cl LEFT JOIN o USING (issue, file) LEFT JOIN c USING (issue, file) WHERE o.score IS NOT NULL OR c.file IS NOT NULL),
-    k AS (SELECT *, bool_or(confirmed) OVER (PARTITION BY issue) AS a FROM j)
-    SELECT issue, file, confirmed, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY issue ORDER BY confirmed DESC, score DESC, file) AS rank FROM k WHERE confirmed OR NOT a) WHERE rank <= 6""",
+    best AS (SELECT issue, file, true AS confirmed FROM c SEMI JOIN cl USING (issue, file)),
+    j AS (FROM best UNION ALL SELECT issue, file, true FROM c WHERE issue NOT IN (SELECT issue FROM best)
+     UNION ALL SELECT issue, file, false FROM cl SEMI JOIN o USING (issue, file) WHERE issue NOT IN (SELECT issue FROM c)),
+    k AS (SELECT j.*, coalesce(o.score, 0) AS score FROM j LEFT JOIN o USING (issue, file))
+    SELECT issue, file, confirmed, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY issue ORDER BY confirmed DESC, score DESC, file) AS rank FROM k) WHERE rank <= 6""",
     trace=TRACE, claimed="SELECT conv_id AS issue, concat('f', turn, '.py') AS file FROM {conversations}",
 )
 def trace_grounded(trace: DataFrame, claimed: DataFrame) -> DataFrame:
@@ -270,20 +272,26 @@ def trace_grounded(trace: DataFrame, claimed: DataFrame) -> DataFrame:
     return out.select("issue", "file", "confirmed", "rank")
 
 
+TURNS = """SELECT conv_id AS issue, turn, concat('f', length(text) % 4, '.py') AS file, length(text) % 9 = 0 AS confirmed, length(text) % 7 = 0 AS answer, length(text) % 2 = 0 AS named FROM {conversations}"""
+
+
 @query(
     "trace_stop_reason",
-    """WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY issue, file ORDER BY turn) = 1 AS new FROM trace),
-    t AS (SELECT issue, turn, max(new::INT) AS fresh, sum(tokens) AS tokens, bool_or(confident) AS confident FROM n GROUP BY ALL),
+    """WITH RECURSIVE c AS (SELECT issue, turn, coalesce(answer, false) AS answer, coalesce(named, false) AS named, CASE WHEN NOT coalesce(answer, false) THEN file END AS file, confirmed FROM trace),
+    n AS (SELECT *, file IS NOT NULL AND row_number() OVER (PARTITION BY issue, file ORDER BY turn) = 1 AS new FROM c),
+    t AS (SELECT issue, turn, bool_or(new) AS fresh, bool_or(answer) AS answer, bool_or(named) AS named, bool_or(confirmed AND file IS NOT NULL) AS confirmed FROM n GROUP BY ALL),
     k AS (SELECT *, row_number() OVER (PARTITION BY issue ORDER BY turn) AS nth, count(*) OVER (PARTITION BY issue) AS total FROM t),
-    w AS (SELECT issue, 0::BIGINT AS nth, 0::HUGEINT AS spent, 0::BIGINT AS flat, NULL::VARCHAR AS why FROM k WHERE nth = 1 UNION ALL
-     SELECT w.issue, k.nth, w.spent + k.tokens, CASE WHEN k.fresh = 1 THEN 0 ELSE w.flat + 1 END,
-     CASE WHEN k.confident THEN 'sufficient_confidence' WHEN w.spent + k.tokens > 900 THEN 'budget' WHEN k.fresh = 0 AND w.flat + 1 >= 2 THEN 'stagnation' WHEN k.nth >= 5 THEN 'max_turns' WHEN k.nth = k.total THEN 'finished' END
+    w AS (SELECT issue, 0::BIGINT AS nth, false AS called, false AS have, 0::BIGINT AS flat, NULL::VARCHAR AS why FROM k WHERE nth = 1 UNION ALL
+     SELECT w.issue, k.nth, w.called OR NOT k.answer, w.have OR k.confirmed, CASE WHEN k.fresh THEN 0 ELSE w.flat + 1 END,
+     CASE WHEN k.answer AND (k.named AND w.called OR w.have OR k.confirmed) THEN 'sufficient_confidence' WHEN k.answer THEN 'budget'
+      WHEN NOT k.fresh AND w.flat + 1 >= 2 AND (w.have OR k.confirmed) THEN 'budget'
+      WHEN k.nth >= 5 OR k.nth = k.total THEN CASE WHEN w.have OR k.confirmed THEN 'budget' ELSE 'max_turns' END END
      FROM w JOIN k ON k.issue = w.issue AND k.nth = w.nth + 1 WHERE w.why IS NULL)
     SELECT issue, nth::INT AS turns, why AS stop_reason FROM w WHERE why IS NOT NULL""",
-    trace=TRACE,
+    trace=TURNS,
 )
 def trace_stop_reason(trace: DataFrame) -> DataFrame:
-    return agent.stop_reason(trace, max_turns=5, budget=900)
+    return agent.stop_reason(trace, max_turns=5)
 
 
 @query(

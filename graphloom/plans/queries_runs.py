@@ -2,28 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators import evaluate, extract, patches, resolve, stats, telemetry, tuning
+from graphloom.operators import evaluate, patches, stats, telemetry, tuning
 from graphloom.sources import runs as run_files
 from graphloom.streaming import checkpoints
 
-from .base import QUERIES, query
+from .base import query
 
 ISSUES = "SELECT CAST(doc_id AS STRING) AS instance_id, source AS base_commit, doc_id AS ord FROM {documents}"
 METHODS = "SELECT DISTINCT concat('m', CAST(event_id % 4 AS STRING)) AS method FROM {events}"
 RESULTS = """SELECT CAST(d.doc_id AS STRING) AS instance_id, concat('m', CAST(m AS STRING)) AS method, CASE WHEN (d.doc_id + m) % 11 = 0 THEN 'failed' END AS error,
 CAST((d.doc_id * 7 + m * 13) % 101 AS DOUBLE) / 100 AS f1, CAST((d.doc_id * 3 + m) % 101 AS DOUBLE) / 100 AS precision, CAST((d.doc_id * 5 + m) % 101 AS DOUBLE) / 100 AS recall,
-CAST(length(text) % 1000 AS BIGINT) AS total_tokens, CAST(length(text) % 7 AS BIGINT) AS query_embedding_tokens, CASE d.doc_id % 4 WHEN 0 THEN 'budget' WHEN 1 THEN 'max_turns' WHEN 2 THEN '' END AS stop_reason
+CAST(length(text) % 1000 AS BIGINT) AS total_tokens, CAST(length(text) % 600 AS BIGINT) AS prompt_tokens, CASE WHEN d.doc_id % 5 <> 0 THEN CAST(length(text) % 70 AS BIGINT) END AS candidate_tokens, CAST(length(text) % 7 AS BIGINT) AS query_embedding_tokens, CASE d.doc_id % 4 WHEN 0 THEN 'budget' WHEN 1 THEN 'max_turns' WHEN 2 THEN '' END AS stop_reason
 FROM {documents} d CROSS JOIN (SELECT DISTINCT event_id % 4 AS m FROM {events}) x WHERE (d.doc_id + m) % 17 <> 0"""
-SETUP = "SELECT method, CAST(1000 + 777 * (ascii(substr(method, 2, 1)) - 48) AS BIGINT) AS setup_tokens FROM (SELECT DISTINCT concat('m', CAST(event_id % 3 AS STRING)) AS method FROM {events}) z"
+SETUP = "SELECT method, CAST(1000 + 777 * (ascii(substr(method, 2, 1)) - 48) AS BIGINT) AS setup_tokens, CAST(ascii(substr(method, 2, 1)) AS DOUBLE) AS build_time_s FROM (SELECT DISTINCT concat('m', CAST(event_id % 3 AS STRING)) AS method FROM {events}) z"
 H = {"issues": ISSUES, "methods": METHODS, "results": RESULTS, "setup": SETUP}
 SUMMARY = """
 j AS (SELECT i.instance_id, m.method, r.* EXCLUDE (instance_id, method), r.f1 IS NULL OR error IS NOT NULL AS failed FROM issues i CROSS JOIN methods m LEFT JOIN results r ON r.instance_id = i.instance_id AND r.method = m.method),
 s AS (SELECT method, count(*) AS n, count(*) FILTER (NOT failed) AS n_success, count(*) FILTER (failed) AS n_errors, avg(CASE WHEN failed THEN 0 ELSE precision END) AS p, avg(CASE WHEN failed THEN 0 ELSE recall END) AS r, avg(CASE WHEN failed THEN 0 ELSE f1 END) AS f,
- sum(coalesce(total_tokens, 0))::BIGINT AS llm, sum(coalesce(query_embedding_tokens, 0))::BIGINT AS qt FROM j GROUP BY method),
-t AS (SELECT s.*, coalesce(setup_tokens, 0)::BIGINT AS st FROM s LEFT JOIN setup USING (method))
+ sum(coalesce(prompt_tokens, 0))::BIGINT AS pt, sum(coalesce(candidate_tokens, 0))::BIGINT AS ct, sum(coalesce(total_tokens, 0))::BIGINT AS llm, sum(coalesce(query_embedding_tokens, 0))::BIGINT AS qt FROM j GROUP BY method),
+t AS (SELECT s.*, coalesce(setup_tokens, 0)::BIGINT AS st, coalesce(build_time_s, 0) AS bt FROM s LEFT JOIN setup USING (method))
 """
 
 
@@ -61,12 +61,12 @@ def track_groups(issues: DataFrame) -> DataFrame:
 
 @query(
     "method_summary",
-    "WITH " + SUMMARY + """SELECT method, n AS n_issues, n_success, n_errors, round(p, 6) AS mean_precision, round(r, 6) AS mean_recall, round(f, 6) AS mean_f1, llm AS llm_tokens, qt AS query_tokens, st AS setup_tokens,
-    round(n_errors / n, 6) AS error_rate, st + llm + qt AS total_cost_tokens, round((llm + qt) / n, 6) AS avg_runtime_tokens, round((st + llm + qt) / n, 6) AS avg_total_tokens, round(CASE WHEN f > 0 THEN (llm + qt) / n / f END, 6) AS tokens_per_f1 FROM t""",
+    "WITH " + SUMMARY + """SELECT method, n AS n_issues, n_success, n_errors, round(p, 6) AS mean_precision, round(r, 6) AS mean_recall, round(f, 6) AS mean_f1, pt AS prompt_tokens, ct AS candidate_tokens, llm AS llm_tokens, qt AS query_tokens, st AS setup_tokens, bt AS setup_time_s, llm + qt AS total_runtime_tokens, round(llm / n, 6) AS avg_llm_tokens, round(qt / n, 6) AS avg_query_tokens,
+    round(n_errors / n, 6) AS error_rate, st + llm + qt AS total_cost_tokens, round((llm + qt) / n, 6) AS avg_runtime_tokens, round(st + (llm + qt) / n, 6) AS avg_total_unamortized, round((st + llm + qt) / n, 6) AS avg_total_amortized, round(CASE WHEN f > 0 THEN (llm + qt) / n / f END, 6) AS tokens_per_f1 FROM t""",
     **H,
 )
 def method_summary(**kw: DataFrame) -> DataFrame:
-    return _rounded(_summary(**kw), "mean_precision", "mean_recall", "mean_f1", "error_rate", "avg_runtime_tokens", "avg_total_tokens", "tokens_per_f1")
+    return _rounded(_summary(**kw), "mean_precision", "mean_recall", "mean_f1", "error_rate", "avg_llm_tokens", "avg_query_tokens", "avg_runtime_tokens", "avg_total_unamortized", "avg_total_amortized", "tokens_per_f1")
 
 
 @query(
@@ -284,10 +284,20 @@ def checkpoint_last_lines(lines_: DataFrame) -> DataFrame:
     return run_files.last_lines(run_files.parsed_checkpoints(lines_)).select("instance_id", "prediction")
 
 
-@query("superseded", "SELECT run_id, repo_name FROM (SELECT *, row_number() OVER (PARTITION BY repo_name, kind ORDER BY created_at DESC, run_id DESC) AS k FROM r) WHERE k = 1",
-       r="SELECT CAST(event_id AS STRING) AS run_id, concat('u', CAST(user_id AS STRING)) AS repo_name, event_type AS kind, ts AS created_at FROM {events}")
+CONFIGURED = """SELECT CAST(event_id AS STRING) AS run_id, CASE WHEN event_id % 3 = 0 THEN 'repeat' END AS run_type, concat('u', CAST(user_id % 20 AS STRING)) AS repo_name, event_type AS dataset_name, CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 5 = 1 THEN 'i1' END AS issue_set_id,
+CASE event_id % 4 WHEN 0 THEN ' strict ' WHEN 1 THEN '' WHEN 2 THEN 'strict' END AS evaluation_track, CASE WHEN event_id % 8 < 5 THEN 'snapshot' END AS amortization_track, CAST(NULL AS STRING) AS snapshot_commit, CASE WHEN event_id % 7 <> 0 THEN CAST(event_id % 2 AS INT) END AS n_issues_evaluated,
+CASE WHEN event_id % 11 = 0 THEN 'src' ELSE '' END AS prefix, ts AS created_at FROM {events}"""
+
+
+@query(
+    "superseded",
+    """WITH k AS (SELECT *, coalesce(nullif(trim(evaluation_track), ''), nullif(trim(amortization_track), ''), '') AS track FROM r)
+    SELECT run_id, repo_name, track FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(run_type, ''), repo_name, dataset_name, coalesce(issue_set_id, ''), track, coalesce(n_issues_evaluated, 0), prefix ORDER BY created_at DESC, run_id DESC) AS n FROM k) WHERE n = 1""",
+    r=CONFIGURED,
+)
 def superseded(r: DataFrame) -> DataFrame:
-    return telemetry.superseded(r, ["repo_name", "kind"]).select("run_id", "repo_name")
+    prefixes = F.when(F.col("prefix") != "", F.array("prefix"))
+    return telemetry.superseded(r.withColumns({"track": telemetry.effective_track(), "source_prefixes": prefixes})).select("run_id", "repo_name", "track")
 
 
 @query("anti_covered", "SELECT run_id FROM r WHERE run_id NOT IN (SELECT run_id FROM a)", r="SELECT CAST(user_id AS STRING) AS run_id FROM {events} GROUP BY user_id", a="SELECT CAST(user_id AS STRING) AS run_id FROM {events} WHERE event_type = 'signup' AND value > 50 GROUP BY user_id")
@@ -319,9 +329,9 @@ def freshest_attempts(r: DataFrame) -> DataFrame:
     return telemetry.freshest_attempts(_states(r)).select("run_id", "manifest", "status")
 
 
-@query("visible_runs", "WITH " + STATUS + " SELECT run_id FROM st WHERE status IN ('running', 'not_started') OR status = 'stalled' AND seen_age <= 10", r=STATES)
+@query("visible_runs", "WITH " + STATUS + " SELECT run_id FROM st WHERE status = 'running' OR status = 'not_started' AND seen_age <= 10 OR status = 'complete'", r=STATES)
 def visible_runs(r: DataFrame) -> DataFrame:
-    return telemetry.visible(_states(r), active_only=True, grace=10).select("run_id")
+    return telemetry.visible(_states(r), active_only=True, stalled=False, grace=10).select("run_id")
 
 
 @query("resumable", "WITH " + STATUS + " SELECT manifest, arg_max(run_id, last_seen_ts) AS run_id FROM st WHERE manifest NOT IN (SELECT manifest FROM st WHERE status = 'complete') GROUP BY manifest", r=STATES)
@@ -344,8 +354,9 @@ def pareto_frontier(pts: DataFrame) -> DataFrame:
 
 @query(
     "regime_shift",
-    "SELECT a.repo, a.method, round(b.f1 - a.f1, 6) AS d_f1, round(b.cost - a.cost, 6) AS d_cost FROM g a JOIN g b ON a.repo = b.repo AND a.method = b.method WHERE a.track = 'strict' AND b.track = 'snapshot' ORDER BY abs(b.f1 - a.f1) DESC, a.repo, a.method LIMIT 20",
-    g="SELECT CASE o_orderkey % 2 WHEN 0 THEN 'strict' ELSE 'snapshot' END AS track, CAST(o_custkey % 10 AS STRING) AS repo, o_orderpriority AS method, CAST(sum(o_orderkey % 101) AS DOUBLE) / 100 AS f1, CAST(count(*) AS DOUBLE) AS cost FROM {orders} GROUP BY o_orderkey % 2, o_custkey % 10, o_orderpriority",
+    """SELECT a.repo, a.dataset, coalesce(a.issue_set, '') AS issue_set, a.method, round(coalesce(b.f1, 0) - coalesce(a.f1, 0), 6) AS d_f1, round(b.cost - a.cost, 6) AS d_cost
+    FROM g a JOIN g b ON a.repo = b.repo AND a.method = b.method AND a.dataset = b.dataset AND a.issue_set IS NOT DISTINCT FROM b.issue_set WHERE a.track = 'strict' AND b.track = 'snapshot' ORDER BY abs(coalesce(b.f1, 0) - coalesce(a.f1, 0)) DESC, a.repo, a.dataset, coalesce(a.issue_set, ''), a.method LIMIT 20""",
+    g="SELECT track, repo, method, dataset, issue_set, CASE WHEN count(*) % 9 <> 0 THEN CAST(sum(k) AS DOUBLE) / 100 END AS f1, CAST(count(*) AS DOUBLE) AS cost FROM (SELECT CASE o_orderkey % 2 WHEN 0 THEN 'strict' ELSE 'snapshot' END AS track, CAST(o_custkey % 10 AS STRING) AS repo, o_orderpriority AS method, concat('d', o_custkey % 2) AS dataset, CASE WHEN o_custkey % 3 > 0 THEN concat('i', o_custkey % 3) END AS issue_set, o_orderkey % 101 AS k FROM {orders}) x GROUP BY track, repo, method, dataset, issue_set",
 )
 def regime_shift(g: DataFrame) -> DataFrame:
     return _rounded(telemetry.regime_shift(g, "strict", "snapshot"), "d_f1", "d_cost")
@@ -405,31 +416,3 @@ def event_sessions(e: DataFrame) -> DataFrame:
        log="SELECT concat('run', CAST(user_id % 12 AS STRING)) AS run_id, CAST(user_id AS STRING) AS instance_id, max(ts) AS ts, event_type AS patch_status FROM {events} GROUP BY user_id, event_type")
 def stream_checkpoint_status(log: DataFrame) -> DataFrame:
     return checkpoints.latest_per_instance(log).select("run_id", "instance_id", "patch_status")
-
-
-# Fixed sources for the extraction queries: `documents` holds no Python.
-SOURCES = {
-    "a.py": "import b\nfrom c import tool as t\nclass A(b.Base):\n    def run(self):\n        self.step()\n        helper()\n        b.work()\n        t()\n    def step(self):\n        pass\ndef helper():\n    return 1\n",
-    "b.py": "def work():\n    pass\nclass Base:\n    pass\n", "c.py": "def tool():\n    near()\n", "pkg1/mod.py": "def near():\n    pass\n", "pkg2/mod.py": "def near():\n    pass\n",
-}
-
-
-def _sources(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(SOURCES.items()), "path string, content string")
-
-
-def code_graph_extract(spark: SparkSession, _: str) -> DataFrame:
-    return resolve.code_graph(_sources(spark))[0].select("id", "type", "name", "file", "parent_class", "start_line", "end_line")
-
-
-def call_cascade(spark: SparkSession, _: str) -> DataFrame:
-    return resolve.code_graph(_sources(spark))[1]
-
-
-def import_resolve(spark: SparkSession, _: str) -> DataFrame:
-    files = _sources(spark)
-    bound = resolve.bindings(extract.imports(files), files, extract.definitions(files))
-    return bound.select("file", "alias", "kind", "symbol", "target_file", "target_node")
-
-
-QUERIES |= {"code_graph_extract": code_graph_extract, "call_cascade": call_cascade, "import_resolve": import_resolve}

@@ -120,11 +120,11 @@ def stable_ids(ids: DataFrame) -> DataFrame:
 
 @query(
     "infer_domain_case",
-    "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'web_framework' WHEN 1 THEN 'networking' WHEN 2 THEN 'testing_tooling' WHEN 3 THEN 'data_ml' WHEN 4 THEN 'app_cli' ELSE 'library' END AS domain, CASE page_id % 3 WHEN 0 THEN 'SWE-PolyBench' WHEN 1 THEN 'SWE-bench' ELSE 'other' END AS benchmark, regexp_replace(lower(r), '[^a-z0-9]+', '_', 'g') AS slug FROM raw",
-    raw="SELECT page_id, concat('Own/', CASE page_id % 6 WHEN 0 THEN 'Flask-x' WHEN 1 THEN 'httpx' WHEN 2 THEN 'pytest' WHEN 3 THEN 'Keras' WHEN 4 THEN 'yt-dlp' ELSE 'misc' END) AS r, CASE page_id % 3 WHEN 0 THEN 'org/SWE-PolyBench' WHEN 1 THEN 'SWE-bench_v' ELSE 'x' END AS d FROM {pages}",
+    "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'web_framework' WHEN 1 THEN 'networking' WHEN 2 THEN 'testing_tooling' WHEN 3 THEN 'data_ml' WHEN 4 THEN 'app_cli' ELSE 'library' END AS domain, CASE page_id % 3 WHEN 0 THEN 'SWE-PolyBench' WHEN 1 THEN 'SWE-bench' ELSE 'other' END AS benchmark, trim(regexp_replace(regexp_replace(lower(r), '[/-]', '_', 'g'), '[^a-z0-9_]', '', 'g'), '_') AS slug, trim(regexp_replace(lower(r), '[^a-z0-9]+', '-', 'g'), '-') AS name_slug FROM raw",
+    raw="SELECT page_id, concat('Own/ ', CASE page_id % 6 WHEN 0 THEN 'Flask-x' WHEN 1 THEN 'httpx' WHEN 2 THEN 'pytest' WHEN 3 THEN 'Keras' WHEN 4 THEN 'yt-dlp' ELSE 'misc' END) AS r, CASE page_id % 3 WHEN 0 THEN 'org/SWE-PolyBench' WHEN 1 THEN 'SWE-bench_v' ELSE 'x' END AS d FROM {pages}",
 )
 def infer_domain_case(raw: DataFrame) -> DataFrame:
-    return raw.select("page_id", T.domain_of("r").alias("domain"), T.benchmark_of("d").alias("benchmark"), T.slug("r").alias("slug"))
+    return raw.select("page_id", T.domain_of("r").alias("domain"), T.benchmark_of("d").alias("benchmark"), T.slug("r").alias("slug"), T.name_slug("r").alias("name_slug"))
 
 
 @query(
@@ -168,7 +168,7 @@ ONE_QUERY = "WITH q AS (SELECT embedding FROM vecs WHERE id = 0), s AS (SELECT v
 
 def _ranked(vecs: DataFrame, k: int) -> DataFrame:
     best = dense.topk(vecs, vecs.where("id = 0").select("embedding"), k)
-    return best.join(F.broadcast(vecs.select("id", "label")), "id")
+    return vecs.select("id", "label").join(F.broadcast(best), "id")  # best: k rows
 
 
 @query("dense_topk", ONE_QUERY + "SELECT id, score, rank::INT AS rank FROM r WHERE rank <= 20", vecs=VECTORS)
@@ -216,8 +216,7 @@ def list_files(urls: DataFrame) -> DataFrame:
     urls="SELECT page_id, p AS path, (SELECT min(regexp_extract(regexp_replace(url, '^[a-z]+://', ''), '^([^/]+)', 1)) FROM {pages}) AS h FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS p FROM {pages})",
 )
 def prefix_filter(urls: DataFrame) -> DataFrame:
-    host = urls.select("h").first()[0]
-    return lexical.under_prefixes(urls, [host + "/"]).select("page_id", "path")
+    return lexical.under_prefix_of(urls, "h").select("page_id", "path")
 
 
 @query(
@@ -255,13 +254,18 @@ def token_budget_greedy(docs: DataFrame) -> DataFrame:
 
 @query(
     "schema_coalesce",
-    """SELECT coalesce(nullif(a, ''), nullif(b, '')) AS instance_id, 'r' AS repo, CASE WHEN nullif(a, '') IS NULL THEN 'x' ELSE 'y' END AS base_commit, array_to_string(CASE WHEN g <> '' THEN ['p/q.py', 'z.py'] ELSE ['n.py'] END, ',') AS gold FROM raw""",
-    raw="SELECT CASE WHEN doc_id % 3 = 0 THEN '' ELSE CAST(doc_id AS STRING) END AS a, concat('i', doc_id) AS b, CASE WHEN doc_id % 2 = 0 THEN './p/q.py; z.py,p/q.py' ELSE '' END AS g FROM {documents}",
+    """SELECT CASE WHEN a <> '' THEN a ELSE b END AS instance_id, CASE WHEN doc_id % 7 = 0 THEN 'fallback' WHEN doc_id % 7 = 1 THEN 'own' ELSE 'r' END AS repo, CASE WHEN a = '' THEN 'x' ELSE 'y' END AS base_commit,
+    CASE WHEN doc_id % 4 = 0 THEN 'said' WHEN doc_id % 4 = 1 THEN 'asked' ELSE '' END AS problem_statement, CASE WHEN doc_id % 6 = 0 THEN 'p/q.py,z.py' WHEN doc_id % 6 = 2 THEN 'o.py' WHEN doc_id % 6 = 4 THEN 'n.py' ELSE 'n.py' END AS gold FROM raw""",
+    raw="""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE CAST(doc_id AS STRING) END AS a, concat('i', doc_id) AS b, CASE WHEN doc_id % 7 > 1 THEN 'r' END AS c, CASE WHEN doc_id % 7 = 1 THEN 'own' END AS d,
+        CASE doc_id % 6 WHEN 0 THEN './p/q.py; z.py,p/q.py' WHEN 4 THEN ' ; ' ELSE '' END AS g, CASE doc_id % 6 WHEN 2 THEN '/o.py' WHEN 4 THEN 'unused.py' END AS h, CASE WHEN doc_id % 4 = 0 THEN 'said' ELSE '' END AS e, CASE WHEN doc_id % 4 < 2 THEN 'asked' END AS f FROM {documents}""",
 )
 def schema_coalesce(raw: DataFrame) -> DataFrame:
-    patch = F.lit("diff --git a/m.py b/n.py\n--- a/m.py")
-    rows = raw.select(F.col("a").alias("instance_id"), F.col("b").alias("id"), F.lit("r").alias("repo"), F.when(F.col("a") != "", "y").alias("base_sha"), F.lit("x").alias("commit"), patch.alias("patch"), F.col("g").alias("gold_files"))
-    return datasets.issues(rows).select("instance_id", "repo", "base_commit", F.array_join("gold_files", ",").alias("gold"))
+    patch = F.lit("diff --git a/m.py b/./n.py\n--- a/m.py")
+    rows = raw.select(
+        F.col("a").alias("instance_id"), F.col("b").alias("id"), F.col("c").alias("repo"), F.col("d").alias("repository"), F.when(F.col("a") != "", "y").alias("base_sha"),
+        F.lit("x").alias("commit"), patch.alias("patch"), F.col("g").alias("gold_files"), F.col("h").alias("file_paths"), F.col("e").alias("statement"), F.col("f").alias("prompt"),
+    )
+    return datasets.issues(rows, "fallback").select("instance_id", "repo", "base_commit", "problem_statement", F.array_join("gold_files", ",").alias("gold"))
 
 
 @query(

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.text import gold_files_from_diff, normalize_paths
+from graphloom.operators.paths import canonical_list
 from graphloom.shipping import ship
 
 # Fixed names of the methods and of what they used to be called.
@@ -18,6 +20,7 @@ METHODS = (
     "none", "oracle", "bm25", "raw_rag_fixed", "raw_rag_function", "rag_metadata", "rag_progressive", "gm_deterministic", "gm_progressive", "repomap_like",
     "agentless_like", "agentic_cold_start", "rag_baseline",
 )
+ALIASES = {"agentless_like_localization": "agentless_like"}
 
 Method = Callable[..., DataFrame]
 
@@ -33,10 +36,15 @@ class Registry:
             raise ValueError(f"unknown method: {name}")
         self.methods[name] = method
 
-    def run(self, name: str, issues: DataFrame, **more: Any) -> DataFrame:
+    def run(self, name: str, issues: DataFrame, valid: DataFrame | None = None, **more: Any) -> DataFrame:
+        """The method's files; with `valid(path)` as canonical paths of those, others left out."""
+        name = ALIASES.get(name, name)
         if name not in self.methods:
             raise ValueError(f"unknown method: {name}")
-        return self.methods[name](issues, **more)
+        found = self.methods[name](issues, **more)
+        if valid is None:
+            return found
+        return canonical_list(found.select("instance_id", normalize_paths("files").alias("paths")), valid, "instance_id")
 
 
 def no_files(issues: DataFrame, **_: Any) -> DataFrame:
@@ -45,7 +53,12 @@ def no_files(issues: DataFrame, **_: Any) -> DataFrame:
 
 
 def oracle_files(issues: DataFrame, **_: Any) -> DataFrame:
-    return issues.select("instance_id", F.col("gold_files").alias("files"))
+    """the files of the patch, or else the gold files."""
+    gold = F.coalesce("gold_files", F.array().cast("array<string>"))
+    if "patch" in issues.columns:
+        patched = gold_files_from_diff("patch")
+        gold = F.when(F.size(patched) > 0, patched).otherwise(gold)
+    return issues.select("instance_id", normalize_paths(gold).alias("files"))
 
 
 def generate(rows: DataFrame, model: Callable[[list[str]], list[str]], prompt: str = "prompt", answer: str = "answer") -> DataFrame:

@@ -14,12 +14,12 @@ from graphloom.functions.text import gold_files_from_diff, gold_files_from_text,
 # Fixed names: where a dataset may keep each field, in order of preference.
 FIELDS = {
     "instance_id": ("instance_id", "id", "issue_id", "problem_id"),
-    "repo": ("repo",),
+    "repo": ("repo", "repository"),
     "base_commit": ("base_commit", "base_sha", "commit", "snapshot_commit"),
-    "problem_statement": ("problem_statement", "issue_text", "description", "body"),
+    "problem_statement": ("problem_statement", "statement", "issue", "prompt"),
     "patch": ("patch", "gold_patch"),
 }
-GOLD = ("gold_files", "changed_files", "modified_files", "files")
+GOLD = ("gold_files", "oracle_files", "target_files", "file_paths")
 SPLITS = {"default": ("test", "train", "dev"), "poly": ("test", "validation", "dev", "train")}
 
 
@@ -34,37 +34,48 @@ def _given(df: DataFrame, names: Iterable[str]) -> Column:
     return F.coalesce(*have, F.lit(None).cast("string"))
 
 
-def issues(raw: DataFrame) -> DataFrame:
-    """A4: any dataset's rows in one shape; gold files are given, or else read from the patch."""
+def issues(raw: DataFrame, repo: str = "", *more: str) -> DataFrame:
+    """A4: any dataset's rows in one shape; the first gold list that is given counts, and if it names no file, the patch.
+
+    Rows without a repository belong to `repo`. Missing texts are empty, a missing commit is null. `more` names columns that
+    stay.
+    """
     out = {k: _given(raw, v) for k, v in FIELDS.items()}
     gold = F.lit(None).cast("array<string>")
     for name in reversed([n for n in GOLD if n in raw.columns]):
         c = F.col(name)
-        c = normalize_paths(c) if raw.schema[name].dataType.typeName() == "array" else gold_files_from_text(c)
-        gold = F.coalesce(F.when(F.size(c) > 0, c), gold)
-    patch = out["patch"]
-    gold = F.coalesce(gold, gold_files_from_diff(patch))
+        if raw.schema[name].dataType.typeName() == "array":
+            gold = F.when(F.size(c) > 0, normalize_paths(c)).otherwise(gold)
+        else:
+            gold = F.when(c != "", gold_files_from_text(c)).otherwise(gold)
+    gold = F.when(F.size(gold) > 0, gold).otherwise(normalize_paths(gold_files_from_diff(out["patch"])))
+    defaults = {"instance_id": "", "repo": repo, "problem_statement": "", "patch": ""}
+    fields = [F.coalesce(c, F.lit(defaults[k])).alias(k) if k in defaults else c.alias(k) for k, c in out.items()]
     split = [F.col("split")] if "split" in raw.columns else []
-    return raw.select(*(c.alias(k) for k, c in out.items()), gold.alias("gold_files"), *split)
+    return raw.select(*fields, gold.alias("gold_files"), *split, *more)
 
 
 def load_splits(spark: SparkSession, root: str, name: str, repo: str | None = None, fmt: str = "parquet") -> DataFrame:
     """A3: the union of the splits that can be read, of one repository if asked; of one id the first seen."""
     parts = []
+    names = FIELDS["repo"] if family(name) == "poly" else FIELDS["repo"][:1]
+    row = "_metadata.row_index" if fmt == "parquet" else "monotonically_increasing_id()"
     for k, split in enumerate(SPLITS[family(name)]):
         try:
             df = spark.read.format(fmt).load(f"{root}/{split}.{fmt}")
         except Exception:  # noqa: BLE001  a split that is not there is passed over
             continue
-        parts.append(issues(df.withColumn("split", F.lit(split))).withColumn("_s", F.lit(k)))
+        place = F.struct(F.lit(k), F.expr("_metadata.file_path"), F.expr(row))
+        df = df.select("*", F.lit(split).alias("split"), place.alias("_place"))
+        if repo:
+            df = df.where(_given(df, names) == repo)
+        parts.append(issues(df, repo or "", "_place"))
     if not parts:
         raise ValueError(f"no split of {name} can be read")
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    if repo:
-        rows = rows.where(F.col("repo") == repo)
-    return first_seen(rows.where("instance_id IS NOT NULL"), "instance_id", ["_s", "base_commit"]).drop("_s")
+    return first_seen(rows, "instance_id", ["_place"]).drop("_place")
 
 
 def first_seen(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:

@@ -55,6 +55,33 @@ def save_vectors(vectors: DataFrame, path: str) -> None:
     vectors.write.mode("overwrite").parquet(path)
 
 
+def load_vectors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def discovered(spark: SparkSession, root: str, below: str = "patch_runs", skip: str = "_repos") -> DataFrame:
+    """L1: `run_dir, run_id, seen_ts` of the folders below any folder called `below`, the newest first; `skip` is not entered.
+
+    A run's time is that of its newest summary, prediction or checkpoint file, null without any.
+    """
+    fs = spark._jvm.org.apache.hadoop.fs
+    at = fs.Path(root)
+    system = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    marks = lambda name: name in ("patch_summary.json", "predictions.json", MERGED_FILE) or (name.startswith("worker_") and name.endswith(".jsonl"))
+    rows, todo = [], [at] if system.exists(at) else []
+    while todo:
+        folder = todo.pop()
+        inside = [s for s in system.listStatus(folder) if s.isDirectory()]
+        if folder.getName() == below:
+            for run in inside:
+                times = [s.getModificationTime() for s in system.listStatus(run.getPath()) if s.isFile() and marks(s.getPath().getName())]
+                rows.append((run.getPath().toString(), run.getPath().getName(), max(times) / 1000 if times else None))
+        elif folder.getName() != skip:
+            todo += [s.getPath() for s in inside]
+    found = spark.createDataFrame(rows, "run_dir string, run_id string, seen_ts double")
+    return found.orderBy(F.coalesce("seen_ts", F.lit(0.0)).desc(), F.col("run_id").desc())
+
+
 def save_results(detailed: DataFrame, summary: DataFrame, path: str) -> None:
     """Under the run's folder and again under "latest"."""
     base, _, _ = path.rstrip("/").rpartition("/")

@@ -44,7 +44,7 @@ def test_text_functions(spark):
     assert one(spark, T.extract_patch("t"), t="<patch>x</patch>") == "x\n" and one(spark, T.extract_patch("t"), t="<patch> cannot_patch</patch>") is None
     assert one(spark, T.extract_patch("t"), t="```diff\n--- a/x\n+++ b/x\n@@ -1 +1 @@\n-a\n+b\n```\nend") == "--- a/x\n+++ b/x\n@@ -1 +1 @@\n-a\n+b\n"
     assert one(spark, T.confidence_label(F.lit(0.5)), t="") == "medium" and one(spark, T.confidence_weight("t"), t="odd") == 0.6
-    assert one(spark, T.embedding_text("n", F.lit("function"), "s", "d"), n="f", s="(x)", d="Doc") == "f (x): Doc"
+    assert one(spark, T.embedding_text("n", F.lit("function"), "s", "d"), n="f", s="(x)", d="Doc") == "f(x): Doc"
     assert one(spark, T.method_of_model("t", "own-"), t="own-bm25") == "bm25" and one(spark, T.excerpt("t", 5), t="a \n b  c d") == "a b c"
 
 
@@ -139,7 +139,7 @@ def test_validated_spans_and_final_files(spark):
     got = {r.issue_id: ([s.symbol_id for s in r.spans], r.violations) for r in fusion.validated_spans(answers, pool).collect()}
     assert got == {"i": (["s1"], 3), "j": ([], 1)}
     row = spark.createDataFrame([(["b"], ["a", "b"], ["c"])], "x array<string>, y array<string>, z array<string>")
-    assert row.select(fusion.final_files(F.col("x"), F.col("y"), F.col("z")).alias("f")).first().f == ["b", "a", "c"]
+    assert row.select(fusion.final_files(F.col("x"), F.col("y"), F.col("z")).alias("f")).first().f == ["b"]
 
 
 def test_evaluation(spark):
@@ -200,17 +200,26 @@ def test_checkpoints_and_patches(spark, tmp_path):
     assert got == {"a": "merged", "b": "last"}
     chunks = patches.contiguous_chunks(spark.range(10), 3, "id")
     assert [r["count"] for r in chunks.groupBy("worker").count().orderBy("worker").collect()] == [4, 3, 3]
-    payloads = ['{"resolved_ids": ["b", "a"]}', '{"instances": {"x": {"resolved": true}, "y": {"resolved": false}}}', '{"n_resolved": 4}']
-    got = [tuple(r.p) for r in spark.createDataFrame([(p,) for p in payloads], "p string").select(patches.harness_payload("p").alias("p")).collect()]
-    assert got == [(["a", "b"], 2), (["x"], 1), (None, 4)]
+    payloads = [
+        '{"resolved_ids": ["b", "a"], "resolved_instances": 9}', '{"x": {"resolved": true}, "y": {"resolved": false}, "z": {"resolved": 1}}', '{"x": {}, "y": {"resolved": null}}',
+        '{"resolved_instances": 4, "total_instances": 8}', '{"note": "nothing"}', "broken", '{"resolved_ids": []}', '{"x": {"resolved": true}, "resolved_instances": 7}',
+    ]
+    got = [r.p and tuple(r.p) for r in spark.createDataFrame([(p,) for p in payloads], "p string").coalesce(1).select(patches.harness_payload("p", 8).alias("p")).collect()]
+    assert got == [(["a", "b"], 2, 0.25), (["x", "z"], 2, 0.25), ([], 0, 0.0), ([], 4, 0.5), None, None, ([], 0, 0.0), (["x"], 1, 0.125)]
 
 
 def test_tuning():
-    for c in tuning.candidates(20, 7):
-        assert c.problems() == []
-    assert tuning.candidates(3, 7) == tuning.candidates(3, 7)
-    bad = tuning.Config("x", 0, 1, 1, -1, {"a": 0.8, "b": 0.1})
-    assert len(bad.problems()) == 4
+    for c in tuning.candidates(200, 7):
+        assert c.problems() == [] and abs(sum(c.weights.values()) - 1) < 1e-9 and [*c.weights] == ["sem", "graph", "conf", "hint", "pen"]
+        assert c.seed_k in (6, 8, 10) and c.depth in (1, 2, 3) and c.cap in (8, 12, 16) and 0.55 <= c.ratio <= 0.85 and 0 <= c.min_cut <= 0.15
+        assert c.hub_threshold in (12, 16, 20, 24, 30) and 0.1 <= c.hub_scale <= 0.6 and c.min_return == 1 and max(c.weights.values()) <= 0.7
+    assert tuning.candidates(3, 7) == tuning.candidates(3, 7) and [c.config_id for c in tuning.candidates(2, 7)] == ["cfg-0001", "cfg-0002"] and tuning.candidates(-1, 7) == []
+    bad = tuning.Config("x", seed_k=0, min_return=0, ratio=-1, hub_scale=-0.1, weights={"sem": 0.8, "odd": 0.1})
+    assert len(bad.problems()) == 7
+    assert tuning.checked("y", depth="3", ratio="0.5").depth == 3
+    for wrong in ({"depth": 0}, {"speed": 1}, {"weights": {"sem": 0.5}}):
+        with pytest.raises(ValueError):
+            tuning.checked("z", **wrong)
 
 
 def test_split_target(spark):
@@ -225,12 +234,111 @@ def test_grounding_and_files(spark):
     seen = spark.createDataFrame([("i", "a", 0.5, 1), ("i", "b", 0.9, 1)], "issue string, file string, score double, n long")
     none = spark.createDataFrame([], "issue string, file string")
     assert [r.file for r in agent.grounded(claimed, seen, none).orderBy("rank").collect()] == ["b", "a"]
-    assert [r.file for r in agent.grounded(claimed, seen, spark.createDataFrame([("i", "a")], "issue string, file string")).collect()] == ["a"]
+    ok = lambda *files: spark.createDataFrame([("i", f) for f in files], "issue string, file string")
+    of = lambda *a, **k: [r.file for r in agent.grounded(*a, **k).orderBy("rank").collect()]
+    assert of(claimed, seen, ok("a")) == ["a"]
+    # no claimed file is confirmed: all confirmed ones, seen or not
+    assert of(claimed, seen, ok("y", "x")) == ["x", "y"] and of(claimed, seen, ok("x", "b", "y")) == ["b"]
+    assert of(claimed, seen, ok("a"), confirmed_only=False) == ["a", "b"]
     store = spark.createDataFrame([("a.py", "x" * 50)], "path string, content string")
     got = agent.read_files(spark.createDataFrame([("./a.py",), ("../a.py",), ("b.py",)], "path string"), store, 10).collect()
     assert {r.path: r.error for r in got} == {"./a.py": None, "../a.py": "outside", "b.py": "not found"}
 
 
+def test_stop_reasons(spark):
+    """(file, confirmed, answer, named) by turn, for the mode that needs confirmed files."""
+    call, again, sure, tell, vague = ("a", False, False, False), ("a", False, False, False), ("b", True, False, False), (None, False, True, True), (None, False, True, False)
+    cases = {
+        "named": ([call, tell], (2, "sufficient_confidence")), "at once": ([tell], (1, "budget")), "fallback": ([sure, vague], (2, "sufficient_confidence")),
+        "vague": ([call, vague], (2, "budget")), "stuck": ([sure, sure, sure, tell], (3, "budget")), "stuck without files": ([call, again, again, again], (4, "max_turns")),
+        "used up": ([sure, call, ("c", False, False, False), ("d", False, False, False), tell], (4, "budget")),
+    }
+    rows = [(name, k, *turn) for name, (turns, _) in cases.items() for k, turn in enumerate(turns)]
+    trace = spark.createDataFrame(rows, "issue string, turn int, file string, confirmed boolean, answer boolean, named boolean")
+    got = {r.issue: (r.turns, r.stop_reason) for r in agent.stop_reason(trace, max_turns=4).collect()}
+    assert got == {name: want for name, (_, want) in cases.items()}
+    observed = {r.issue: r.stop_reason for r in agent.stop_reason(trace, max_turns=4, need_confirmed=False, use_observed=True).collect()}
+    assert observed["stuck without files"] == "budget" and observed["vague"] == "sufficient_confidence"
+
+
+def test_evidence_labels_paths_by_their_mean(spark):
+    """A path of a high and a low edge is medium: (1.0 + 0.2) / 2; calls alone count where there are any."""
+    paths = spark.createDataFrame([
+        ("q", "s", "n1", 2, ["IMPORTS", "IMPORTS"], ["high", "low"]), ("q", "s", "n2", 2, ["CALLS", "IMPORTS"], ["low", "high"]), ("q", "s", "n3", 1, ["CALLS"], ["high"]),
+    ], "query_id string, seed string, node string, depth int, edge_types array<string>, confidences array<string>")
+    files = spark.createDataFrame([("n1", "f.py"), ("n2", "f.py"), ("n3", "f.py")], "node string, file string")
+    found = graph.evidence(paths, spark.createDataFrame([("q", "s", 1.0)], "query_id string, node_id string, score double"), files).first()
+    assert (found.n_paths, found.n_low, found.n_high, found.n_types) == (3, 1, 1, 2)
+
+
+def test_neighbours_by_weight_and_both_ways(spark):
+    """low < medium < high; an edge back to the same node is another neighbour; labels in any case."""
+    e = spark.createDataFrame([("a", "b", "CALLS", "High"), ("a", "b", "CALLS", "low"), ("a", "b", "CALLS", None), ("b", "a", "CALLS", "LOW")], "src string, dst string, type string, confidence string")
+    got = [(r.other, r.confidence) for r in graph.capped_neighbors(e, 12).where("id = 'a'").orderBy("pos").collect()]
+    assert got == [("b", "low"), ("b", "low"), ("b", "medium"), ("b", "high")]
+
+
+def test_visible_runs(spark):
+    rows = [("r", "running", 99.0), ("c", "complete", 1.0), ("s", "stalled", 1.0), ("new", "not_started", 5.0), ("old", "not_started", 90.0), ("none", "not_started", None)]
+    runs_ = spark.createDataFrame(rows, "run_id string, status string, seen_age double")
+    shown = lambda **k: {r.run_id for r in telemetry.visible(runs_, **k).collect()}
+    assert shown(active_only=True, complete=False, stalled=False) == {"r", "new"}
+    assert shown(active_only=True, complete=True, stalled=True) == {"r", "new", "c", "s"}
+    assert shown() == {"r", "c", "s", "new", "old", "none"}
+    assert shown(stalled=False) == {"r", "c", "new"}
+
+
+def test_configurations_that_supersede(spark):
+    rows = [
+        ("1", "2026-02-11 10:00:00", None, "strict", None, 8, None), ("2", "2026-02-11 12:00:00", "", " strict ", "x", 8, []), ("3", "2026-02-11 11:00:00", "", "", "strict", 8, []),
+        ("4", "2026-02-11 09:00:00", "repeat", "strict", None, 8, []), ("5", "2026-02-11 09:00:00", "", "strict", None, 8, ["src"]),
+    ]
+    runs_ = spark.createDataFrame(rows, "run_id string, created_at string, run_type string, evaluation_track string, amortization_track string, n_issues_evaluated int, source_prefixes array<string>")
+    runs_ = runs_.withColumns({"track": telemetry.effective_track(), "repo_name": F.lit("r"), "dataset_name": F.lit("d"), "issue_set_id": F.lit("i"), "snapshot_commit": F.lit(None).cast("string")})
+    assert {r.run_id for r in telemetry.superseded(runs_).collect()} == {"2", "4", "5"}
+
+
+def test_cost_of_points(spark):
+    kind = "avg_total_amortized double, total_cost_tokens long, avg_runtime_tokens double, setup_tokens long, n_issues int, n_issues_method int, mean_f1 double"
+    rows = [(1000.0, 5, 1.0, 1, 2, 2, 0.5), (None, 900, 1.0, 1, 3, 9, 0.0), (None, 900, 1.0, 1, 0, 9, 0.5), (None, None, 10.0, 60, 0, 6, 0.5), (None, None, 10.0, 60, 0, None, None)]
+    got = [(r.cost, r.tokens_per_f1) for r in telemetry.cost_points(spark.createDataFrame(rows, kind).coalesce(1)).collect()]
+    assert got == [(1000.0, 2000.0), (300.0, None), (100.0, 200.0), (20.0, 40.0), (70.0, None)]
+
+
+def test_test_files_and_names(spark):
+    paths = {"pkg/Tests/a.py": True, "pkg\\testing\\a.py": True, "Test_x.py": True, "a/x_TEST.py": True, "a/contest.py": False, "latest/a.py": False, "a/test_dir/b.py": False, "tests": True}
+    got = {r.p: r.t for r in spark.createDataFrame([(p,) for p in paths], "p string").select("p", T.is_test_file("p").alias("t")).collect()}
+    assert got == paths
+    names = spark.createDataFrame([(" My/Repo-X v2.0 ",), ("--",), (None,)], "n string").coalesce(1).select(T.slug("n").alias("a"), T.name_slug("n").alias("b")).collect()
+    assert [tuple(r) for r in names] == [("my_repo_xv20", "my-repo-x-v2-0"), ("exp", "unknown"), ("exp", "unknown")]
+    a = T.suite_id({"repo_name": "r", "evaluation_track": None, "source_prefixes": ("src",), "n": 3})
+    assert a == T.suite_id({"n": 3, "repo_name": "r", "evaluation_track": "", "snapshot_commit": "", "source_prefixes": ["src"], "seed": None}) and a.startswith("suite_") and len(a) == 18
+    made = spark.range(1).select(T.harness_id("h", F.lit("1"), F.lit("BM 25"), F.lit("/x")).alias("a"), T.harness_id("h", F.lit("1"), F.lit("m"), F.lit("/x"), F.lit("own")).alias("b")).first()
+    assert made.a.startswith("h_1_bm-25_") and len(made.a) == 18 and made.b == "own"
+
+
+def test_datasets_aliases(spark, tmp_path):
+    """The cases of two dataset families: other names for the fields, lists as text, empty values that fall through."""
+    poly = spark.createDataFrame([("pb-1", "org/repo", "Find files", "c0ffee", "src/a.py\nsrc/b.py"), ("pb-2", "org/other", "ignored", "deadbeef", "x.py")], "id string, repository string, prompt string, base_sha string, gold_files string")
+    poly.write.parquet(f"{tmp_path}/poly/test.parquet")
+    got = datasets.load_splits(spark, f"{tmp_path}/poly", "SWE-PolyBench", "org/repo").collect()
+    assert [(r.instance_id, r.repo, r.problem_statement, r.base_commit, r.gold_files, r.split) for r in got] == [("pb-1", "org/repo", "Find files", "c0ffee", ["src/a.py", "src/b.py"], "test")]
+    rows = spark.createDataFrame([("i", "", "diff --git a/./x.py b/./y.py", ["/o.py", "o.py", " "]), ("j", "", "diff --git a/x.py b//y.py", [" "]), ("k", "said", "", [])], "instance_id string, statement string, gold_patch string, oracle_files array<string>")
+    out = {r.instance_id: (r.repo, r.problem_statement, r.gold_files) for r in datasets.issues(rows, "fb").collect()}
+    assert out == {"i": ("fb", "", ["o.py"]), "j": ("fb", "", ["y.py"]), "k": ("fb", "said", [])}
+    many = spark.createDataFrame([("same", str(9 - k)) for k in range(9)], "instance_id string, base_commit string").coalesce(1)
+    many.write.parquet(f"{tmp_path}/o/test.parquet")
+    assert datasets.load_splits(spark, f"{tmp_path}/o", "x").first().base_commit == "9"
+
+
+def test_final_files_and_cut(spark):
+    kind = "a array<string>, b array<string>, c array<string>"
+    rows = spark.createDataFrame([(["x", "y", "x"], ["z"], ["w"]), ([], ["z", "z"], ["w"]), (None, [], ["w"]), (None, None, None)], kind).coalesce(1)
+    assert [r.f for r in rows.select(fusion.final_files(F.col("a"), F.col("b"), F.col("c")).alias("f")).collect()] == [["x", "y"], ["z"], ["w"], []]
+    cut = fusion.candidate_cut(spark.createDataFrame([(f"f{i}", float(i)) for i in range(9)], "file string, score double"), 2).collect()
+    assert [(r.file, r.chosen) for r in sorted(cut, key=lambda r: r.rank)] == [("f8", True), ("f7", True), ("f6", False), ("f5", False), ("f4", False), ("f3", False)]
+
+
 def test_datasets(spark, tmp_path):
     raw = spark.createDataFrame([("", "7", "r", "diff --git a/x.py b/y.py")], "instance_id string, id string, repo string, patch string")
     assert values(datasets.issues(raw), "instance_id", "gold_files") == [("7", ["y.py"])]

@@ -110,5 +110,5 @@ def test_import_resolve_query(spark):
     import __spark_entry__ as entry
 
     rows = {(r.file, r.alias, r.target_file, r.target_node) for r in entry.queries()["import_resolve"](spark, "").collect()}
-    assert {x[:3] for x in rows} == {("a.py", "b", "b.py"), ("a.py", "t", "c.py")}
+    assert {x[:3] for x in rows} == {("a.py", "b", "b.py"), ("a.py", "t", "c.py"), ("d.py", "*", "pkg1/mod.py"), ("d.py", "m", "pkg1/mod.py"), ("d.py", "a", "a.py")}
     assert {x[3] is not None for x in rows if x[1] == "t"} == {True}
