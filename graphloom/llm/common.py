@@ -2,34 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.shipping import ship
-
-#: Used only where the session names no checkpoint folder (tests on one machine).
-LOCAL_DIR = "/tmp/checkpoints"
+from graphloom.storage import discard, written
 
 #: Stands for a null id inside join keys; results carry null again.
 NULL_ID = -(1 << 63)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder, read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/graphloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 class Released:
     """A function of Arrow batches after which the worker gives its memory back: Spark keeps workers for later stages."""
 
@@ -103,6 +87,23 @@ def id_back(column: str = "_id") -> Column:
     return F.when(F.col(column) != F.lit(NULL_ID).cast("long"), F.col(column))
 
 
+#: Rows of a key from which it counts as hot, and how many such keys are broadcast at most.
+HOT_ROWS, HOT_KEYS = 10_000, 512
+
+
+def with_counts(rows: DataFrame, counts: DataFrame, key: str, count: str, name: str) -> DataFrame:
+    """`rows` joined with `counts(key, ...)`, one row a key. The hottest keys, few by a fixed bound, meet their rows by broadcast;
+    the rows of the others are shuffled by key.
+    """
+    counts = written(counts, f"{name}-counts")
+    hot = written(counts.where(F.col(count) >= HOT_ROWS).orderBy(F.col(count).desc(), key).limit(HOT_KEYS), f"{name}-hot")
+    if not hot.limit(1).count():
+        return rows.join(counts, key)
+    keys = hot.select(key)
+    rest = rows.join(F.broadcast(keys), key, "left_anti").join(counts.join(F.broadcast(keys), key, "left_anti"), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def components(edges: DataFrame, name: str, rounds_between: int = 2) -> DataFrame:
     """Connected components of `edges(a, b)` (longs) as `(node, component)`, component being the least node reachable.
 
@@ -111,7 +112,7 @@ def components(edges: DataFrame, name: str, rounds_between: int = 2) -> DataFram
     Nodes without edges are not listed.
     """
     both = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = written(both, f"{name}-cc")
+    now0 = now = written(both, f"{name}-cc")
     while not _stars(now):
         for _ in range(rounds_between):
             # large star: larger neighbours of u link to the least of u and its neighbours
@@ -127,7 +128,9 @@ def components(edges: DataFrame, name: str, rounds_between: int = 2) -> DataFram
                 now.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                 .union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
             )
-        now = written(now, f"{name}-cc")
+        before, now = now0, written(now, f"{name}-cc")
+        discard(before)
+        now0 = now
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_back, map_arrow, pieces, row_key, text_of, written
+from .common import id_back, map_arrow, pieces, row_key, text_of, with_counts, written
 
 #: Holders up to which all pairs of a line are aligned.
 RARE = 12
@@ -248,7 +248,7 @@ def line_dedup(
     doc = F.struct("_id", "_h")
     held = table.select(doc.alias("d"), F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
     counts = held.groupBy("line").agg(F.count("*").alias("df"), F.min("d").alias("first")).where("df > 1")
-    held = written(held.join(counts, "line"), "lines-held")
+    held = written(with_counts(held, counts, "line", "df", "lines"), "lines-held")
     few = held.where(F.col("df") <= rare)
     pairs = few.select("line", F.col("d").alias("late")).join(few.select("line", F.col("d").alias("early")), "line").where("early < late")
     many = held.where(F.col("df") > rare)
@@ -266,9 +266,9 @@ def line_dedup(
     cut = written(_merged(cut), "lines-cut")
     cut = _merged(cut.union(_by_outlines(table, many, pairs, cut, least)))
     lines = F.split("text", "\n")
-    kept = F.when(F.col("deleted").isNull(), F.col("text")).otherwise(
-        F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("deleted", i)), "\n")
-    )
+    # slices between deleted lines; transform() over one element binds the lines, so that they are split once
+    cut_out = lambda of: F.zip_with(F.concat(F.array(F.lit(-1)), "deleted"), F.concat("deleted", F.array(F.size(of))), lambda a, b: F.slice(of, a + 2, b - a - 1))
+    kept = F.when(F.col("deleted").isNull(), F.col("text")).otherwise(F.transform(F.array(lines), lambda of: F.array_join(F.flatten(cut_out(of)), "\n"))[0])
     return texts.join(cut, ["_id", "_h"], "left").select(
         id_back().alias("doc_id"), kept.alias("text"), F.size(lines).alias("n_lines"),
         F.coalesce("deleted", F.array().cast("array<int>")).alias("deleted"),

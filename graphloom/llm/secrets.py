@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -111,17 +112,19 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, str, float | None]]:
 def novel_spans(text: str, low: str, novelty: Novelty, least: float = NOVELTY) -> list[tuple[int, int, str, float | None]]:
     if not any(w in low for w in CONTEXT_WORDS):
         return []
-    found: dict[int, tuple[int, int, str, float | None] | None] = {}
-    for word in CONTEXT.finditer(text):
-        for m in CANDIDATE.finditer(text, word.end()):
-            start, end = m.span()
-            if start > word.end() + NEAR:
-                break
-            if start not in found:
-                around = text[max(0, start - AROUND) : start], text[end : end + AROUND]
-                added = novelty.bytes_added(m[0], *around)
-                found[start] = (start, end, "novel", added / (end - start)) if novelty.is_novel(m[0], added, *around, least) else None
-    return [x for x in found.values() if x]
+    out: list[tuple[int, int, str, float | None]] = []
+    after = [word.end() for word in CONTEXT.finditer(text)]
+    for m in CANDIDATE.finditer(text):
+        start, end = m.span()
+        # the last word that ends before the candidate is the nearest
+        k = bisect_right(after, start)
+        if not k or start > after[k - 1] + NEAR:
+            continue
+        around = text[max(0, start - AROUND) : start], text[end : end + AROUND]
+        added = novelty.bytes_added(m[0], *around)
+        if novelty.is_novel(m[0], added, *around, least):
+            out.append((start, end, "novel", added / (end - start)))
+    return out
 
 
 def find(text: str, novelty: Novelty, least: float = NOVELTY) -> list[tuple[int, int, str, float | None]]:

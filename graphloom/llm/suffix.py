@@ -12,14 +12,16 @@ Each bucket is sorted by multikey quicksort, once by the bytes from the anchor o
 Common prefixes of neighbours then give, for every offset of a LENGTH-byte string around an anchor, the class of its part
 on either side; strings equal on both sides are repeats. All comparisons are of bytes: hashes only choose candidates.
 
-Cores with more than `hot` suffixes skip the sort: their strings are told apart by 128-bit digests, counted with map-side
-partial sums, which needs no group in one task. Inside a document that repeats itself with a short period, repeats are
-found by the map task, and only first occurrences go on.
+A core with more than `hot` suffixes is split by more bytes on either side until every part is small enough to be sorted. Of
+the offsets a..b of strings around an anchor, all strings hold the a bytes before it and the LENGTH - b bytes from it on, so
+suffixes that differ there can be sorted apart; where too many agree, the offsets are halved, which adds bytes to the key.
+Suffixes that agree in all bytes of all strings concerned are repeats of each other and go on as one; a single offset has
+nothing else. Inside a document that repeats itself with a short period, repeats are found by the map task, by sorting the
+strings of a stretch by doubled prefixes, and only first occurrences go on.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -27,12 +29,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_back, map_arrow, pieces, row_key, text_of, written
+from graphloom.storage import discard, written
+
+from .common import id_back, map_arrow, pieces, row_key, text_of, with_counts
 
 LENGTH = 200
 CORE = 40
 LEFT = LENGTH - CORE
-#: Suffixes that a bucket holds about, and those of one core beyond which digests are counted instead.
+#: Suffixes that a bucket holds about, and those of one key beyond which it is split by more bytes.
 BUCKET = 20_000
 HOT = 20_000
 RANGES = 256
@@ -41,8 +45,10 @@ SAMPLE = 64
 #: Bits of a position in a packed key; longer documents are cut into overlapping stretches.
 BITS = 28
 STRETCH = 1 << 24
+#: Strings of a document with a short period that are told apart at a time.
+PIECE = 1 << 20
 
-_BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 
 
@@ -60,13 +66,13 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-_POWERS = [Powers(b) for b in _BASE]
+_POWERS = Powers(_BASE)
 
 
-def rolled(data: np.ndarray, size: int, which: int = 0) -> np.ndarray:
+def rolled(data: np.ndarray, size: int) -> np.ndarray:
     """Mixed hashes of all strings of `size` bytes."""
     n = len(data)
-    up, down = _POWERS[which].upto(n + 1)
+    up, down = _POWERS.upto(n + 1)
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
     np.cumsum((data.astype(np.uint64) + _U(1)) * up[:n], out=total[1:])
@@ -89,22 +95,40 @@ def anchor_of_each(h: np.ndarray, width: int) -> np.ndarray:
     return (key & _U((1 << BITS) - 1)).astype(np.int64)
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+def string_classes(data: np.ndarray, size: int = LENGTH) -> np.ndarray:
+    """A number for each string of `size` bytes, the same for equal bytes: classes of 8 bytes are paired until they cover it."""
+    n = len(data)
+    token = np.zeros(n - 7, np.uint64)
+    for k in range(8):
+        token = token << _U(8) | data[k : n - 7 + k].astype(np.uint64)
+    have, (known, classes) = 8, np.unique(token, return_inverse=True)
+    while have < size:
+        step = min(have, size - have)
+        pair = classes[: len(classes) - step] * len(known) + classes[step:]
+        known, classes = np.unique(pair, return_inverse=True)
+        have += step
+    return classes
+
+
+def anchors(data: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Anchors, the hashes of their cores, and stretches that are repeats within this document."""
     h = rolled(data, CORE)
     of = anchor_of_each(h, LEFT + 1)
     at = of[np.concatenate(([True], of[1:] != of[:-1]))]
     spans: list[tuple[int, int]] = []
     if len(at) * 16 > len(of):
-        # A short period: strings that come again here are settled here; the first of each stands for all.
-        pair = np.stack((rolled(data, LENGTH), rolled(data, LENGTH, 1)), axis=1)
-        _, first, back, count = np.unique(pair, axis=0, return_index=True, return_inverse=True, return_counts=True)
-        again = np.flatnonzero(count[back.ravel()] > 1)
-        if len(again):
-            cut = np.flatnonzero(np.diff(again) > LENGTH)
-            starts, ends = again[np.concatenate(([0], cut + 1))], again[np.concatenate((cut, [len(again) - 1]))]
-            spans = [(int(a), int(b) + LENGTH) for a, b in zip(starts, ends, strict=True)]
-        at = np.unique(of[np.sort(first)])
+        # A short period: strings that come again in this piece are settled here; the first of each stands for all.
+        firsts = []
+        for from_ in range(0, len(of), piece):
+            classes = string_classes(data[from_ : from_ + piece + LENGTH - 1])
+            _, first, back, count = np.unique(classes, return_index=True, return_inverse=True, return_counts=True)
+            firsts.append(first + from_)
+            again = np.flatnonzero(count[back] > 1) + from_
+            if len(again):
+                cut = np.flatnonzero(np.diff(again) > LENGTH)
+                starts, ends = again[np.concatenate(([0], cut + 1))], again[np.concatenate((cut, [len(again) - 1]))]
+                spans += [(int(a), int(b) + LENGTH) for a, b in zip(starts, ends, strict=True)]
+        at = np.unique(of[np.concatenate(firsts)])
     return at, h[at], spans
 
 
@@ -151,11 +175,15 @@ def _anchors(batches: Iterator, stretch: int = STRETCH) -> Iterator:
             ], names)
 
 
-def _around(batches: Iterator, splitters: np.ndarray, parts: int) -> Iterator:
-    """A row for each suffix: its bucket and the bytes around its anchor, filled up with zeros beyond the document."""
+def _around(batches: Iterator, splitters: np.ndarray, parts: np.ndarray) -> Iterator:
+    """A row for each suffix: its bucket and the bytes around its anchor, filled up with zeros beyond the document.
+
+    Range r of the leading tokens has parts[r] buckets.
+    """
     import pyarrow as pa
 
     span = np.arange(-LEFT, LENGTH)
+    base = np.concatenate(([0], np.cumsum(parts)))
     for batch in pieces(batches):
         for k in range(batch.num_rows):
             data = np.frombuffer(batch.column(2)[k].as_buffer(), np.uint8)
@@ -166,7 +194,8 @@ def _around(batches: Iterator, splitters: np.ndarray, parts: int) -> Iterator:
                 index = at[:, None] + span
                 inside = (index >= 0) & (index < len(data))
                 around = np.where(inside, data[np.clip(index, 0, len(data) - 1)], 0).astype(np.uint8)
-                bucket = np.searchsorted(splitters, leading(data, at), side="right") * parts + c % parts
+                r = np.searchsorted(splitters, leading(data, at), side="right")
+                bucket = base[r] + c % parts[r]
                 n = len(at)
                 offsets = pa.py_buffer((np.arange(n + 1, dtype=np.int32) * (LEFT + LENGTH)).tobytes())
                 yield pa.RecordBatch.from_arrays([
@@ -212,8 +241,8 @@ def common_prefix(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated(around: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each suffix the least and the largest offset of its anchor in a repeated string; -1 where there is none."""
+def repeated(around: np.ndarray, before: np.ndarray, after: np.ndarray, lo: int = 0, hi: int = LEFT) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix the least and the largest offset, of those from `lo` to `hi`, of its anchor in a repeated string; -1 where there is none."""
     n = len(around)
     left, right = around[:, :LEFT][:, ::-1], around[:, LEFT:]
     classes = []
@@ -224,7 +253,7 @@ def repeated(around: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple
         classes.append((place, common_prefix(part[order])))
     (lp, lc), (rp, rc) = classes
     least, most = np.full(n, -1), np.full(n, -1)
-    for offset in range(LEFT + 1):
+    for offset in range(lo, hi + 1):
         ok = np.flatnonzero((before >= offset) & (after >= LENGTH - offset))
         if len(ok) < 2:
             continue
@@ -256,24 +285,55 @@ def _sorted_bucket(table):
     return pa.table({"_id": keys["_id"], "_h": keys["_h"], "start": pos - most[hit], "end": pos - least[hit] + LENGTH})
 
 
-def _strings(batches: Iterator) -> Iterator:
-    """A row for each string of LENGTH bytes around the anchor of a hot core: its digest and where it starts."""
+def _sorted_part(table):
+    """Spans of the suffixes of one bucket of a split core; those that stand for several are told already."""
     import pyarrow as pa
 
-    for batch in pieces(batches):
-        out: list[list] = [[], [], [], [], []]
-        for k in range(batch.num_rows):
-            text = batch.column(7)[k].as_py()
-            b, a, pos = batch.column(5)[k].as_py(), batch.column(6)[k].as_py(), batch.column(4)[k].as_py()
-            # Of the strings around it, those whose anchor this is: each string of a document is told once.
-            own = anchor_of_each(rolled(np.frombuffer(text, np.uint8), CORE), LEFT + 1)[LEFT::-1] == LEFT
-            for offset in np.flatnonzero(own[: min(LEFT, b) + 1]).tolist():
-                if offset < LENGTH - a:
-                    continue
-                d = hashlib.blake2b(text[LEFT - offset : LEFT - offset + LENGTH], digest_size=16).digest()
-                for x, y in zip(out, (batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), pos - offset, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)), strict=True):
-                    x.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["_id", "_h", "start", "d1", "d2"])
+    column = table["around"].combine_chunks()
+    around = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, LEFT + LENGTH)
+    least, most = repeated(around, table["before"].to_numpy(), table["after"].to_numpy(), table["lo"][0].as_py(), table["hi"][0].as_py())
+    hit = np.flatnonzero((most >= 0) & (table["n"].to_numpy() == 1))
+    pos = table["pos"].to_numpy()[hit]
+    keys = table.select(["_id", "_h"]).take(pa.array(hit))
+    return pa.table({"_id": keys["_id"], "_h": keys["_h"], "start": pos - most[hit], "end": pos - least[hit] + LENGTH})
+
+
+def _hot_spans(rows: DataFrame, hot: int, bucket: int) -> DataFrame:
+    """Spans of the suffixes `rows(_id, _h, pos, before, after, around)` of cores with more than `hot` of them.
+
+    A level halves the offsets lo..hi of what is still too hot; 9 levels come to single offsets.
+    """
+    spans = "_id long, _h long, start long, end long"
+    out = rows.sparkSession.createDataFrame([], spans)
+    now = rows.select("_id", "_h", "pos", "before", "after", "around", F.lit(0).alias("lo"), F.lit(LEFT).alias("hi"), F.lit(1).cast("long").alias("n"))
+    # what is in the document of the bytes that the strings concerned hold
+    left, right = F.least("before", "hi"), F.least("after", F.lit(LENGTH) - F.col("lo"))
+    wide = F.expr(f"substring(around, {LEFT + 1} - hi, hi + {LENGTH} - lo)")
+    narrow = F.expr(f"substring(wide, hi - lo + 1, lo + {LENGTH} - hi)")
+    key = ["lo", "hi", "wide", "left", "right"]
+    while True:
+        now = now.where(f"greatest(lo, {LENGTH} - after) <= least(hi, before)")
+        now = written(now.withColumns({"wide": wide, "left": left, "right": right}), "suffix-hot")
+        same = now.groupBy(*key).agg(F.sum("n").alias("n"), F.min(F.struct("_id", "_h", "pos", "before", "after", "around")).alias("r"))
+        same = written(same, "suffix-same")
+        # All strings of suffixes that agree throughout are repeats.
+        told = now.where("n = 1").join(same.where("n > 1").select(*key), key)
+        told = told.select("_id", "_h", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end"))
+        out = out.unionByName(written(told, "suffix-told"))
+        one = same.select("lo", "hi", narrow.alias("narrow"), "n", "r.*")
+        counts = one.groupBy("lo", "hi", "narrow").agg(F.count("*").alias("c")).where("c > 1")
+        one = written(one.join(counts, ["lo", "hi", "narrow"]), "suffix-parts")
+        few = one.where(F.col("c") <= hot)
+        slots = max(1, -(-few.count() // bucket))
+        few = few.withColumn("slot", F.pmod(F.xxhash64("narrow"), F.lit(slots))).drop("narrow", "c")
+        out = out.unionByName(written(few.groupBy("lo", "hi", "slot").applyInArrow(_sorted_part, spans), "suffix-sorted"))
+        many = one.where(F.col("c") > hot)
+        discard(now, same)
+        if not many.limit(1).count():
+            return out
+        half = F.expr("(lo + hi) DIV 2").cast("int")
+        halves = F.explode(F.array(F.struct(F.col("lo").alias("a"), half.alias("b")), F.struct((half + 1).alias("a"), F.col("hi").alias("b"))))
+        now = many.withColumn("x", halves).select("_id", "_h", "pos", "before", "after", "around", F.col("x.a").alias("lo"), F.col("x.b").alias("hi"), "n")
 
 
 def _cut(batches: Iterator) -> Iterator:
@@ -316,13 +376,16 @@ def remove_repeats(
     local = found.where("core IS NULL").select("_id", "_h", F.col("pos").alias("start"), "end")
     sparse = found.where("core IS NOT NULL").select("_id", "_h", "core", "pos", "lead")
     counts = sparse.groupBy("core").agg(F.count("*").alias("c")).where("c > 1")
-    open_ = written(sparse.join(counts, "core"), "suffix-candidates")
+    open_ = written(with_counts(sparse, counts, "core", "c", "suffix"), "suffix-candidates")
     n = open_.count()
     # At most RANGES - 1 numbers come to the driver.
     ranges = max(1, min(RANGES, n // bucket))
     at = open_.where("lead IS NOT NULL").agg(F.percentile_approx("lead", [k / ranges for k in range(1, ranges)] or [0.5], 4096)).first()[0]
-    splitters = np.unique(np.array(at if at and ranges > 1 else [], np.int64))
-    parts = max(1, -(-n // (bucket * (len(splitters) + 1))))
+    quantiles = np.array(at if at and ranges > 1 else [], np.int64)
+    splitters, first = np.unique(quantiles, return_index=True)
+    # A token that is many quantiles makes a large range, which gets as many more buckets.
+    share = np.diff(np.concatenate(([0], first + 1, [len(quantiles) + 1])))
+    parts = np.maximum(1, -(-share * n // ((len(quantiles) + 1) * bucket))).astype(np.int64)
 
     def around(rows: DataFrame) -> DataFrame:
         places = rows.groupBy("_id", "_h").agg(F.collect_list(F.struct("pos", "core")).alias("places"))
@@ -334,9 +397,7 @@ def remove_repeats(
     spans = around(open_.where(F.col("c") <= hot)).groupBy("bucket").applyInArrow(_sorted_bucket, "_id long, _h long, start long, end long")
     spans = spans.unionByName(local)
     if open_.where(F.col("c") > hot).limit(1).count():
-        strings = map_arrow(around(open_.where(F.col("c") > hot)), _strings, "_id long, _h long, start long, d1 long, d2 long")
-        again = strings.groupBy("d1", "d2").agg(F.count("*").alias("c")).where("c > 1").select("d1", "d2")
-        spans = spans.unionByName(strings.join(again, ["d1", "d2"]).select("_id", "_h", "start", (F.col("start") + LENGTH).alias("end")))
+        spans = spans.unionByName(_hot_spans(around(open_.where(F.col("c") > hot)), hot, bucket))
     gone = spans.groupBy("_id", "_h").agg(F.collect_list(F.struct("start", "end")).alias("found"))
     out = map_arrow(
         texts.join(gone, ["_id", "_h"], "left").select("_id", "text", "found"), _cut,

@@ -30,8 +30,8 @@ def held_out(id_col: str = "doc_id"):
 def sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_TRAIN) -> DataFrame:
     """`(doc_id, text, label)` of at most `max_rows` labelled ids that are not held out.
 
-    The ids are chosen by hash, so alike for any partitioning; an id labelled twice takes its largest label. The chosen
-    ids are few by that bound and are broadcast to the documents.
+    The ids are chosen by hash, so alike for any partitioning; an id labelled twice takes its largest label, and an id of
+    several documents the text that sorts last. The chosen ids are few by that bound and are broadcast to the documents.
     """
     chosen = (
         labels.select(F.col("doc_id").alias("_l"), F.col(label).alias("label")).where("_l IS NOT NULL AND label IS NOT NULL")
@@ -39,7 +39,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_T
         .orderBy(F.xxhash64("_l"), "_l").limit(max_rows)
     )
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return text.join(F.broadcast(chosen), F.col("doc_id") == F.col("_l")).select("doc_id", "text", "label")
+    rows = text.join(F.broadcast(chosen), F.col("doc_id") == F.col("_l"))
+    return rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
 
 
 class Weights(dict):

@@ -1,12 +1,13 @@
 import random
 import re
 import string
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from graphloom.llm.secrets import Novelty, base_spans, find, scan
+from graphloom.llm.secrets import CONTEXT_WORDS, Novelty, base_spans, find, novel_spans, scan
 
 from .helpers import ODD, clashing, table
 
@@ -80,3 +81,31 @@ def test_table(spark):
         base = sorted((s.start, s.end, s.kind) for s in r.spans if s.kind != "novel")
         assert base == brute(t or "")
     assert scan(table(spark, [])).count() == 0
+
+
+def test_candidates_equal_brute_force():
+    """Whatever is novel, the candidates are all runs of 16 that begin within 64 characters of a sensitive word's end."""
+    rng = random.Random(9)
+    parts = ["token", "Password ", "bearer", " ", "x" * 15, "A1b2" * 5, "é", "/path/of+it=", "-----", "private", "\n", "word " * 20, "secrettoken", "q9" * 9]
+    run = set(string.ascii_letters + string.digits + "+/_=-")
+    for _ in range(300):
+        text = "".join(rng.choices(parts, k=rng.randrange(30)))
+        words = [m.end() for w in CONTEXT_WORDS for m in re.finditer(re.escape(w), text.lower())]
+        want, at = [], 0
+        while at < len(text):
+            end = at
+            while end < len(text) and text[end] in run:
+                end += 1
+            if end - at >= 16 and any(0 <= at - w <= 64 for w in words):
+                want.append((at, end))
+            at = max(end, at + 1)
+        got = [x[:2] for x in novel_spans(text, text.lower(), Novelty(), least=-9.0)]
+        # words overlap in "secrettoken"; the pattern takes them one after the other
+        assert got == want, text
+
+
+def test_long_texts_take_linear_time():
+    text = "token token " * 200_000
+    began = time.perf_counter()
+    assert find(text, Novelty()) == []
+    assert time.perf_counter() - began < 10

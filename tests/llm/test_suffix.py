@@ -53,6 +53,53 @@ def test_small_buckets_and_hot_cores(spark):
     assert got(remove_repeats(table(spark, rows), bucket=30, hot=3)) == want
 
 
+def test_hot_cores_at_production_parameters(spark, monkeypatch):
+    """One line in every text, more often than HOT; between equal, nearly equal and quite different neighbours."""
+    from graphloom.llm import suffix
+
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefghij klmno") for _ in range(n))
+    line, passage = text(60), text(330)
+    before, after = [text(200) for _ in range(5)], [text(200) for _ in range(5)]
+    rows = [(i, text(rng.randrange(120, 260)) + line + text(rng.randrange(120, 260))) for i in range(120)]
+    rows += [(200 + i, text(rng.randrange(20)) + rng.choice(before)[rng.randrange(200) :] + line + rng.choice(after)[: rng.randrange(200)] + text(rng.randrange(20))) for i in range(120)]
+    rows += [(400 + i, text(rng.randrange(200)) + passage[rng.randrange(40) : 330 - rng.randrange(40)] + text(rng.randrange(200))) for i in range(120)]
+    rows += [(600 + i, passage[:210]) for i in range(60)] + [(700 + i, line) for i in range(60)]
+    want = brute(rows)
+    assert sum(r[2] > 0 for r in want) > 200
+    for hot, bucket in ((20, 50), (2, 5000), (100, 10)):
+        assert got(remove_repeats(table(spark, rows), hot=hot, bucket=bucket)) == want, hot
+    small = [(i, t[:400]) for i, t in rows[:60]]
+    copies = small + [(1000 + i, line + "common tail of more than two hundred bytes " * 6) for i in range(suffix.HOT + 10)]
+    out = {r[0]: r[1:] for r in got(remove_repeats(table(spark, copies, 8)))}
+    assert all(out[1000 + i] == (len(copies[-1][1]), 1, b"") for i in (0, 7, suffix.HOT + 9))
+    whole = {r[0]: r[1:] for r in brute(small + copies[len(small) : len(small) + 2])}
+    assert all(out[i] == whole[i] for i, _ in small)
+
+
+def test_periods_are_compared_by_bytes():
+    """Thue-Morse strings, on which polynomial hashes modulo a power of two collide."""
+    from graphloom.llm.suffix import anchors, string_classes
+
+    t = np.array([bin(i).count("1") & 1 for i in range(6000)], np.uint8)
+    data = np.concatenate((t[:4096] + 97, 1 - t[:4096] + 97, np.tile(np.array([97, 98], np.uint8), 600)))
+    classes, by = string_classes(data), {}
+    for i, c in enumerate(classes.tolist()):
+        assert by.setdefault(data[i : i + LENGTH].tobytes(), c) == c
+    assert len(by) == len(set(classes.tolist()))
+    for piece in (1 << 20, 700):
+        _, _, spans = anchors(np.tile(np.array([97, 98, 99], np.uint8), 700), piece)
+        assert spans and spans[0][0] == 0
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmno") for _ in range(rng.randrange(2, 9))) for _ in range(4000)]
+    long = " ".join(rng.choice(words) for _ in range(60_000))
+    rows = [(1, long), (2, long[100_000:100_300] + " own words"), (3, "ab" * 60_000), (4, "cd " * 100 + long[:150])]
+    assert got(remove_repeats(table(spark, rows))) == brute(rows)
+
+
 def test_texts_of_several_stretches(spark):
     rng = random.Random(4)
     text = lambda n: "".join(rng.choice("abcdefghij klmno") for _ in range(n))
@@ -75,8 +122,7 @@ def test_anchors_of_stretches_are_distinct():
 
 
 def test_odd_rows(spark):
-    odd = [(i, t if t is None or len(t) < 10_000 else t[:4000]) for i, t in ODD]
-    assert got(remove_repeats(clashing(table(spark, odd)))) == brute(odd)
+    assert got(remove_repeats(clashing(table(spark, ODD)))) == brute(ODD)
 
 
 def test_empty(spark):
