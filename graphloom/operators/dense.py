@@ -57,20 +57,21 @@ def topk_batch(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
             import pandas as pd
 
             ids, m = shared.value
-            best = None
+            best: list[list[tuple]] = [[] for _ in ids]
             for pdf in batches:
                 v = np.stack(pdf.embedding.to_numpy()).astype(float) if len(pdf) else np.zeros((0, m.shape[1]))
                 v /= np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) == 0, 1, n)
                 s = np.round(m @ v.T, 6) + 0.0  # no negative zeros
-                for i, q in enumerate(ids):
-                    least = np.partition(s[i], -k)[-k] if len(pdf) > k else -np.inf
-                    near = np.flatnonzero(s[i] >= least)
-                    part = pd.DataFrame({"query_id": q, "id": pdf.id.to_numpy()[near], "score": s[i][near]})
-                    best = part if best is None else pd.concat([best, part])
-                if best is not None:
-                    best = best.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
-            if best is not None:
-                yield best
+                names = pdf.id.to_numpy()
+                enough = np.array([-b[k - 1][0] if len(b) >= k else -np.inf for b in best])
+                if len(pdf) > k:
+                    enough = np.maximum(enough, np.partition(s, -k, axis=1)[:, -k])
+                for i in np.flatnonzero((s >= enough[:, None]).any(axis=1)).tolist():
+                    near = np.flatnonzero(s[i] >= enough[i])
+                    best[i] = sorted([*best[i], *zip((-s[i][near]).tolist(), names[near].tolist(), strict=True)])[:k]
+            found = [(q, n, -x) for q, b in zip(ids, best, strict=True) for x, n in b]
+            if found:
+                yield pd.DataFrame(found, columns=["query_id", "id", "score"])
 
         found = vectors.select("id", "embedding").mapInPandas(score, schema)
         w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")

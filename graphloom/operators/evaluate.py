@@ -65,7 +65,7 @@ def cost_components(rows: DataFrame) -> DataFrame:
 
 def with_error_results(issues: DataFrame, methods: DataFrame, results: DataFrame) -> DataFrame:
     """H7: a row for each issue and method; a missing or failed result counts zero."""
-    grid = issues.select("instance_id").crossJoin(F.broadcast(methods.select("method")))
+    grid = issues.select("instance_id").crossJoin(methods.select("method"))
     rows = grid.join(results, ["instance_id", "method"], "left")
     failed = F.col("error").isNotNull() | F.col("f1").isNull()
     zero = {m: F.when(failed, 0.0).otherwise(F.col(m)) for m in METRICS}
@@ -127,7 +127,7 @@ def break_even(summary: DataFrame) -> DataFrame:
     """The number of issues after which `left` has caught up with `right`; null where it never does."""
     side = lambda x: summary.select(F.col("method").alias(x), F.col("setup_tokens").alias(f"{x}_s"), F.col("avg_runtime_tokens").alias(f"{x}_r"))
     n = F.try_divide(F.col("right_s") - F.col("left_s"), F.col("left_r") - F.col("right_r"))
-    return side("left").crossJoin(F.broadcast(side("right"))).where(F.col("left") != F.col("right")).select(
+    return side("left").crossJoin(side("right")).where(F.col("left") != F.col("right")).select(
         "left", "right", F.when(n > 0, F.round(n, 6)).alias("n_break_even")
     )
 

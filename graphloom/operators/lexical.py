@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import path_tokens, token_set, tokens
+from graphloom.storage import written
 
 K1, B, DELTA = 1.5, 0.75, 1.0
 #: Queries up to so many are broadcast to the postings; their number is counted first.
@@ -17,42 +18,45 @@ def bm25plus(docs: DataFrame, queries: DataFrame, top_k: int = 10, tie: str = "d
 
     A document's score is the sum over the query's tokens, with repeats, of idf * (DELTA + tf part). As DELTA * idf goes
     to every document, a document without any of the tokens scores the query's base, which is above 0 as soon as one
-    token is known: the top-k is then filled up with such documents in tie order. Only `top_k` candidates of that kind
-    are needed, so postings are joined to the queries' tokens alone and never documents to queries.
+    token is known: the top-k is then filled up with such documents in tie order.
+
+    Texts are read and cut into tokens once; postings of the queries' tokens and a row of each document's length are
+    written. Postings are dealt by document, so that scores are summed where they lie and only each task's best travel.
     """
-    terms = docs.select(F.col(tie).alias("doc_id"), tokens("text").alias("t"))
-    sizes = terms.select("doc_id", F.size("t").alias("dl"))
-    stats = sizes.agg(F.count("*").alias("n"), F.avg(F.col("dl").cast("double")).alias("avgdl"))
     wanted = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    words = wanted.select("term").distinct()
-    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        words, wanted = F.broadcast(words), F.broadcast(wanted)
-    postings = (
-        terms.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(words, "term", "left_semi")
-        .groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    )
+    words = wanted.select("term").distinct().unionByName(queries.sparkSession.createDataFrame([("",)], "term string"))
+    small = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+    near = F.broadcast if small else lambda df: df
+    # no token is empty: that one stands for the document
+    cut = docs.select(F.col(tie).alias("doc_id"), tokens("text").alias("t"))
+    cut = cut.select("doc_id", F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term")).join(near(words), "term", "left_semi")
+    every = written(cut.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), "postings")
+    sizes, postings = every.where("term = ''"), every.where("term <> ''")
+    stats = sizes.agg(F.count("*").alias("n"), F.avg(F.col("dl").cast("double")).alias("avgdl"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(stats)).select("term", F.log((F.col("n") + 1) / F.col("df")).alias("idf"), "avgdl")
+    known = written(wanted.join(idf, "term"), "query-terms")
     norm = F.col("tf") * (K1 + 1) / (K1 * (1 - B + B * F.col("dl") / F.col("avgdl")) + F.col("tf"))
-    known = wanted.join(idf, "term")
     base = known.groupBy("query_id").agg(F.sum(F.col("qtf") * F.col("idf") * DELTA).alias("base"))
     matched = (
-        postings.join(known, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("idf") * norm).alias("part"))
+        postings.repartition("doc_id").join(near(known), "term").groupBy("query_id", "doc_id")
+        .agg(F.sum(F.col("qtf") * F.col("idf") * norm).alias("part"))
     )
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
     best = (
-        matched.join(F.broadcast(base), "query_id").select("query_id", "doc_id", F.round(F.col("base") + F.col("part"), 6).alias("score"))
+        matched.join(near(base), "query_id").select("query_id", "doc_id", F.round(F.col("base") + F.col("part"), 6).alias("score"))
         .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
     )
-    # For queries that fewer documents match: the first unmatched ones in tie order, among the first 2k documents.
-    count = matched.groupBy("query_id").agg(F.count("*").alias("m"))
+    best = written(best.select("query_id", "doc_id", "score"), "best")
+    # Queries with fewer: all that match are among the best, so the first others in tie order are among the first 2k documents.
+    count = best.groupBy("query_id").agg(F.count("*").alias("m"))
     short = base.join(count, "query_id", "left").where(F.coalesce("m", F.lit(0)) < top_k).select("query_id", "base")
     first = sizes.select("doc_id").orderBy("doc_id").limit(2 * top_k)
     extra = (
-        first.crossJoin(F.broadcast(short)).join(matched.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+        short.crossJoin(F.broadcast(first)).join(best.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
         .select("query_id", "doc_id", F.round("base", 6).alias("score"))
     )
-    every = best.select("query_id", "doc_id", "score").unionByName(extra)
+    every = best.unionByName(extra)
     return every.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= top_k) & (F.col("score") > 0))
 
 

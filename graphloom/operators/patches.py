@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.ranges import numbered
+
 
 def capped(files: Column | str, k: int) -> Column:
     """The first max(k, 1), with counts before and after."""
@@ -67,7 +69,11 @@ def last_attempts(attempts: DataFrame) -> DataFrame:
 
 def contiguous_chunks(rows: DataFrame, workers: int, order: str) -> DataFrame:
     """`rows` with `worker`: contiguous, the first ones one longer where it does not divide."""
-    return rows.withColumn("worker", F.ntile(workers).over(Window.orderBy(order)))
+    n = rows.agg(F.count("*").alias("_n"))
+    size, more = F.expr(f"_n DIV {workers}"), F.col("_n") % workers
+    long = more * (size + 1)  # rows of the longer ones
+    of = F.when(F.col("_row") <= long, F.ceil(F.col("_row") / (size + 1))).otherwise(more + F.ceil((F.col("_row") - long) / size))
+    return numbered(rows, order).crossJoin(F.broadcast(n)).withColumn("worker", of.cast("int")).drop("_row", "_n")
 
 
 def merged_workers(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.ranges import best_before
+
 STALE_MINUTES, GRACE_MINUTES, ETA_AFTER_S = 15.0, 30.0, 120.0
 CONFIG_KEY = ("run_type", "repo_name", "dataset_name", "issue_set_id", "track", "snapshot_commit", "n_issues_evaluated", "source_prefixes")
 
@@ -74,7 +76,7 @@ def distinct_complete(runs: DataFrame) -> DataFrame:
 
 def densified(rows: DataFrame, left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """`rows` for every pair of two small key tables, blank where there is none."""
-    return left.crossJoin(F.broadcast(right)).join(rows, list(on), "left")
+    return left.crossJoin(right).join(rows, list(on), "left")
 
 
 def in_progress(started: DataFrame, finished: DataFrame) -> DataFrame:
@@ -117,12 +119,16 @@ def cost_points(rows: DataFrame) -> DataFrame:
 def pareto(points: DataFrame, cost: str = "cost", quality: str = "quality", by: Sequence[str] = ()) -> DataFrame:
     """Points that none beats in one respect and equals or beats in the other; equal points all stay.
 
-    A scan in the order of cost with the best quality so far, instead of comparing all pairs.
+    A scan in the order of cost with the best quality so far, instead of comparing all pairs; without groups, a scan of each
+    range of costs.
     """
-    w = Window.partitionBy(*by).orderBy(cost)
     cheapest = points.groupBy(*by, cost).agg(F.max(quality).alias("_q"))
-    before = F.max("_q").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    best = cheapest.withColumn("_b", before).where("_b IS NULL OR _q > _b")
+    if by:
+        w = Window.partitionBy(*by).orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)
+        cheapest = cheapest.withColumn("_best", F.max("_q").over(w))
+    else:
+        cheapest = best_before(cheapest, cost, "_q", "pareto")
+    best = cheapest.where("_best IS NULL OR _q > _best")
     return points.join(best.select(*by, cost, F.col("_q").alias(quality)), [*by, cost, quality], "left_semi")
 
 

@@ -76,13 +76,13 @@ def candidates(n: int, seed: int) -> list[Config]:
 def guarded(scores: DataFrame, baseline: DataFrame, max_drop: float = MAX_DROP) -> DataFrame:
     """M3: `config_id, passes` - every repository of `baseline(repo, score)` is there and did not drop too far."""
     configs = scores.select("config_id").distinct()
-    j = configs.crossJoin(F.broadcast(baseline.select("repo", F.col("score").alias("b")))).join(scores, ["config_id", "repo"], "left")
+    j = configs.crossJoin(baseline.select("repo", F.col("score").alias("b"))).join(scores, ["config_id", "repo"], "left")
     return j.groupBy("config_id").agg(F.bool_and(F.coalesce(F.col("score") >= F.col("b") - max_drop, F.lit(False))).alias("passes"))
 
 
 def holdout_deltas(scores: DataFrame, baseline: DataFrame) -> DataFrame:
     """M4."""
-    return scores.join(F.broadcast(baseline.select("repo", F.col("score").alias("b"))), "repo").select("config_id", "repo", (F.col("score") - F.col("b")).alias("delta"))
+    return scores.join(baseline.select("repo", F.col("score").alias("b")), "repo").select("config_id", "repo", (F.col("score") - F.col("b")).alias("delta"))
 
 
 def leaderboard(results: DataFrame, guard: DataFrame) -> DataFrame:

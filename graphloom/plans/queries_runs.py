@@ -41,7 +41,7 @@ def _rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
     h AS (SELECT source, len(coalesce(g, [])) AS ng, len(coalesce(p, [])) AS np, len(list_intersect(coalesce(g, []), coalesce(p, [])))::DOUBLE AS hit FROM g),
     m AS (SELECT source, CASE WHEN np = 0 THEN 0 ELSE hit / np END AS precision, CASE WHEN ng = 0 THEN 0 ELSE hit / ng END AS recall, ng = 0 AS skipped FROM h)
     SELECT source, round(precision, 6)::DOUBLE AS precision, round(recall, 6)::DOUBLE AS recall, round(CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END, 6)::DOUBLE AS f1, skipped FROM m""",
-    pairs="SELECT source, CASE WHEN quality = 1 AND doc_id % 20 <> 7 THEN concat('f', doc_id, '.py') END AS gold, CASE WHEN toxic = 1 OR doc_id % 3 = 0 THEN concat('f', doc_id, '.py') END AS pred FROM {documents} JOIN {labels} USING (doc_id)",
+    pairs="SELECT l_orderkey AS source, CASE WHEN l_partkey % 3 > 0 THEN concat('f', l_partkey, '.py') END AS gold, CASE WHEN l_suppkey % 2 = 0 OR l_partkey % 5 = 0 THEN concat('f', l_partkey, '.py') END AS pred FROM {lineitem}",
 )
 def prf1(pairs: DataFrame) -> DataFrame:
     lists = pairs.groupBy("source").agg(F.collect_list("gold").alias("g"), F.collect_list("pred").alias("p"))

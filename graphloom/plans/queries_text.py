@@ -112,7 +112,7 @@ def patch_extract(raw: DataFrame) -> DataFrame:
 
 @query(
     "stable_ids", "SELECT source, 'issues_' || substr(sha1(source || '|' || string_agg(d, '|' ORDER BY d)), 1, 12) AS issue_set FROM ids GROUP BY source",
-    ids="SELECT source, CAST(doc_id AS STRING) AS d FROM {documents}",
+    ids="SELECT concat('c', o_custkey) AS source, CAST(o_orderkey AS STRING) AS d FROM {orders}",
 )
 def stable_ids(ids: DataFrame) -> DataFrame:
     return ids.groupBy("source").agg(F.collect_list("d").alias("ids")).select("source", T.issue_set_id("source", "ids").alias("issue_set"))
@@ -231,25 +231,26 @@ def minmax_normalize(vecs: DataFrame) -> DataFrame:
 
 @query(
     "token_budget_prefix",
-    "SELECT doc_id, source, spent::BIGINT AS spent FROM (SELECT doc_id, source, sum(length(text) // 4 + 1) OVER (PARTITION BY source ORDER BY doc_id) AS spent FROM docs) WHERE spent <= 4096",
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM docs)
+    SELECT doc_id, k::INT AS line_no, spent::BIGINT AS spent FROM (SELECT doc_id, k, sum(length(line) // 4 + 1) OVER (PARTITION BY doc_id ORDER BY k) AS spent FROM l) WHERE spent <= 4096""",
     docs=DOCS,
 )
 def token_budget_prefix(docs: DataFrame) -> DataFrame:
-    return graph.budget_prefix(docs.withColumnsRenamed({"doc_id": "rank", "text": "line"}), 4096, ["source"]).select(F.col("rank").alias("doc_id"), "source", "spent")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("rank", "line"))
+    return graph.budget_prefix(lines, 4096, ["doc_id"]).select("doc_id", F.col("rank").alias("line_no"), "spent")
 
 
 @query(
     "token_budget_greedy",
-    """WITH RECURSIVE o AS (SELECT doc_id, source, length(text) // 4 AS est, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM docs),
-    w AS (SELECT source, 0::BIGINT AS k, 0::BIGINT AS spent, 0::BIGINT AS kept FROM o WHERE o.k = 1 UNION ALL
-    SELECT w.source, o.k::BIGINT, w.spent + CASE WHEN w.spent + est <= 1200 THEN est ELSE 0 END, w.kept + CASE WHEN w.spent + est <= 1200 THEN 1 ELSE 0 END FROM w JOIN o ON o.source = w.source AND o.k = w.k + 1)
-    SELECT source, max(kept)::INT AS n_kept, max(spent)::BIGINT AS spent FROM w GROUP BY source""",
+    """WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM docs), o AS (SELECT doc_id, k, length(line) // 4 AS est FROM l),
+    w AS (SELECT DISTINCT doc_id, 0::BIGINT AS k, 0::BIGINT AS spent, 0::BIGINT AS kept FROM docs WHERE text IS NOT NULL UNION ALL
+    SELECT w.doc_id, o.k::BIGINT, w.spent + CASE WHEN w.spent + est <= 1200 THEN est ELSE 0 END, w.kept + CASE WHEN w.spent + est <= 1200 THEN 1 ELSE 0 END FROM w JOIN o ON o.doc_id = w.doc_id AND o.k = w.k + 1)
+    SELECT doc_id, max(kept)::INT AS n_kept, max(spent)::BIGINT AS spent FROM w GROUP BY doc_id""",
     docs=DOCS,
 )
 def token_budget_greedy(docs: DataFrame) -> DataFrame:
-    lines = docs.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]).alias("lines"))
-    kept = lines.select("source", fusion.greedy_budget(F.col("lines")).alias("kept"))
-    return kept.select("source", F.size("kept").alias("n_kept"), F.aggregate("kept", F.lit(0).cast("long"), lambda s, x: s + T.token_estimate(x)).alias("spent"))
+    kept = docs.where("text IS NOT NULL").select("doc_id", fusion.greedy_budget(F.split("text", "\n")).alias("kept"))
+    return kept.select("doc_id", F.size("kept").alias("n_kept"), F.aggregate("kept", F.lit(0).cast("long"), lambda s, x: s + T.token_estimate(x)).alias("spent"))
 
 
 @query(
