@@ -37,8 +37,8 @@ LENGTH = 200
 CORE = 40
 LEFT = LENGTH - CORE
 #: Suffixes that a bucket holds about, and those of one key beyond which it is split by more bytes.
-BUCKET = 20_000
-HOT = 20_000
+BUCKET = 5_000
+HOT = 10_000
 RANGES = 256
 #: One anchor of so many carries its leading token into the sample for the splitters.
 SAMPLE = 64
