@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, map_arrow, pieces, written
+from .common import components, map_arrow, pieces, with_counts, written
 
 SHINGLE = 5
 SIDE = 12
@@ -31,8 +31,8 @@ SIDE = 12
 SHARE = 75
 #: Up to so many ids (8 bytes each) are broadcast to read their texts again; beyond, the texts are shuffled to them.
 BROADCAST_IDS = 500_000
-#: Nodes of a block; a task compares two.
-BLOCK = 512
+#: Shingles (8 bytes each) that a block holds about; a task compares two blocks.
+BLOCK = 1 << 17
 
 _RANDOM = np.random.default_rng(20240229)
 _POSITION = _RANDOM.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -180,8 +180,8 @@ def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """`pairs(x, y)` with `linked`, on the full sets. Rows of one id are one document; any of their sets will do."""
     ids = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
-    sets = map_arrow(_texts_of(ids, texts), _sets, "node long, shingles binary")
-    sets = sets.repartition("node")  # one shuffle of the sets serves both joins
+    # Written: both joins read them, and what many pairs have in common can be dealt anew.
+    sets = written(map_arrow(_texts_of(ids, texts), _sets, "node long, shingles binary"), "minhash-sets")
     with_x = pairs.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("_x")), "x")
     with_both = with_x.join(sets.select(F.col("node").alias("y"), F.col("shingles").alias("_y")), "y")
     return map_arrow(with_both.select("x", "y", "_x", "_y"), _verified, "x long, y long, linked boolean")
@@ -196,9 +196,10 @@ def _across(apart: DataFrame, comp: DataFrame, nodes: DataFrame, texts: DataFram
     of = lambda df, n: df.join(comp.select(F.col("node").alias(n), F.col("component").alias(f"c{n}")), n, "left").withColumn(f"c{n}", F.coalesce(f"c{n}", n))
     edges = of(of(apart, "x"), "y").where("cx <> cy").select(F.col("cx").alias("a"), F.col("cy").alias("b")).distinct()
     family = written(components(edges, "minhash-families").select(F.col("node").alias("comp"), F.col("component").alias("family")), "minhash-families")
-    open_ = nodes.select("node").distinct().join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("comp")).join(family, "comp")
-    # Nodes are dealt over blocks of about BLOCK by hash, so no task numbers a family's nodes.
-    last = open_.groupBy("family").agg(F.floor((F.count("*") - 1) / BLOCK).alias("last"))
+    sizes = nodes.groupBy("node").agg(F.max("n").alias("n"))
+    open_ = sizes.join(comp, "node", "left").select("node", "n", F.coalesce("component", "node").alias("comp")).join(family, "comp")
+    # Nodes are dealt over blocks of about BLOCK shingles by hash, so no task numbers a family's nodes.
+    last = open_.groupBy("family").agg(F.floor((F.sum("n") - 1) / BLOCK).alias("last"))
     open_ = open_.join(last, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("last") + 1))
     open_ = written(open_, "minhash-open")
     sets = map_arrow(_texts_of(open_.select("node"), texts), _sets, "node long, shingles binary")
@@ -232,9 +233,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # The centre of a group: least by a hash that depends on the first half only, so that a document has few centres.
     centres = rows.groupBy("k").agg(
         F.min(F.struct(F.xxhash64("node", "i").alias("h"), F.col("node").alias("c"), F.col("n").alias("cn"))).alias("m"), F.count("*").alias("size")
-    ).where("size > 1").select("k", "m.c", "m.cn")
+    ).where("size > 1").select("k", "m.c", "m.cn", "size")
     near = F.least("n", "cn") * 100 >= F.greatest("n", "cn") * SHARE
-    starred = rows.join(centres, "k").where("node <> c").select(*_ordered("node", "c"), near.alias("near")).distinct()
+    starred = with_counts(rows, centres, "k", "size", "minhash-centres").where("node <> c").select(*_ordered("node", "c"), near.alias("near")).distinct()
     starred = written(starred, "minhash-pairs")
     first = written(_verify(starred.where("near").select("x", "y"), texts).where("linked").select("x", "y"), "minhash-verified")
     comp = written(components(first.select(F.col("x").alias("a"), F.col("y").alias("b")), "minhash"), "minhash-components")
