@@ -38,13 +38,15 @@ CORE = 40
 LEFT = LENGTH - CORE
 #: Suffixes that a bucket holds about, and those of one key beyond which it is split by more bytes.
 BUCKET = 5_000
-HOT = 10_000
+HOT = 20_000
 RANGES = 256
 #: One anchor of so many carries its leading token into the sample for the splitters.
 SAMPLE = 64
 #: Bits of a position in a packed key; longer documents are cut into overlapping stretches.
 BITS = 28
 STRETCH = 1 << 24
+#: Surroundings of up to 360 bytes that are broadcast at most.
+BROADCAST_SAME = 20_000
 #: Strings of a document with a short period that are told apart at a time.
 PIECE = 1 << 20
 
@@ -289,9 +291,11 @@ def _sorted_part(table):
     """Spans of the suffixes of one bucket of a split core; those that stand for several are told already."""
     import pyarrow as pa
 
-    column = table["around"].combine_chunks()
-    around = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, LEFT + LENGTH)
-    least, most = repeated(around, table["before"].to_numpy(), table["after"].to_numpy(), table["lo"][0].as_py(), table["hi"][0].as_py())
+    lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
+    wide = np.frombuffer(b"".join(table["wide"].combine_chunks().to_pylist()), np.uint8).reshape(table.num_rows, -1)
+    around = np.zeros((len(wide), LEFT + LENGTH), np.uint8)
+    around[:, LEFT - hi : LEFT + LENGTH - lo] = wide
+    least, most = repeated(around, table["left"].to_numpy(), table["right"].to_numpy(), lo, hi)
     hit = np.flatnonzero((most >= 0) & (table["n"].to_numpy() == 1))
     pos = table["pos"].to_numpy()[hit]
     keys = table.select(["_id", "_h"]).take(pa.array(hit))
@@ -301,39 +305,44 @@ def _sorted_part(table):
 def _hot_spans(rows: DataFrame, hot: int, bucket: int) -> DataFrame:
     """Spans of the suffixes `rows(_id, _h, pos, before, after, around)` of cores with more than `hot` of them.
 
-    A level halves the offsets lo..hi of what is still too hot; 9 levels come to single offsets.
+    A level halves the offsets lo..hi of what is still too hot; 9 levels come to single offsets. `wide` holds the bytes of
+    all strings at those offsets, `left` and `right` how many of them lie in the document on either side of the anchor.
     """
     spans = "_id long, _h long, start long, end long"
     out = rows.sparkSession.createDataFrame([], spans)
-    now = rows.select("_id", "_h", "pos", "before", "after", "around", F.lit(0).alias("lo"), F.lit(LEFT).alias("hi"), F.lit(1).cast("long").alias("n"))
-    # what is in the document of the bytes that the strings concerned hold
-    left, right = F.least("before", "hi"), F.least("after", F.lit(LENGTH) - F.col("lo"))
-    wide = F.expr(f"substring(around, {LEFT + 1} - hi, hi + {LENGTH} - lo)")
-    narrow = F.expr(f"substring(wide, hi - lo + 1, lo + {LENGTH} - hi)")
     key = ["lo", "hi", "wide", "left", "right"]
+    now = rows.select(
+        "_id", "_h", "pos", F.lit(0).alias("lo"), F.lit(LEFT).alias("hi"), F.col("around").alias("wide"), F.col("before").alias("left"),
+        F.col("after").alias("right"), F.lit(1).cast("long").alias("n"),
+    )
     while True:
-        now = now.where(f"greatest(lo, {LENGTH} - after) <= least(hi, before)")
-        now = written(now.withColumns({"wide": wide, "left": left, "right": right}), "suffix-hot")
-        same = now.groupBy(*key).agg(F.sum("n").alias("n"), F.min(F.struct("_id", "_h", "pos", "before", "after", "around")).alias("r"))
-        same = written(same, "suffix-same")
+        now = written(now.where(f"{LENGTH} - right <= left"), "suffix-hot")
+        # Numbers only, so sums are hashed and partial; a group of one keeps its own.
+        same = written(now.groupBy(*key).agg(F.sum("n").alias("n"), *[F.max(c).alias(c) for c in ("_id", "_h", "pos")]), "suffix-same")
         # All strings of suffixes that agree throughout are repeats.
-        told = now.where("n = 1").join(same.where("n > 1").select(*key), key)
-        told = told.select("_id", "_h", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end"))
+        alike = same.where("n > 1").select(*key)
+        alike = F.broadcast(alike) if alike.count() <= BROADCAST_SAME else alike
+        told = now.where("n = 1").join(alike, key).select("_id", "_h", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end"))
         out = out.unionByName(written(told, "suffix-told"))
-        one = same.select("lo", "hi", narrow.alias("narrow"), "n", "r.*")
-        counts = one.groupBy("lo", "hi", "narrow").agg(F.count("*").alias("c")).where("c > 1")
-        one = written(one.join(counts, ["lo", "hi", "narrow"]), "suffix-parts")
+        # Only those that agree in the bytes that all strings hold can have strings in common.
+        part = ["lo", "hi", "narrow"]
+        one = same.withColumn("narrow", F.xxhash64(F.expr(f"substring(wide, hi - lo + 1, lo + {LENGTH} - hi)")))
+        counts = one.groupBy(*part).agg(F.count("*").alias("c")).where("c > 1")
+        one = written(one.join(counts, part), "suffix-parts")
+        discard(now, same)
         few = one.where(F.col("c") <= hot)
         slots = max(1, -(-few.count() // bucket))
-        few = few.withColumn("slot", F.pmod(F.xxhash64("narrow"), F.lit(slots))).drop("narrow", "c")
+        few = few.withColumn("slot", F.pmod(F.col("narrow"), F.lit(slots))).drop("narrow", "c")
         out = out.unionByName(written(few.groupBy("lo", "hi", "slot").applyInArrow(_sorted_part, spans), "suffix-sorted"))
         many = one.where(F.col("c") > hot)
-        discard(now, same)
         if not many.limit(1).count():
             return out
         half = F.expr("(lo + hi) DIV 2").cast("int")
         halves = F.explode(F.array(F.struct(F.col("lo").alias("a"), half.alias("b")), F.struct((half + 1).alias("a"), F.col("hi").alias("b"))))
-        now = many.withColumn("x", halves).select("_id", "_h", "pos", "before", "after", "around", F.col("x.a").alias("lo"), F.col("x.b").alias("hi"), "n")
+        now = many.withColumn("x", halves).select(
+            "_id", "_h", "pos", F.col("x.a").alias("lo"), F.col("x.b").alias("hi"), F.expr(f"substring(wide, hi - x.b + 1, x.b + {LENGTH} - x.a)").alias("wide"),
+            F.expr("least(left, x.b)").alias("left"), F.expr(f"least(right, {LENGTH} - x.a)").alias("right"), "n",
+        )
 
 
 def _cut(batches: Iterator) -> Iterator:
