@@ -6,7 +6,7 @@ Blocks of consecutive aligned lines that are long enough are deleted from the la
 holder of a block keeps it: its copy could only be deleted for a still earlier one.
 
 Pairs come from equi-joins on line hashes. Lines of up to RARE documents pair all their holders; a more frequent line
-pairs each holder with the first holder and with the one before it, which settles nearly all blocks of frequent lines.
+pairs each holder with the first holder and with one earlier holder, which settles nearly all blocks of frequent lines.
 
 The others are settled exactly. Two documents without a rare line in common are aligned by their frequent lines alone, so
 each is replaced by its outline: frequent lines and the blank lines beside them, with one gap for whatever else lies
@@ -252,7 +252,7 @@ def line_dedup(
     few = held.where(F.col("df") <= rare)
     pairs = few.select("line", F.col("d").alias("late")).join(few.select("line", F.col("d").alias("early")), "line").where("early < late")
     many = held.where(F.col("df") > rare)
-    # The holder before: documents of a frequent line are numbered in ranges of ids, so no task holds all of them.
+    # An earlier holder: documents of a frequent line are dealt by hash over many windows, so no task holds all of them.
     before = many.withColumn("range", F.pmod(F.xxhash64("d"), F.greatest(F.col("df") / 1000, F.lit(1)).cast("long")))
     last = F.lag("d").over(Window.partitionBy("line", "range").orderBy("d"))
     hot = before.select("first", F.col("d").alias("late"), last.alias("before"))

@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, pieces, release_memory
-from .training import MASK, MAX_TRAIN, Weights, adam, compact, held_out, sample, sigmoid, slot, summed
+from .training import MASK, Weights, adam, compact, held_out, sample, sigmoid, slot, summed
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
 STEPS, RATE, L2 = 200, 0.05, 1e-4
+#: The most labelled rows that the model is fitted on: toxic ones are few, and their words must be met.
+MAX_TRAIN = 8_000
 
 
 def word_slots(word: str) -> tuple[int, ...]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Hashed feature space; a model is that many floats whatever the corpus.
 BITS = 18
 MASK = (1 << BITS) - 1
-#: The most labelled rows that a model is fitted on, those with the least hash of their id.
+#: The most labelled rows that a model is fitted on where the operator does not say otherwise, those with the least hash of their id.
 MAX_TRAIN = 4_000
 #: Features seen in fewer training documents than this keep weight 0.
 MIN_DF = 3
