@@ -38,13 +38,15 @@ CORE = 40
 LEFT = LENGTH - CORE
 #: Suffixes that a bucket holds about, and those of one key beyond which it is split by more bytes.
 BUCKET = 5_000
-HOT = 20_000
+HOT = 10_000
 RANGES = 256
 #: One anchor of so many carries its leading token into the sample for the splitters.
 SAMPLE = 64
 #: Bits of a position in a packed key; longer documents are cut into overlapping stretches.
 BITS = 28
 STRETCH = 1 << 24
+#: Hot cores (8 bytes each) up to which texts are read again for them; beyond, texts are shuffled to their suffixes.
+BROADCAST_CORES = 500_000
 #: Surroundings of up to 360 bytes that are broadcast at most.
 BROADCAST_SAME = 20_000
 #: Strings of a document with a short period that are told apart at a time.
@@ -208,6 +210,28 @@ def _around(batches: Iterator, splitters: np.ndarray, parts: np.ndarray) -> Iter
                 ], ["_id", "_h", "bucket", "core", "pos", "before", "after", "around"])
 
 
+def _around_cores(batches: Iterator, cores, stretch: int) -> Iterator:
+    """What `_around` makes of the suffixes with one of the sorted `cores`, found in the texts anew."""
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("pos", pa.int64()), ("core", pa.int64())]))
+    wanted = cores.value
+    for batch in pieces(batches):
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1)
+            for found in _anchors([row], stretch):
+                if found.column(2).null_count:
+                    continue  # repeats that the map task has settled
+                core, pos = found.column(2).to_numpy(), found.column(3).to_numpy()
+                at = np.minimum(np.searchsorted(wanted, core), len(wanted) - 1)
+                hit = wanted[at] == core
+                if hit.any():
+                    places = pa.StructArray.from_arrays([pa.array(pos[hit]), pa.array(core[hit])], ["pos", "core"])
+                    listed = pa.ListArray.from_arrays(pa.array([0, len(places)], pa.int32()), places).cast(kind)
+                    given = pa.RecordBatch.from_arrays([*row.columns[:3], listed], ["_id", "_h", "text", "places"])
+                    yield from _around([given], np.zeros(0, np.int64), np.ones(1, np.int64))
+
+
 def multikey_quicksort(rows: np.ndarray) -> np.ndarray:
     """Order of the byte strings in `rows`, all of one length that is a multiple of 8.
 
@@ -405,8 +429,18 @@ def remove_repeats(
 
     spans = around(open_.where(F.col("c") <= hot)).groupBy("bucket").applyInArrow(_sorted_bucket, "_id long, _h long, start long, end long")
     spans = spans.unionByName(local)
-    if open_.where(F.col("c") > hot).limit(1).count():
-        spans = spans.unionByName(_hot_spans(around(open_.where(F.col("c") > hot)), hot, bucket))
+    cores = written(open_.where(F.col("c") > hot).select("core").distinct(), "suffix-hot-cores")
+    if many := cores.count():
+        if many <= BROADCAST_CORES:
+            found_again = np.sort(cores.toArrow()["core"].to_numpy())
+            shared = docs.sparkSession.sparkContext.broadcast(found_again)
+            rows = map_arrow(
+                texts, partial(_around_cores, cores=shared, stretch=stretch),
+                "_id long, _h long, bucket long, core long, pos long, before int, after int, around binary",
+            )
+        else:
+            rows = around(open_.where(F.col("c") > hot))
+        spans = spans.unionByName(_hot_spans(rows, hot, bucket))
     gone = spans.groupBy("_id", "_h").agg(F.collect_list(F.struct("start", "end")).alias("found"))
     out = map_arrow(
         texts.join(gone, ["_id", "_h"], "left").select("_id", "text", "found"), _cut,
