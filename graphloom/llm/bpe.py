@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -25,6 +26,38 @@ from .common import map_arrow, pieces, text_of
 #: Chunks per cache generation; a worker holds two.
 CACHE = 150_000
 
+# Where the tables of the tokenizers library are older or newer than those of Python 3.13 and `regex`.
+#: Letters and numbers that the library's patterns do not know.
+NO_LETTERS = (
+    "0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 "
+    "10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF "
+    "18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 "
+    "1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD "
+    "323B0-33479 3D000-3FC3F"
+)
+#: Characters that its NFC neither reorders nor composes.
+NO_MARKS = (
+    "07FD 0898-089F 08CA-08D3 09FE 0C3C 0D3B-0D3C 0EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF "
+    "10F46-10F50 10F82-10F85 11070 1133B 1145E 11839-1183A 11930 11938 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 "
+    "11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"
+)
+#: Capitals that it knows and Python does not: first capital, last capital, small letter of the first.
+CAPITALS = (
+    "1C89 1C89 1C8A, A7CB A7CB 0264, A7CC A7CC A7CD, A7CE A7CE A7CF, A7D2 A7D2 A7D3, A7D4 A7D4 A7D5, A7DA A7DA A7DB, A7DC A7DC 019B, "
+    "10D50 10D65 10D70, 16EA0 16EB8 16EBB"
+)
+
+
+def class_of(ranges: str) -> str:
+    """A character class of ranges in hexadecimal."""
+    ends = [[chr(int(x, 16)) for x in r.split("-")] for r in ranges.split()]
+    return "[" + "".join(map("-".join, ends)) + "]"
+
+
+def small_letters(capitals: str) -> dict[int, int]:
+    rows = [[int(x, 16) for x in r.split()] for r in capitals.split(",")]
+    return {c: c - first + small for first, last, small in rows for c in range(first, last + 1)}
+
 
 def byte_letters() -> list[str]:
     """The byte-level alphabet: printable Latin-1 bytes stand for themselves, others for letters from U+0100 on."""
@@ -74,7 +107,15 @@ class WordBpe:
         self.space = regex.compile(r"[\t-\r \x85\xa0  -     　]")
         self.spaces = regex.compile(self.space.pattern + "+")
         splitter = next(p for p in t["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.word = regex.compile(splitter["pattern"]["Regex"])
+        pattern = splitter["pattern"]["Regex"]
+        self.ascii_word = regex.compile(pattern)
+        for known in (r"\p{L}", r"\p{N}"):
+            pattern = pattern.replace(known, f"[{known}--{class_of(NO_LETTERS)}]")
+        self.word = regex.compile(pattern, regex.VERSION1)
+        self.marks = re.compile(class_of(NO_MARKS))
+        self.at_marks = re.compile(f"({class_of(NO_MARKS)})")
+        self.small = small_letters(CAPITALS)
+        self.capitals = re.compile(class_of(" ".join("-".join(r.split()[:2]) for r in CAPITALS.split(","))))
         self.apart = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.seen = Seen(self.chunk, cache)
 
@@ -125,18 +166,26 @@ class WordBpe:
 
     def chunk(self, chunk: str) -> tuple[str, str]:
         """Of a piece without white space: ids and token strings, each joined by spaces."""
-        words = self.word.findall(chunk)
+        words = (self.ascii_word if chunk.isascii() else self.word).findall(chunk)
         if len(words) > 1:
             parts = [*map(self.seen.__getitem__, words)]
             return " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
         ids = self.merge(chunk.encode())
         return " ".join(map(str, ids)), " ".join([self.strings[i] for i in ids])
 
+    def composed(self, text: str) -> str:
+        """NFC as the library has it: characters that its tables lack stay where they are, between composed stretches."""
+        if not self.marks.search(text):
+            return unicodedata.normalize("NFC", text)
+        return "".join([x if i % 2 else unicodedata.normalize("NFC", x) for i, x in enumerate(self.at_marks.split(text))])
+
     def _plain(self, text: str) -> list[tuple[str, str]]:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
+            text = self.composed(text)
             # letter by letter, as the final sigma is not told from others
             text = self.spaces.sub(" ", text).replace("Σ", "σ")
+            if self.capitals.search(text):
+                text = text.translate(self.small)
         text = text.lower()
         # split() also cuts at the separators 1C to 1F, which are not white space here
         chunks = text.split() if not any(c in text for c in "\x1c\x1d\x1e\x1f") else [c for c in self.spaces.split(text) if c]

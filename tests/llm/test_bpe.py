@@ -29,6 +29,15 @@ def test_equals_the_library(spark, both):
         assert decoded == theirs.decode(e.ids, skip_special_tokens=False) == ours.decode(e.ids)
 
 
+def test_every_character_equals_the_library(both):
+    theirs, ours = both
+    letters = [chr(c) for c in range(0x40000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(letters), 4096):
+        texts = [f"'{x}s A{x}1 a\u0345{x}\u0334 {x}\u0316" for x in letters[at : at + 4096]]
+        for text, e in zip(texts, theirs.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert ours.ids(text) == e.ids, ascii(text)
+
+
 def test_a_word_of_a_million_letters(both):
     _, ours = both
     joined, n, _ = ours.encode("ab" * 500_000)
