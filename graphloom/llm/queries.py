@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact, linealign, minhash, quality, secrets, sharding, suffix, toxicity
+from . import bpe, centroids, decontam, exact, linealign, minhash, negatives, quality, secrets, sharding, suffix, toxicity, warc
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", F.size("deleted").alias("n_deleted"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(negatives.finite("embedding"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label")
+    return negatives.mine(rows.select("vec_id", label, negatives.quantized("embedding", 256).alias("v")), F.col("vec_id") % 50 == 0)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.read_records(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
     "op2_decontamination": op2_decontamination,
@@ -87,9 +102,15 @@ QUERIES: dict[str, Query] = {
     "op8_suffix": op8_suffix,
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_centroids": op12_centroids,
+    "op13_warc": op13_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": exact.SQL,
     "op7_sharding": sharding.duckdb_sql(),
+    "op11_hard_negatives": negatives.SQL,
+    "op12_centroids": centroids.duckdb_sql(),
+    "op13_warc": warc.SQL,
 }
