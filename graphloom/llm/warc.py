@@ -25,8 +25,9 @@ from .common import map_arrow, pieces, written
 LEAST = 100
 #: Up to so many repeated digests (about 80 bytes each) are broadcast to the pages; beyond, pages are shuffled to them.
 BROADCAST_DIGESTS = 200_000
-#: Bytes between two wanted records that are read rather than skipped, bytes read at once, and bytes of a file for one task.
-GAP, READ, STRETCH = 1 << 16, 1 << 22, 1 << 26
+#: Bytes between two wanted records that are read rather than skipped, bytes read at once, bytes of a file that one task reads
+#: in a row, and tasks at most (each then reads more stretches, one after the other).
+GAP, READ, STRETCH, TASKS = 1 << 16, 1 << 22, 1 << 24, 20_000
 INDEX = "file string, offset long, length long, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
@@ -201,7 +202,9 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
     payload_bytes, payload_digest, payload`. Responses are held against their digest; a revisit tells the length and digest of the
     payload that it refers to and has none itself. A record named twice is read twice; an empty index gives an empty result.
     """
-    dealt = index.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("file", "offset")
+    wanted = index.agg(F.sum("length")).first()[0] or 0  # by bytes to read: rows of the index are small
+    tasks = min(TASKS, 1 + int(wanted) // STRETCH)
+    dealt = index.select("file", "offset", "length").repartition(tasks, "file", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("file", "offset")
     return map_arrow(dealt, _Read(payloads), RECORD)
 
 
