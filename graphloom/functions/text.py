@@ -39,8 +39,8 @@ def token_set(text: Column | str) -> Column:
 
 
 def path_tokens(path: Column | str) -> Column:
-    """D3: the distinct tokens of a path's parts without their last extension."""
-    parts = F.transform(F.split(col(path), "/"), lambda p: tokens(F.regexp_replace(p, r"\.[^.]*$", "")))
+    """D3: the distinct tokens of a path's parts without their last extension; backslashes are slashes."""
+    parts = F.transform(F.split(F.translate(col(path), "\\", "/"), "/"), lambda p: tokens(F.regexp_replace(p, r"\.[^.]*$", "")))
     return F.array_distinct(F.flatten(parts))
 
 

@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import confidence_label, confidence_weight, is_test_file, min_max, path_tokens, token_estimate, token_set
 from graphloom.storage import discard, written
 
-WEIGHTS = {"graph": 0.35, "sem": 0.30, "conf": 0.20, "hint": 0.10, "pen": 0.05}
+# Fixed values of the score, and of what the tools show in either mode.
+WEIGHTS = {"sem": 0.35, "graph": 0.30, "conf": 0.20, "hint": 0.10, "pen": 0.05}
+NEIGHBOR_TOOL = {"progressive": {"cap": 10, "doc_chars": 40}, "baseline": {"cap": 20, "doc_chars": 60}}
+FILE_SUMMARY = {"progressive": {"total": 8, "per_class": 4, "doc_chars": 50}, "baseline": {"total": 12, "per_class": 6, "doc_chars": 80}}
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -104,7 +107,7 @@ def evidence(paths: DataFrame, seeds: DataFrame, node_files: DataFrame) -> DataF
 
 @dataclass(frozen=True)
 class Scoring:
-    hub_threshold: int = 50
+    hub_threshold: int = 20
     hub_scale: float = 0.35
     weights: tuple[tuple[str, float], ...] = tuple(WEIGHTS.items())
     ratio: float = 0.70
@@ -256,41 +259,58 @@ def _described(nodes: DataFrame) -> DataFrame:
     return nodes.withColumns({c: F.lit(None).cast("string") for c in ("docstring", "signature") if c not in nodes.columns})
 
 
-def neighbor_tool(nodes: DataFrame, edges: DataFrame, node_id: str, cap: int = 10, doc_chars: int = 120) -> DataFrame:
-    """Neighbours of one node, outgoing first: `id, direction, type, name, node_type, file, docstring, pos`; one row of `error` if unknown.
+def _asked(spark: SparkSession, column: str, asked: DataFrame | str) -> DataFrame:
+    """One value, or a table of them, each once."""
+    if isinstance(asked, str):
+        return spark.createDataFrame([(asked,)], f"{column} string")
+    return asked.select(F.col(column).cast("string").alias(column)).where(F.col(column).isNotNull()).distinct()
 
-    A neighbour without file stands under its own id.
+
+def neighbor_tool(nodes: DataFrame, edges: DataFrame, asked: DataFrame | str, mode: str = "progressive") -> DataFrame:
+    """Neighbours of each of `asked(node_id)`, or of one node, outgoing first: `node_id, id, direction, type, name, node_type,
+    file, docstring, pos`; one row of `error` for a node that is unknown. A neighbour without file stands under its own id.
+
+    All nodes that are asked for are one plan: edges meet them by either end, and a node's first neighbours are kept.
     """
-    nodes = _described(nodes)
-    around = both_ways(edges.where((F.col("src") == node_id) | (F.col("dst") == node_id))).where(F.col("id") == node_id)
-    way = F.when(F.col("direction") == "out", "outgoing").otherwise("incoming")
-    around = around.select(F.col("other").alias("id"), way.alias("direction"), "type").distinct()
+    cap, doc_chars = NEIGHBOR_TOOL[mode]["cap"], NEIGHBOR_TOOL[mode]["doc_chars"]
+    nodes, asked = _described(nodes), _asked(nodes.sparkSession, "node_id", asked)
+    known = asked.join(nodes.select(F.col("id").alias("node_id")).distinct(), "node_id", "left_semi")
+    ends = lambda own, other, way: edges.select(F.col(own).alias("node_id"), F.col(other).alias("id"), F.lit(way).alias("direction"), "type")
+    around = ends("src", "dst", "outgoing").unionByName(ends("dst", "src", "incoming")).join(known, "node_id", "left_semi").distinct()
     said = F.substring(F.coalesce("docstring", F.lit("")), 1, doc_chars).alias("docstring")
     about = nodes.select("id", F.coalesce("file", "id").alias("file"), "name", F.col("type").alias("node_type"), said)
     rows = around.join(about, "id", "left").withColumn("file", F.coalesce("file", "id"))
-    w = Window.orderBy(F.col("direction").desc(), "file", "id", "type")
+    w = Window.partitionBy("node_id").orderBy(F.col("direction").desc(), "file", "id", "type")
     rows = rows.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= cap).withColumn("error", F.lit(None).cast("string"))
-    known = nodes.where(F.col("id") == node_id).agg(F.count("*").alias("n")).where("n = 0")
-    bad = known.select(F.lit(f"unknown node: {node_id}").alias("error"))
+    bad = asked.join(known, "node_id", "left_anti").select("node_id", F.concat(F.lit("unknown node: "), "node_id").alias("error"))
     return rows.unionByName(bad, allowMissingColumns=True)
 
 
-def file_summary(nodes: DataFrame, edges: DataFrame, path: str, per_class: int = 4, total: int = 8, doc_chars: int = 120) -> DataFrame:
-    """`file, id, name, type, docstring, signature, methods` of what a file defines; the path may be the end of a file's.
+def file_summary(nodes: DataFrame, edges: DataFrame, asked: DataFrame | str, mode: str = "progressive") -> DataFrame:
+    """`path, file, id, name, type, docstring, signature, methods, pos` of what the file of each of `asked(path)`, or of one path,
+    defines; a path may be the end of a file's. Functions show their signature, classes their methods' names and
+    signatures. One row of `error` for a path that no file has.
 
-    Functions show their signature, classes their methods' names and signatures. One row of `error` if no file is found.
+    Paths meet files by equality on the ends of the files' paths; a whole path comes before an end, then the least file.
     """
-    nodes = _described(nodes)
-    file = nodes.where((F.col("type") == "file") & ((F.col("id") == path) | F.col("id").endswith("/" + path))).orderBy(F.when(F.col("id") == path, 0).otherwise(1), "id").limit(1)
-    kids = file.select(F.col("id").alias("file")).join(edges.where("type = 'DEFINES'"), F.col("file") == F.col("src")).select("file", F.col("dst").alias("id"))
+    total, per_class, doc_chars = (FILE_SUMMARY[mode][k] for k in ("total", "per_class", "doc_chars"))
+    nodes, asked = _described(nodes), _asked(nodes.sparkSession, "path", asked)
+    files = nodes.where("type = 'file'").select(F.col("id").alias("file"), F.split("id", "/").alias("parts"))
+    cut = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.array_join(F.slice("parts", i, F.size("parts")), "/"))
+    ends = files.select("file", F.explode(cut).alias("path"))
+    file = asked.join(ends, "path").groupBy("path").agg(F.min_by("file", F.struct(F.col("file") != F.col("path"), "file")).alias("file"))
+    kids = file.join(edges.where("type = 'DEFINES'").select(F.col("src").alias("file"), F.col("dst").alias("id")), "file")
     signed = F.coalesce("signature", F.lit(""))
     named = nodes.select(
         "id", "name", "type", F.substring(F.coalesce("docstring", F.lit("")), 1, doc_chars).alias("docstring"),
         F.when(F.col("type") == "function", signed).alias("signature"),
     )
     methods = edges.where("type = 'CONTAINS'").join(nodes.select(F.col("id").alias("dst"), F.struct("name", signed.alias("signature")).alias("method")), "dst")
-    methods = methods.groupBy(F.col("src").alias("id")).agg(F.slice(F.array_sort(F.collect_list("method")), 1, per_class).alias("methods"))
+    first = Window.partitionBy("src").orderBy("method")
+    methods = methods.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_class)
+    methods = methods.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list("method")).alias("methods"))
     rows = kids.join(named, "id").join(methods, "id", "left").withColumn("methods", F.when(F.col("type") == "class", F.col("methods")))
-    rows = rows.withColumn("pos", F.row_number().over(Window.orderBy("name", "id"))).where(F.col("pos") <= total)
-    bad = file.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(f"unknown file: {path}").alias("error"))
+    w = Window.partitionBy("path").orderBy("name", "id")
+    rows = rows.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= total)
+    bad = asked.join(file, "path", "left_anti").select("path", F.concat(F.lit("unknown file: "), "path").alias("error"))
     return rows.withColumn("error", F.lit(None).cast("string")).unionByName(bad, allowMissingColumns=True)

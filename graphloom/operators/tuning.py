@@ -28,7 +28,7 @@ class Config:
     cap: int = 12
     ratio: float = 0.70
     min_cut: float = 0.0
-    hub_threshold: int = 50
+    hub_threshold: int = 20
     hub_scale: float = 0.35
     min_return: int = 1
     weights: dict[str, float] = field(default_factory=dict)

@@ -9,6 +9,10 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MANIFEST_LINES = 100_000
 PENDING, RUNNING, DONE, FAILED = "pending", "running", "done", "failed"
 
 
@@ -49,6 +53,17 @@ def by_repository(jobs: Sequence[tuple[str, Callable[[], object]]], workers: int
     return {repo: f.result() for repo, f in found.items()}
 
 
+def manifest_digest(lines: DataFrame, column: str, most: int = MANIFEST_LINES) -> DataFrame:
+    """N8 of a manifest that a column lists: one row `n_lines, manifest_sha256` of its distinct values, in order, a line each.
+
+    A digest needs the text in one place, so a manifest has a bound; a longer one is an error and never cut.
+    """
+    few = lines.select(F.col(column).cast("string").alias("_line")).where("_line IS NOT NULL").distinct().limit(most + 1)
+    told = few.agg(F.count("*").alias("n_lines"), F.sha2(F.array_join(F.sort_array(F.collect_list("_line")), "\n"), 256).alias("manifest_sha256"))
+    too_long = F.raise_error(F.lit(f"a manifest of more than {most} lines")).cast("string")
+    return told.select("n_lines", F.when(F.col("n_lines") > most, too_long).otherwise(F.col("manifest_sha256")).alias("manifest_sha256"))
+
+
 def provenance(manifest: str, versions: dict[str, str] | None = None) -> dict[str, str]:
     """Digest of a manifest's text, versions of what ran it, and the commit of the code where it lies in a repository."""
     import subprocess

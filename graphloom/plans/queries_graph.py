@@ -48,8 +48,8 @@ e AS (SELECT g.*, ln(1 + n_paths) + 0.25 * least(n_types, 3) / 3 AS gg, coalesce
  list_distinct(flatten(list_transform(string_split(g.file, '/'), lambda p: regexp_extract_all(lower(regexp_replace(p, '\.[^.]*$', '')), '[a-z0-9]+')))) AS words,
  list_distinct(regexp_extract_all(lower(i.text), '[a-z0-9]+')) AS hint FROM g LEFT JOIN deg USING (file) LEFT JOIN issues i USING (query_id)),
 f AS (SELECT *, gg / max(gg) OVER (PARTITION BY query_id) AS s_graph, len(list_intersect(words, hint)) / len(words) AS s_hint,
- least(1.0, CASE WHEN n_low = n_paths THEN 1.0 ELSE greatest(0.0, n_low / n_paths - 0.7) END + 0.35 * CASE WHEN d > 50 THEN least((d - 50) / 50.0, 1.0) ELSE 0.0 END) AS s_pen FROM e),
-scored AS (SELECT *, round(0.35 * s_graph + 0.30 * s_sem + 0.20 * s_conf + 0.10 * s_hint - 0.05 * s_pen, 6) AS score FROM f),
+ least(1.0, CASE WHEN n_low = n_paths THEN 1.0 ELSE greatest(0.0, n_low / n_paths - 0.7) END + 0.35 * CASE WHEN d > 20 THEN least((d - 20) / 20.0, 1.0) ELSE 0.0 END) AS s_pen FROM e),
+scored AS (SELECT *, round(0.35 * s_sem + 0.30 * s_graph + 0.20 * s_conf + 0.10 * s_hint - 0.05 * s_pen, 6) AS score FROM f),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, n_high DESC, avg_depth, file) AS rank, max(score) OVER (PARTITION BY query_id) AS top FROM scored)
 """
 ISSUES = "SELECT concat('q', item_id) AS query_id, concat('src n', item_id, ' s', item_id, ' breaks') AS text FROM {benchmark}"
@@ -223,29 +223,53 @@ def sampled_spans(symbols: DataFrame) -> DataFrame:
     return fusion.sampled_spans(symbols).select("issue_id", "file", "name", "pos")
 
 
-HUB = "(SELECT min(id) FROM nodes WHERE type = 'file')"
+#: Docstrings that are longer than what the tools show of them.
+TOLD = "SELECT id, type, name, file, repeat(concat(docstring, '. '), 5) AS docstring FROM (" + NODES + ")"
+ROW = "row_number() OVER (PARTITION BY node_id ORDER BY direction DESC, coalesce(file, id), id, type)::INT AS pos"
 
 
-@query(
-    "neighbor_tool",
-    f"""WITH e AS (SELECT DISTINCT dst AS id, 'outgoing' AS direction, type FROM edges WHERE src = {HUB} UNION SELECT DISTINCT src, 'incoming', type FROM edges WHERE dst = {HUB})
-    SELECT * FROM (SELECT id, coalesce(file, id) AS file, name, node_type, substr(coalesce(docstring, ''), 1, 120) AS docstring, direction, type, row_number() OVER (ORDER BY direction DESC, coalesce(file, id), id, type)::INT AS pos FROM e LEFT JOIN (SELECT id, file, name, type AS node_type, docstring FROM nodes) USING (id)) WHERE pos <= 10""",
-    **GRAPH,
-)
+def _neighbors_sql(cap: int, chars: int) -> str:
+    return f"""WITH e AS (SELECT src AS node_id, dst AS id, 'outgoing' AS direction, type FROM edges UNION SELECT dst, src, 'incoming', type FROM edges),
+    known AS (FROM e WHERE node_id IN (SELECT id FROM nodes WHERE type = 'file'))
+    SELECT * FROM (SELECT node_id, id, coalesce(file, id) AS file, name, node_type, substr(coalesce(docstring, ''), 1, {chars}) AS docstring, direction, type, {ROW} FROM known LEFT JOIN (SELECT id, file, name, type AS node_type, docstring FROM nodes) USING (id)) WHERE pos <= {cap}"""
+
+
+def _neighbors(edges: DataFrame, nodes: DataFrame, mode: str) -> DataFrame:
+    asked = nodes.where("type = 'file'").select(F.col("id").alias("node_id"))
+    return graph.neighbor_tool(nodes, edges, asked, mode).select("node_id", "id", "file", "name", "node_type", "docstring", "direction", "type", "pos")
+
+
+@query("neighbor_tool", _neighbors_sql(10, 40), edges=EDGES, nodes=TOLD)
 def neighbor_tool(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    node = nodes.where("type = 'file'").agg(F.min("id")).first()[0]
-    return graph.neighbor_tool(nodes, edges, node).select("id", "file", "name", "node_type", "docstring", "direction", "type", "pos")
+    """Asked for every file, in the progressive mode."""
+    return _neighbors(edges, nodes, "progressive")
 
 
-@query(
-    "file_summary_tool",
-    f"""WITH k AS (SELECT dst AS id FROM edges WHERE type = 'CALLS' AND src = {HUB}) SELECT * FROM (SELECT {HUB} AS file, id, name, type, substr(docstring, 1, 120) AS docstring, '' AS signature, row_number() OVER (ORDER BY name, id)::INT AS pos FROM k JOIN (SELECT id, name, type, docstring FROM nodes) USING (id)) WHERE pos <= 8""",
-    **GRAPH,
-)
-def file_summary_tool(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    node = nodes.where("type = 'file'").agg(F.min("id")).first()[0]
+@query("neighbor_tool_baseline", _neighbors_sql(20, 60), edges=EDGES, nodes=TOLD)
+def neighbor_tool_baseline(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    return _neighbors(edges, nodes, "baseline")
+
+
+def _summary_sql(total: int, chars: int) -> str:
+    return f"""WITH k AS (SELECT DISTINCT src AS file, dst AS id FROM edges WHERE type = 'CALLS')
+    SELECT * FROM (SELECT parse_filename(file) AS path, file, id, name, type, substr(coalesce(docstring, ''), 1, {chars}) AS docstring, '' AS signature, row_number() OVER (PARTITION BY file ORDER BY name, id)::INT AS pos FROM k JOIN (SELECT id, name, type, docstring FROM nodes) USING (id)) WHERE pos <= {total}"""
+
+
+def _summary(edges: DataFrame, nodes: DataFrame, mode: str) -> DataFrame:
     defines = edges.withColumn("type", F.when(F.col("type") == "CALLS", "DEFINES").otherwise(F.col("type")))
-    return graph.file_summary(nodes, defines, node).select("file", "id", "name", "type", "docstring", "signature", "pos")
+    asked = nodes.where("type = 'file'").select(F.element_at(F.split("id", "/"), -1).alias("path"))
+    return graph.file_summary(nodes, defines, asked, mode).where("error IS NULL").select("path", "file", "id", "name", "type", "docstring", "signature", "pos")
+
+
+@query("file_summary_tool", _summary_sql(8, 50), edges=EDGES, nodes=TOLD)
+def file_summary_tool(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Asked for every file by the end of its path, in the progressive mode."""
+    return _summary(edges, nodes, "progressive")
+
+
+@query("file_summary_tool_baseline", _summary_sql(12, 80), edges=EDGES, nodes=TOLD)
+def file_summary_tool_baseline(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    return _summary(edges, nodes, "baseline")
 
 
 TRACE = """SELECT conv_id AS issue, turn, concat('f', length(text) % 5, '.py') AS file, CASE WHEN turn % 3 = 0 THEN NULL ELSE CAST(length(text) % 100 AS DOUBLE) / 100 END AS score,

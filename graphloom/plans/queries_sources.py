@@ -352,10 +352,7 @@ def summary_tree(s: DataFrame) -> DataFrame:
 
 @query("adapter_dispatch", "SELECT page_id, CASE WHEN contains(lower(n || ' ' || d), 'polybench') THEN 'poly' ELSE 'default' END AS family FROM a", a="SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'org/SWE-PolyBench_Verified' ELSE 'org/SWE-bench' END AS n, CASE page_id % 3 WHEN 0 THEN 'PolyBench' ELSE '' END AS d FROM {pages}")
 def adapter_dispatch(a: DataFrame) -> DataFrame:
-    """A5: the few names and families that occur are told on the driver."""
-    few = a.select("n", "d").distinct().limit(1000).collect()
-    told = a.sparkSession.createDataFrame([(r.n, r.d, datasets.family(r.n, r.d)) for r in few], "n string, d string, family string")
-    return a.join(F.broadcast(told), ["n", "d"]).select("page_id", "family")
+    return a.select("page_id", datasets.family_of("n", "d").alias("family"))
 
 
 @fixed("config_sources", "name, value", [("depth", "3"), ("method", "bm25"), ("repos", "a,b")])

@@ -28,6 +28,12 @@ def family(name: str, declared: str = "") -> str:
     return "poly" if "polybench" in f"{name} {declared}".lower() else "default"
 
 
+def family_of(name: str, declared: str) -> Column:
+    """A5 for columns, either of which may be null."""
+    both = F.lower(F.concat_ws(" ", name, declared))
+    return F.when(F.contains(both, F.lit("polybench")), "poly").otherwise("default")
+
+
 def _given(df: DataFrame, names: Iterable[str]) -> Column:
     """The first of the columns that is there and is neither null nor empty."""
     have = [F.nullif(F.col(n).cast("string"), F.lit("")) for n in names if n in df.columns]
