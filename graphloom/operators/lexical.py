@@ -9,8 +9,8 @@ from graphloom.functions.text import path_tokens, token_set, tokens
 from graphloom.storage import written
 
 K1, B, DELTA = 1.5, 0.75, 1.0
-#: Queries up to so many are broadcast to the postings; their number is counted first.
-BROADCAST_QUERIES = 10_000
+#: Terms of queries (rows of about 60 bytes) up to which they are broadcast to the postings; they are counted first.
+BROADCAST_TERMS = 200_000
 
 
 def bm25plus(docs: DataFrame, queries: DataFrame, top_k: int = 10, tie: str = "doc_id") -> DataFrame:
@@ -24,8 +24,9 @@ def bm25plus(docs: DataFrame, queries: DataFrame, top_k: int = 10, tie: str = "d
     written. Postings are dealt by document, so that scores are summed where they lie and only each task's best travel.
     """
     wanted = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    wanted = written(wanted, "asked-terms")
     words = wanted.select("term").distinct().unionByName(queries.sparkSession.createDataFrame([("",)], "term string"))
-    small = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+    small = wanted.count() <= BROADCAST_TERMS
     near = F.broadcast if small else lambda df: df
     # no token is empty: that one stands for the document
     cut = docs.select(F.col(tie).alias("doc_id"), tokens("text").alias("t"))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.functions import text as T
-from graphloom.operators import chunk, dense, fusion, graph, lexical, paths
+from graphloom.operators import chunk, dense, fusion, graph, inverted, lexical, paths
 from graphloom.sources import datasets
+from graphloom.storage import new_path
 
 from .base import query
 
@@ -162,6 +163,23 @@ def bm25_prefix_scope(docs: DataFrame, items: DataFrame) -> DataFrame:
     return lexical.bm25plus(lexical.with_raw_prefixes(docs, ["src1"], "source"), items, 10)
 
 
+@query("bm25_index_topk", BM25, docs=DOCS, items=ITEMS)
+def bm25_index_topk(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The same over a written index that is read back."""
+    at = new_path(docs.sparkSession, "bm25")
+    inverted.build(docs, at)
+    return inverted.load(docs.sparkSession, at).search(items, 10)[0]
+
+
+@query("bm25_index_twice", BM25.replace("WHERE rank <= 10", "WHERE rank <= CASE WHEN query_id % 2 = 0 THEN 10 ELSE 3 END"), docs=DOCS, items=ITEMS)
+def bm25_index_twice(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """One index, asked twice: ten documents for items of even number, three for the others."""
+    at = new_path(docs.sparkSession, "bm25")
+    inverted.build(docs, at)
+    ask = lambda odd, k: inverted.load(docs.sparkSession, at).search(items.where(F.col("query_id") % 2 == odd), k)[0]
+    return ask(0, 10).unionByName(ask(1, 3))
+
+
 COSINE = "round(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / sqrt(list_sum(list_transform(v.embedding, lambda x: x::DOUBLE * x::DOUBLE))) / sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6)"
 ONE_QUERY = "WITH q AS (SELECT embedding FROM vecs WHERE id = 0), s AS (SELECT v.id, label, " + COSINE + " AS score FROM vecs v, q), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s) "
 
