@@ -1,8 +1,9 @@
 """F1 over an index that is built once and asked often: postings in blocks with their largest impact.
 
-Documents are numbered in tie order and cut into ranges of `block_docs`. A block holds a term's postings of one range and the largest
-share that the term can add to a document there. For a query, the sum of these over its terms bounds every document of a
-range, so ranges whose bound is below the k-th score found so far are never opened, and the top-k stays exact.
+Documents are numbered in tie order, and cut into ranges of `block_docs` by length, as documents of one length have much the same bounds.
+A block holds a term's postings of one range and the largest share that the term can add to a document there. For a query, the
+sum of these over its terms bounds every document of a range, so ranges whose bound is below the k-th score found so far
+are never opened, and the top-k stays exact.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from graphloom.operators.lexical import DELTA, K1, B
 from graphloom.storage import written
 
 #: Documents of a range, folders that terms are hashed into, and ranges that are opened for each query first.
-BLOCK_DOCS, BUCKETS, FIRST = 64, 32, 4
+BLOCK_DOCS, BUCKETS, FIRST = 4, 32, 32
 #: Terms of queries (a row of about 60 bytes each) up to which they are broadcast.
 BROADCAST_TERMS = 200_000
 BLOCK = "term string, block long, n long, most double, postings array<struct<number: long, share: double>>, bucket int"
@@ -38,15 +39,17 @@ def build(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
     counts = cut.select("doc_id", F.explode(F.concat(F.array(F.lit("")), "t")).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     counts = written(counts, "inverted-counts")
     sizes = counts.groupBy("doc_id").agg(F.sum(F.when(F.col("term") != "", F.col("tf")).otherwise(0)).alias("dl"))
-    ranges.numbered(sizes, "doc_id", "inverted").select(F.col("_row").alias("number"), "doc_id", "dl").write.parquet(f"{path}/docs")
+    told = ranges.numbered(sizes, "doc_id", "inverted").select(F.col("_row").alias("number"), "doc_id", "dl")
+    placed = ranges.numbered(told.withColumn("_by", F.struct("dl", "number")), "_by", "inverted")
+    placed.select("number", "doc_id", "dl", F.floor((F.col("_row") - 1) / block_docs).alias("block")).write.parquet(f"{path}/docs")
     spark = docs.sparkSession
     numbered = spark.read.parquet(f"{path}/docs")
     figures = numbered.agg(F.count("*").alias("n"), F.avg(F.col("dl").cast("double")).alias("avgdl"))
     figures.withColumns({"block_docs": F.lit(block_docs), "buckets": F.lit(buckets)}).write.parquet(f"{path}/figures")
     stats = F.broadcast(spark.read.parquet(f"{path}/figures").select("n", "avgdl"))
     share = F.col("tf") * (K1 + 1) / (K1 * (1 - B + B * F.col("dl") / F.col("avgdl")) + F.col("tf"))
-    postings = counts.where("term <> ''").join(numbered, "doc_id").crossJoin(stats).select("term", "number", share.alias("share"))
-    blocks = postings.groupBy("term", F.floor((F.col("number") - 1) / block_docs).alias("block")).agg(
+    postings = counts.where("term <> ''").join(numbered, "doc_id").crossJoin(stats).select("term", "block", "number", share.alias("share"))
+    blocks = postings.groupBy("term", "block").agg(
         F.count("*").alias("n"), F.max("share").alias("most"), F.collect_list(F.struct("number", "share")).alias("postings")  # block_docs at most
     )
     blocks = blocks.withColumn("bucket", bucket_of(buckets)).repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
