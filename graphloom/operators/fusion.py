@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import confidence_label, excerpt, min_max, token_estimate, token_set
+from graphloom.operators.push import named_files
+from graphloom.storage import written
 
 DENSE, LEXICAL, MODEL = 0.55, 0.30, 0.15
 
@@ -19,12 +21,23 @@ def candidate_pool(files: DataFrame, text: str, limit: int = 200) -> DataFrame:
 
 
 def candidate_pools(files: DataFrame, queries: DataFrame, limit: int = 200) -> DataFrame:
-    """F26 for each of `queries(query_id, text)`: `query_id, file, score, rank`."""
-    asked = queries.select("query_id", token_set("text").alias("_words"), F.lower("text").alias("_text"))
-    rows = files.select("file", token_set("file").alias("_own")).crossJoin(asked)
-    score = F.size(F.array_intersect("_own", "_words")) + F.when(F.contains("_text", F.lower("file")), 2).otherwise(0)
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "file")
-    return rows.select("query_id", "file", score.cast("double").alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    """F26 for each of `queries(query_id, text)`: `query_id, file, score, rank`.
+
+    Files meet queries by the words that they share and by names that a text holds; where these are fewer than `limit`, the
+    first of the other files in order follow with a score of zero.
+    """
+    files = written(files.select("file").where("file IS NOT NULL").distinct(), "pool-files")
+    words = queries.select("query_id", F.explode(token_set("text")).alias("word"))
+    shared = words.join(files.select("file", F.explode(token_set("file")).alias("word")), "word").groupBy("query_id", "file").agg(F.count("*").alias("n"))
+    shared = shared.unionByName(named_files(files, queries).withColumn("n", F.lit(2).cast("long")))
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "file")
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    best = shared.groupBy("query_id", "file").agg(F.sum("n").cast("double").alias("score"))
+    best = written(ranked(best).drop("rank"), "pool-best")
+    short = queries.select("query_id").distinct().join(best.groupBy("query_id").agg(F.count("*").alias("m")), "query_id", "left").where(F.coalesce("m", F.lit(0)) < limit)
+    first = F.broadcast(files.orderBy("file").limit(2 * limit))
+    more = short.select("query_id").crossJoin(first).join(best.select("query_id", "file"), ["query_id", "file"], "left_anti").withColumn("score", F.lit(0.0))
+    return ranked(best.unionByName(more.select("query_id", "file", "score")))
 
 
 def fused(dense: DataFrame, lexical: DataFrame, model: DataFrame, by: list[str], limit: int = 12) -> DataFrame:
@@ -88,14 +101,19 @@ def validated_spans(answers: DataFrame, pool: DataFrame, k: int = 4) -> DataFram
 
 
 def greedy_budget(lines: Column, budget: int = 1200) -> Column:
-    """F33 over an ordered array of lines: a line that would pass the budget is left out, later ones may still fit."""
-    start = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast("array<string>").alias("kept"))
-    fits = lambda s, x: s["spent"] + token_estimate(x) <= budget
-    return F.aggregate(
-        lines, start,
-        lambda s, x: F.when(fits(s, x), F.struct((s["spent"] + token_estimate(x)).alias("spent"), F.concat(s["kept"], F.array(x)).alias("kept"))).otherwise(s),
-        lambda s: s["kept"],
+    """F33 over an ordered array of lines: a line that would pass the budget is left out, later ones may still fit.
+
+    Lines without cost always fit. Of the others no more than `budget` can, and the state holds the places of these alone.
+    """
+    cost = F.transform(lines, token_estimate)
+    start = F.struct(F.lit(0).cast("long").alias("spent"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("kept"))
+    step = lambda s, c: F.struct(
+        F.when(s["spent"] + c <= budget, s["spent"] + c).otherwise(s["spent"]).alias("spent"), (s["at"] + 1).alias("at"),
+        F.when((c > 0) & (s["spent"] + c <= budget), F.concat(s["kept"], F.array(s["at"]))).otherwise(s["kept"]).alias("kept"),
     )
+    places = F.aggregate(cost, start, step, lambda s: s["kept"])
+    # one element binds the places, so that they are found once
+    return F.flatten(F.transform(F.array(places), lambda p: F.filter(lines, lambda x, i: (token_estimate(x) == 0) | F.array_contains(p, i))))
 
 
 def span_excerpts(spans: DataFrame, chunks: DataFrame, bucket: int = 256) -> DataFrame:

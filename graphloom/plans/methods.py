@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import compact_issue, embedding_text
-from graphloom.operators import chunk, dense, extract, fusion, graph, lexical
+from graphloom.operators import chunk, dense, extract, fusion, graph, lexical, push
 from graphloom.storage import written
 
 from .registry import Registry
@@ -106,9 +106,9 @@ def gm_deterministic(issues: DataFrame, corpus: Corpus, depth: int = 2, cap: int
 def repomap_like(issues: DataFrame, corpus: Corpus, k: int = MAP_FILES, same_module: bool = False) -> DataFrame:
     nodes, edges = corpus.graph()
     files = graph.file_of_nodes(nodes).select("file").distinct()
-    ranks = graph.pagerank(graph.weighted_file_graph(nodes, edges, same_module), graph.personalizations(files, asked(issues)), by=["query_id"])
     # ranks that differ by rounding only are equal
-    best = fusion.candidate_cut(ranks.select("query_id", "file", F.round("rank", 12).alias("score")), k, ["query_id"])
+    best = push.best_files(graph.weighted_file_graph(nodes, edges, same_module), files, asked(issues), 3 * k)
+    best = fusion.candidate_cut(best.drop("rank"), k, ["query_id"])
     return listed(best.where("chosen"), issues)
 
 
