@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from graphloom.shipping import ship
 
-#: Query vectors up to which they are sent to every task; more are taken in blocks of this many.
-BLOCK = 1_000
-
 
 def normalized(v: Column | str) -> Column:
     """to length 1; a zero vector stays."""
@@ -36,56 +33,6 @@ def topk(vectors: DataFrame, query: DataFrame, k: int = 10) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "id")))
 
 
-def topk_batch(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """F2 for many queries(query_id, embedding): block matrix products; each task keeps `k` rows a query. Equal scores go by id."""
-    import numpy as np
-
-    spark = vectors.sparkSession
-    ship(spark)
-    out = None
-    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
-    rows = queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator()
-    block: list = []
-
-    def run(block: list) -> DataFrame:
-        ids = [r.query_id for r in block]
-        m = np.array([r.embedding for r in block], float)
-        m /= np.where((norm := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, norm)
-        shared = spark.sparkContext.broadcast((ids, m))  # at most BLOCK vectors
-
-        def score(batches: Iterator) -> Iterator:
-            import pandas as pd
-
-            ids, m = shared.value
-            best: list[list[tuple]] = [[] for _ in ids]
-            for pdf in batches:
-                v = np.stack(pdf.embedding.to_numpy()).astype(float) if len(pdf) else np.zeros((0, m.shape[1]))
-                v /= np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) == 0, 1, n)
-                s = np.round(m @ v.T, 6) + 0.0  # no negative zeros
-                names = pdf.id.to_numpy()
-                enough = np.array([-b[k - 1][0] if len(b) >= k else -np.inf for b in best])
-                if len(pdf) > k:
-                    enough = np.maximum(enough, np.partition(s, -k, axis=1)[:, -k])
-                for i in np.flatnonzero((s >= enough[:, None]).any(axis=1)).tolist():
-                    near = np.flatnonzero(s[i] >= enough[i])
-                    best[i] = sorted([*best[i], *zip((-s[i][near]).tolist(), names[near].tolist(), strict=True)])[:k]
-            found = [(q, n, -x) for q, b in zip(ids, best, strict=True) for x, n in b]
-            if found:
-                yield pd.DataFrame(found, columns=["query_id", "id", "score"])
-
-        found = vectors.select("id", "embedding").mapInPandas(score, schema)
-        w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-    for r in rows:
-        block.append(r)
-        if len(block) == BLOCK:
-            out, block = run(block) if out is None else out.unionByName(run(block)), []
-    if block:
-        out = run(block) if out is None else out.unionByName(run(block))
-    return spark.createDataFrame([], schema + ", rank int") if out is None else out
-
-
 def first_seen_files(ranked: DataFrame, file: str = "file") -> DataFrame:
     """the files of ranked chunks in the order of their first chunk."""
     w = Window.orderBy("first_rank", file)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import compact_issue, embedding_text
-from graphloom.operators import chunk, dense, extract, fusion, graph, lexical, push
+from graphloom.operators import chunk, dense, extract, fusion, graph, lexical, push, vectors
 from graphloom.storage import written
 
 from .registry import Registry
@@ -48,9 +48,9 @@ def listed(ranked: DataFrame, issues: DataFrame, order: str = "rank") -> DataFra
 
 def nearest(chunks: DataFrame, issues: DataFrame, embedder: Callable, k: int) -> DataFrame:
     """The `k` nearest of `chunks(id, file, embed_text)` for each issue: `query_id, file, id, score, rank`."""
-    vectors = written(dense.embed(chunks.select("id", "file", "embed_text"), embedder, "embed_text").select("id", "file", "embedding"), "vectors")
+    rows = written(dense.embed(chunks.select("id", "file", "embed_text"), embedder, "embed_text").select("id", "file", "embedding"), "vectors")
     queries = dense.embed(asked(issues), embedder).select("query_id", "embedding")
-    return dense.topk_batch(vectors, queries, k).join(vectors.select("id", "file"), "id")
+    return vectors.topk(rows, queries, k).join(rows.select("id", "file"), "id")
 
 
 def _first_files(found: DataFrame, issues: DataFrame) -> DataFrame:

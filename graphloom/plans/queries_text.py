@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.functions import text as T
-from graphloom.operators import chunk, dense, fusion, graph, inverted, lexical, paths
+from graphloom.operators import chunk, dense, fusion, graph, inverted, lexical, paths, vectors
 from graphloom.sources import datasets
 from graphloom.storage import new_path
 
@@ -204,14 +204,22 @@ def dense_first_seen(vecs: DataFrame) -> DataFrame:
     return dense.first_seen_files(_ranked(vecs, 20).withColumn("file", F.concat(F.lit("f"), "label")))
 
 
-@query(
-    "dense_topk_batch",
-    "WITH s AS (SELECT q.id AS query_id, v.id, " + COSINE + " AS score FROM vecs v, vecs q WHERE q.id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, score, rank::INT AS rank FROM r WHERE rank <= 5",
-    vecs=VECTORS,
-)
+BATCH = "WITH s AS (SELECT q.id AS query_id, v.id, " + COSINE + " AS score FROM vecs v, vecs q WHERE q.id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, score, rank::INT AS rank FROM r WHERE rank <= 5"
+
+
+@query("dense_topk_batch", BATCH, vecs=VECTORS)
 def dense_topk_batch(vecs: DataFrame) -> DataFrame:
     queries = vecs.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
-    return dense.topk_batch(vecs, queries, 5).select("query_id", "id", "score", "rank")
+    return vectors.topk(vecs, queries, 5).select("query_id", "id", "score", "rank")
+
+
+@query("dense_clustered_topk", BATCH, vecs=VECTORS)
+def dense_clustered_topk(vecs: DataFrame) -> DataFrame:
+    """The same over a clustered table that is written and read back."""
+    at = new_path(vecs.sparkSession, "clustered")
+    vectors.cluster(vecs, at)
+    queries = vecs.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    return vectors.load(vecs.sparkSession, at, "id long, embedding array<float>").search(queries, 5)[0].select("query_id", "id", "score", "rank")
 
 
 @query(
