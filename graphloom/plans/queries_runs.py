@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import evaluate, patches, stats, telemetry, tuning
 from graphloom.sources import runs as run_files
-from graphloom.streaming import checkpoints
+from graphloom.storage import new_path
+from graphloom.streaming import checkpoints, status
 
 from .base import query
 
@@ -412,6 +413,31 @@ def event_sessions(e: DataFrame) -> DataFrame:
     return checkpoints.sessions(e, "6 hours").select("user_id", "n", F.round("value", 4).alias("value"))
 
 
+LIVE = "SELECT concat('run', CAST(user_id % 40 AS STRING)) AS run_id, CAST(ts AS TIMESTAMP) AS ts FROM {events}"
+
+
+@query(
+    "stream_run_status",
+    """WITH t AS (SELECT run_id, date_trunc('millisecond', ts) AS ts FROM e), o AS (SELECT *, (SELECT max(ts) FROM t) - INTERVAL 1 HOUR AS horizon FROM t),
+    w AS (SELECT *, lag(ts) OVER w AS before, lead(ts) OVER w AS after, row_number() OVER w AS n FROM o WHERE ts <= horizon WINDOW w AS (PARTITION BY run_id ORDER BY ts)), s AS (FROM w)
+    SELECT run_id, 'running' AS status, epoch_ms(ts) AS at_ms, n AS n_rows FROM s WHERE before IS NULL OR ts > before + INTERVAL 15 MINUTE
+    UNION ALL SELECT run_id, 'stalled', epoch_ms(ts + INTERVAL 15 MINUTE), n FROM s WHERE (after IS NULL OR after > ts + INTERVAL 15 MINUTE) AND ts + INTERVAL 15 MINUTE <= horizon""",
+    e=LIVE,
+)
+def stream_run_status(e: DataFrame) -> DataFrame:
+    """All events as a stream of four batches in the order of time; each user group is a run."""
+    spark, at = e.sparkSession, new_path(e.sparkSession, "live")
+    e.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(f"{at}/in")
+    # One file a batch, in the order of their names, which is that of time.
+    first = spark.read.schema(e.schema).parquet(f"{at}/in").select(F.input_file_name().alias("f")).distinct().orderBy("f")
+    for r in first.collect():  # four names
+        spark.read.schema(e.schema).parquet(r.f).coalesce(1).write.mode("append").parquet(f"{at}/feed")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/feed")
+    status.start(status.live_status(stream), f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    got = status.told(spark, f"{at}/out")
+    return got.select("run_id", "status", F.unix_millis("at").alias("at_ms"), "n_rows")
+
+
 @query("stream_checkpoint_status", "SELECT run_id, instance_id, arg_max(patch_status, ts) AS patch_status FROM log GROUP BY ALL",
        log="SELECT concat('run', CAST(user_id % 12 AS STRING)) AS run_id, CAST(user_id AS STRING) AS instance_id, max(ts) AS ts, event_type AS patch_status FROM {events} GROUP BY user_id, event_type")
 def stream_checkpoint_status(log: DataFrame) -> DataFrame:
