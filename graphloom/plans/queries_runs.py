@@ -413,6 +413,28 @@ def event_sessions(e: DataFrame) -> DataFrame:
     return checkpoints.sessions(e, "6 hours").select("user_id", "n", F.round("value", 4).alias("value"))
 
 
+def _fed(e: DataFrame, at: str) -> None:
+    """Four files below `at`/feed, one after the other in the order of time."""
+    spark = e.sparkSession
+    e.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(f"{at}/in")
+    names = spark.read.schema(e.schema).parquet(f"{at}/in").select(F.input_file_name().alias("f")).distinct().orderBy("f")
+    for r in names.collect():
+        spark.read.schema(e.schema).parquet(r.f).coalesce(1).write.mode("append").parquet(f"{at}/feed")
+
+
+@query(
+    "stream_merge", "SELECT run_id, instance_id, arg_max(patch_status, (ts, patch_status)) AS patch_status, epoch_us(max(ts)) AS ts_us FROM e GROUP BY ALL",
+    e="SELECT concat('run', CAST(user_id % 12 AS STRING)) AS run_id, CAST(user_id AS STRING) AS instance_id, event_type AS patch_status, CAST(ts AS TIMESTAMP) AS ts FROM {events}",
+)
+def stream_merge(e: DataFrame) -> DataFrame:
+    """The last status of each instance, merged from four batches into buckets."""
+    spark, at = e.sparkSession, new_path(e.sparkSession, "merge")
+    _fed(e, at)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/feed")
+    checkpoints.upsert(stream, f"{at}/target", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return checkpoints.merged(spark, f"{at}/target").select("run_id", "instance_id", "patch_status", F.unix_micros("ts").alias("ts_us"))
+
+
 LIVE = "SELECT concat('run', CAST(user_id % 40 AS STRING)) AS run_id, CAST(ts AS TIMESTAMP) AS ts FROM {events}"
 
 
@@ -427,11 +449,7 @@ LIVE = "SELECT concat('run', CAST(user_id % 40 AS STRING)) AS run_id, CAST(ts AS
 def stream_run_status(e: DataFrame) -> DataFrame:
     """All events as a stream of four batches in the order of time; each user group is a run."""
     spark, at = e.sparkSession, new_path(e.sparkSession, "live")
-    e.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(f"{at}/in")
-    # One file a batch, in the order of their names, which is that of time.
-    first = spark.read.schema(e.schema).parquet(f"{at}/in").select(F.input_file_name().alias("f")).distinct().orderBy("f")
-    for r in first.collect():  # four names
-        spark.read.schema(e.schema).parquet(r.f).coalesce(1).write.mode("append").parquet(f"{at}/feed")
+    _fed(e, at)
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/feed")
     status.start(status.live_status(stream), f"{at}/out", f"{at}/checkpoint").awaitTermination()
     got = status.told(spark, f"{at}/out")

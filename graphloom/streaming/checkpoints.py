@@ -33,24 +33,82 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     )
 
 
-def status_counts(events: DataFrame, every: str = "10 minutes", late: str = "1 hour") -> DataFrame:
-    """Events by type in windows of time."""
+def status_counts(events: DataFrame, every: str = "10 minutes", late: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """Events by type in windows of time, which overlap where they begin each `slide`."""
     w = _timed(events, late)
-    return w.groupBy(F.window("ts", every).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    return w.groupBy(F.window("ts", every, slide).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
-def upsert(stream: DataFrame, target: str, checkpoint: str):
-    """Keeps `target` at each instance's last row: every batch is merged with what is there and written anew beside it.
+#: Folders that instances are hashed into; a batch writes those anew that it touches.
+BUCKETS = 64
+STATE = "run_id string, instance_id string, patch_status string, ts timestamp"
 
-    A batch's number names its folder, so a batch that is run again overwrites itself; readers take the highest number.
+
+def _numbers(spark: SparkSession, folder: str) -> list[int]:
+    """Finished batches below `folder`, by number."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not store.exists(at):
+        return []
+    found = [x.getPath() for x in store.listStatus(at)]
+    done = [p for p in found if store.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName()) for p in done if p.getName().isdigit())
+
+
+def _manifest(spark: SparkSession, target: str, before: int | None = None) -> dict[int, int]:
+    """The batch that wrote each bucket last, by the newest manifest (before batch `before`): BUCKETS entries at most."""
+    numbers = [n for n in _numbers(spark, f"{target}/manifest") if before is None or n < before]
+    if not numbers:
+        return {}
+    return {r.bucket: r.batch for r in spark.read.schema("bucket int, batch long").json(f"{target}/manifest/{numbers[-1]}").collect()}
+
+
+def _of(target: str, manifest: dict[int, int], buckets) -> list[str]:
+    return [f"{target}/data/{manifest[b]}/bucket={b}" for b in sorted(buckets) if b in manifest]
+
+
+def merged(spark: SparkSession, target: str) -> DataFrame:
+    """The state that `upsert` keeps below `target`: one row an instance."""
+    manifest = _manifest(spark, target)
+    paths = _of(target, manifest, manifest)
+    return spark.read.schema(STATE).parquet(*paths) if paths else spark.createDataFrame([], STATE)
+
+
+def upsert(stream: DataFrame, target: str, checkpoint: str, buckets: int = BUCKETS):
+    """Keeps each instance's last row below `target`, of equal times the largest status.
+
+    A batch writes only the buckets that it touches, below its own number, and then a manifest of where each bucket is now. It starts
+    from the newest manifest before it, so a batch that is run again writes the same once more. Buckets that neither the
+    last manifest nor the one before it names are deleted.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select("run_id", "instance_id", "patch_status", "ts")
-        if number > 0:
-            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{target}/{number - 1}"))
-        last = rows.groupBy("run_id", "instance_id").agg(F.max_by("patch_status", "ts").alias("patch_status"), F.max("ts").alias("ts"))
-        last.write.mode("overwrite").parquet(f"{target}/{number}")
+        rows = batch.selectExpr("run_id", "instance_id", "patch_status", "CAST(ts AS TIMESTAMP) AS ts").persist()
+        bucket = F.pmod(F.xxhash64("run_id", "instance_id"), F.lit(buckets)).cast("int").alias("bucket")
+        touched = [r.bucket for r in rows.select(bucket).distinct().collect()]
+        before = _manifest(spark, target, number)
+        if touched:
+            old = _of(target, before, touched)
+            every = rows.unionByName(spark.read.schema(STATE).parquet(*old)) if old else rows
+            last = every.groupBy("run_id", "instance_id").agg(F.max(F.struct("ts", "patch_status")).alias("x")).select("run_id", "instance_id", "x.patch_status", "x.ts")
+            last.select("*", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/data/{number}")
+        now = before | dict.fromkeys(touched, number)
+        spark.createDataFrame(sorted(now.items()), "bucket int, batch long").coalesce(1).write.mode("overwrite").json(f"{target}/manifest/{number}")
+        rows.unpersist()
+        _clear(spark, target, number, before, now)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+
+
+def _clear(spark: SparkSession, target: str, number: int, before: dict[int, int], now: dict[int, int]) -> None:
+    """Deletes buckets and manifests that are older than the one before the last."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(target).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    older = [n for n in _numbers(spark, f"{target}/manifest") if n < number]
+    for n in older[:-1]:
+        gone = {r.bucket: r.batch for r in spark.read.schema("bucket int, batch long").json(f"{target}/manifest/{n}").collect()}
+        for bucket, batch in gone.items():
+            if batch not in (before.get(bucket), now.get(bucket)):
+                store.delete(path(f"{target}/data/{batch}/bucket={bucket}"), True)
+        store.delete(path(f"{target}/manifest/{n}"), True)
