@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators import ranges
+
 NO_COMMIT = "__NO_BASE_COMMIT__"
 METRICS = ("precision", "recall", "f1")
 
@@ -170,16 +172,21 @@ def run_deltas(runs: DataFrame, metric: str) -> DataFrame:
 def bootstrap_ci(deltas: DataFrame, by: Sequence[str], value: str = "delta", resamples: int = 2000, seed: int = 17) -> DataFrame:
     """`by, n_runs, mean, low, high` - the 2.5 and 97.5 % places of the sorted resampled means.
 
-    Draws are hashes of (seed, resample, place), so the same everywhere; they are this engine's own stream.
+    Draws are portable: the value at slot i of resample b is the one of number md5(seed|b|i) mod n, numbered from 0 in order of size. Rows of
+    values make the draws of their own slot, meet the values drawn by equality, and are summed by resample before they are
+    shuffled, so no group is gathered but its `resamples` means. Null values are passed over.
     """
-    got = deltas.groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias("v"))
-    n = F.size("v")
-    draw = lambda b, i: F.element_at("v", (F.pmod(F.xxhash64(F.lit(seed), b, i), n) + 1).cast("int"))
-    mean = lambda b: F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda s, i: s + draw(b, i)) / n
-    rows = got.withColumn("m", F.array_sort(F.transform(F.sequence(F.lit(1), F.lit(resamples)), mean)))
-    place = lambda q: F.element_at("m", int(q * (resamples - 1)) + 1)
-    avg = F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / n
-    return rows.select(*by, n.alias("n_runs"), avg.alias("mean"), place(0.025).alias("low"), place(0.975).alias("high"))
+    # A struct is a key even where its fields are null.
+    values = deltas.select(F.struct(*by).alias("_key"), F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    rows = ranges.numbered(values.withColumn("_by", F.struct("_key", "_v")), "_by", "bootstrap")
+    size = rows.groupBy("_key").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"), F.avg("_v").alias("mean"))
+    rows = rows.join(size, "_key").select("_key", "_v", "_n", (F.col("_row") - F.col("_first")).alias("_i"))
+    draw = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "_b", "_i")), 1, 12), 16, 10).cast("long"), F.col("_n"))
+    drawn = rows.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).select("_key", "_b", "_n", draw.alias("_i"))
+    means = drawn.join(rows.select("_key", "_i", "_v"), ["_key", "_i"]).groupBy("_key", "_b").agg((F.sum("_v") / F.first("_n")).alias("_m"))
+    told = means.groupBy("_key").agg(F.array_sort(F.collect_list("_m")).alias("_m"))  # resamples of them
+    place = lambda q: F.element_at("_m", int(q * (resamples - 1)) + 1)
+    return told.join(size, "_key").select(*(F.col(f"_key.{c}").alias(c) for c in by), F.col("_n").alias("n_runs"), "mean", place(0.025).alias("low"), place(0.975).alias("high"))
 
 
 def gates(runs: DataFrame, pairwise: DataFrame, least: int = 3) -> DataFrame:

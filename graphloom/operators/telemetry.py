@@ -91,6 +91,19 @@ def progress(runs: DataFrame, now: Column) -> DataFrame:
     return runs.withColumns({"elapsed_s": spent, "eta_s": F.when((spent > ETA_AFTER_S) & (F.col("n_done") > 0), left)})
 
 
+def recent_progress(done: DataFrame, totals: DataFrame, minutes: int = 30) -> DataFrame:
+    """L10 over time: `run_id, ts, n_done, n_recent, eta_s` at each row of `done(run_id, ts)`, against `totals(run_id, n_total)`.
+
+    What was completed in the last `minutes` gives the rate, so that a run that slows or rests is told at once. Rows of one time count alike.
+    """
+    frame = f"(PARTITION BY run_id ORDER BY ts RANGE BETWEEN INTERVAL '{minutes}' MINUTE PRECEDING AND CURRENT ROW)"
+    every = "(PARTITION BY run_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    rows = done.where("ts IS NOT NULL").select("run_id", F.col("ts").cast("timestamp").alias("ts")).withColumns({"n_done": F.expr(f"count(*) OVER {every}"), "n_recent": F.expr(f"count(*) OVER {frame}")})
+    rows = rows.join(totals.select("run_id", "n_total"), "run_id", "left")
+    left = F.greatest(F.col("n_total") - F.col("n_done"), F.lit(0))
+    return rows.select("run_id", "ts", "n_done", "n_recent", (left * F.lit(60.0 * minutes) / F.col("n_recent")).alias("eta_s"))
+
+
 def plan_totals(manifests: DataFrame) -> DataFrame:
     """Planned instances and unreadable manifests by method."""
     return manifests.groupBy("method").agg(F.sum(F.coalesce("n_instances", F.lit(0))).alias("n_planned"), F.count("*").alias("n_manifests"), F.count_if(F.col("n_instances").isNull()).alias("n_failed"))

@@ -140,6 +140,17 @@ def runs_in_progress(a: DataFrame, b: DataFrame) -> DataFrame:
     return telemetry.in_progress(a, b).select("run_id")
 
 
+@query(
+    "recent_progress",
+    """WITH o AS (SELECT run_id, ts, count(*) OVER (PARTITION BY run_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n_done, count(*) OVER (PARTITION BY run_id ORDER BY ts RANGE BETWEEN INTERVAL 30 MINUTE PRECEDING AND CURRENT ROW) AS n_recent FROM e)
+    SELECT run_id, epoch_us(ts) AS ts_us, n_done, n_recent, round(greatest(n_total - n_done, 0) * 1800 / n_recent, 4) AS eta_s FROM o LEFT JOIN t USING (run_id)""",
+    e="SELECT user_id % 5 AS run_id, CAST(ts AS TIMESTAMP) AS ts FROM {events}", t="SELECT user_id % 5 AS run_id, count(*) + user_id % 5 * 100 AS n_total FROM {events} WHERE user_id % 5 > 0 GROUP BY user_id % 5",
+)
+def recent_progress(e: DataFrame, t: DataFrame) -> DataFrame:
+    got = telemetry.recent_progress(e, t)
+    return got.select("run_id", F.unix_micros("ts").alias("ts_us"), "n_done", "n_recent", F.round("eta_s", 4).alias("eta_s"))
+
+
 @query(
     "progress_eta", "SELECT user_id, (100000 - s)::DOUBLE AS elapsed_s, round(CASE WHEN 100000 - s > 120 AND d > 0 THEN (t - d) / (d / (100000 - s)) END, 4) AS eta_s FROM r",
     r="SELECT user_id, CASE WHEN user_id % 4 = 0 THEN 99950 ELSE min(event_id) % 5000 END AS s, count(*) % 5 AS d, count(*) AS t FROM {events} GROUP BY user_id",

@@ -130,7 +130,16 @@ def pairwise_deltas(runs: DataFrame) -> DataFrame:
     return _rounded(evaluate.run_deltas(runs, "cost"), "delta")
 
 
-@query("bootstrap_ci", runs=RUNS)
+BOOTSTRAP = """WITH d AS (SELECT a.method AS l, b.method AS r, (a.mean_f1 - b.mean_f1)::DOUBLE AS v FROM runs a JOIN runs b USING (run) WHERE a.method <> b.method AND a.mean_f1 IS NOT NULL AND b.mean_f1 IS NOT NULL),
+v AS (SELECT *, row_number() OVER (PARTITION BY l, r ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY l, r) AS n FROM d),
+w AS (SELECT l, r, n, b, ('0x' || substr(md5(concat_ws('|', 17, b, i)), 1, 12))::UBIGINT % n AS i FROM v, range(1, 2001) t(b)),
+m AS (SELECT w.l, w.r, b, sum(v) / any_value(w.n) AS m FROM w JOIN v ON w.l = v.l AND w.r = v.r AND w.i = v.i GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY l, r ORDER BY m) AS k FROM m)
+SELECT p.l AS "left", p.r AS "right", any_value(n) AS n_runs, round(any_value(x.mean), 6) AS mean, round(max(m) FILTER (k = 50), 6) AS low, round(max(m) FILTER (k = 1950), 6) AS high
+FROM p JOIN (SELECT l, r, avg(v) AS mean, any_value(n) AS n FROM v GROUP BY ALL) x ON p.l = x.l AND p.r = x.r GROUP BY p.l, p.r"""
+
+
+@query("bootstrap_ci", BOOTSTRAP, runs=RUNS)
 def bootstrap_ci(runs: DataFrame) -> DataFrame:
     return _rounded(evaluate.bootstrap_ci(evaluate.run_deltas(runs, "mean_f1"), ["left", "right"]), "mean", "low", "high")
 
@@ -165,6 +174,41 @@ def cost_per_resolved(runs: DataFrame, instances: DataFrame) -> DataFrame:
     return _rounded(d.select("repo", "method", "method_total", "as_run_total", "cpr_method", "cpr_as_run", "timeout_count", "resolved_rate"), "cpr_method", "cpr_as_run", "resolved_rate")
 
 
+LEVELS = DUAL + """, lng AS (SELECT repo, method, n_instances, n_resolved, 'method_accounted' AS accounting_view, method_total AS tokens FROM dual WHERE completed UNION ALL SELECT repo, method, n_instances, n_resolved, 'as_run_consumed', as_run_total FROM dual WHERE completed)"""
+
+
+@query(
+    "pooled_levels",
+    "WITH " + LEVELS + """, s AS (SELECT accounting_view, repo, method, CASE grouping_id(accounting_view, repo, method) WHEN 0 THEN 'cell' WHEN 1 THEN 'repo' WHEN 2 THEN 'method' ELSE 'view' END AS level, count(*) AS n_cells, sum(n_instances)::BIGINT AS n_instances, sum(coalesce(n_resolved, 0))::BIGINT AS n_resolved, sum(tokens)::BIGINT AS tokens
+    FROM lng GROUP BY GROUPING SETS ((accounting_view, repo, method), (accounting_view, repo), (accounting_view, method), (accounting_view)))
+    SELECT *, round(CASE WHEN n_resolved > 0 THEN tokens / n_resolved END, 6) AS cost_per_resolved FROM s""",
+    **C,
+)
+def pooled_levels(runs: DataFrame, instances: DataFrame) -> DataFrame:
+    return _rounded(stats.pooled_levels(stats.dual_accounting(_cells(runs, instances), "graph", "dense")), "cost_per_resolved")
+
+
+@query("median_cpr", "WITH " + LEVELS + " SELECT accounting_view, method, count(*) AS n_cells, round(median(tokens / n_resolved), 6) AS median_cpr FROM lng WHERE n_resolved > 0 GROUP BY ALL", **C)
+def median_cpr(runs: DataFrame, instances: DataFrame) -> DataFrame:
+    return _rounded(stats.median_cpr(stats.dual_accounting(_cells(runs, instances), "graph", "dense")), "median_cpr")
+
+
+@query(
+    "sketched_costs", "SELECT method, count(*) AS n, true AS median_near, true AS distinct_near FROM i GROUP BY method",
+    i="SELECT event_type AS method, user_id % 12 AS run, user_id, CAST(event_id % 997 * 1.5 AS DOUBLE) AS cost FROM {events}",
+)
+def sketched_costs(i: DataFrame) -> DataFrame:
+    """Sketches of each method's runs, stored, merged over runs and held against the exact figures."""
+    at = new_path(i.sparkSession, "sketches")
+    stats.sketched(i, ["method", "run"], "cost", "user_id").write.parquet(at)
+    told = stats.from_sketches(i.sparkSession.read.parquet(at), ["method"])
+    exact = i.join(told.select("method", F.col("quantiles")[0].alias("m")), "method").groupBy("method").agg(
+        (F.count_if(F.col("cost") < F.col("m")) / F.count("*")).alias("under"), (F.count_if(F.col("cost") <= F.col("m")) / F.count("*")).alias("upto"), F.count_distinct("user_id").alias("d")
+    )
+    near = (F.col("under") <= 0.5 + 0.017) & (F.col("upto") >= 0.5 - 0.017)
+    return told.join(exact, "method").select("method", "n", near.alias("median_near"), (F.abs(F.col("n_distinct") - F.col("d")) <= F.greatest(F.lit(1.0), 0.05 * F.col("d"))).alias("distinct_near"))
+
+
 @query("pooled_cpr", "WITH " + POOLED + " SELECT *, round(CASE WHEN n_resolved > 0 THEN tokens / n_resolved END, 6) AS cost_per_resolved FROM pooled", **C)
 def pooled_cpr(runs: DataFrame, instances: DataFrame) -> DataFrame:
     return _rounded(stats.pooled_cpr(stats.dual_accounting(_cells(runs, instances), "graph", "dense")), "cost_per_resolved")
@@ -222,6 +266,18 @@ def mcnemar_table(l: DataFrame, r: DataFrame) -> DataFrame:  # noqa: E741
     return t.withColumn("chi2", F.round(stats.chi_square(F.col("b"), F.col("c")), 6))
 
 
+@query(
+    "mcnemar_pairs",
+    """WITH i AS (SELECT method, instance_id, bool_or(resolved) AS w FROM arms GROUP BY ALL), m AS (SELECT DISTINCT method FROM i),
+    p AS (SELECT x.method AS l, y.method AS r FROM m x JOIN m y ON x.method < y.method),
+    j AS (SELECT l, r, instance_id, bool_or(w AND method = l) AS a, bool_or(w AND method = r) AS b FROM p JOIN i ON method IN (l, r) GROUP BY ALL)
+    SELECT l AS "left", r AS "right", count(*) FILTER (a AND b) AS a, count(*) FILTER (a AND NOT b) AS b, count(*) FILTER (b AND NOT a) AS c, count(*) FILTER (NOT a AND NOT b) AS d FROM j GROUP BY ALL""",
+    arms="SELECT concat('m', CAST(doc_id % 13 % 6 AS STRING)) AS method, CAST(floor(doc_id / 13) AS STRING) AS instance_id, length(text) % 3 > 0 AS resolved FROM {documents}",
+)
+def mcnemar_pairs(arms: DataFrame) -> DataFrame:
+    return stats.mcnemar_pairs(arms)
+
+
 PAIRS = "SELECT item_id, CAST(item_id % 30 AS BIGINT) AS b, CAST((item_id * 7) % 41 AS BIGINT) AS c FROM {benchmark}"
 EXACT = "p AS (SELECT item_id, b, c, CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) FROM (SELECT b + c AS n) z, (SELECT unnest(range(0, least(b, c) + 1)) AS i) y)) END AS p FROM pairs)"
 
