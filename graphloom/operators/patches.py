@@ -28,22 +28,41 @@ def cost_summary(instances: DataFrame, runs: DataFrame) -> DataFrame:
     return rows.withColumn("total_cost_tokens", total).withColumn("cost_per_resolved", F.when(F.col("n_resolved") > 0, F.col("total_cost_tokens") / F.col("n_resolved")))
 
 
+def _kind(v: Column) -> Column:
+    """OBJECT, ARRAY, STRING and so on, of a variant."""
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+
+
+def _counts_as_yes(v: Column) -> Column:
+    """Whether a variant is neither null, false, zero nor empty."""
+    kind, got = _kind(v), lambda t: F.try_variant_get(v, "$", t)
+    yes = F.when(kind == "BOOLEAN", got("boolean")).when(kind == "STRING", got("string") != "").when(kind == "ARRAY", F.size(got("array<variant>")) > 0)
+    yes = yes.when(kind == "OBJECT", F.size(got("map<string, variant>")) > 0).when(kind.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), got("double") != 0)
+    return F.coalesce(yes, F.lit(False))
+
+
 def harness_payload(payload: Column | str, n_total: Column | int = 0) -> Column:
     """Struct of `ids, n_resolved, resolved_rate` of a report: a list of resolved ids, instances by id, or only their number.
 
-    Null where the report is none of these; the rate is 0 where nothing was run.
+    Null where the report is none of these; the rate is 0 where nothing was run. A report is parsed once, as a variant, and
+    what it is is told by the types of its values. Malformed text is none of these.
     """
     p = F.col(payload) if isinstance(payload, str) else payload
     n = F.lit(n_total) if isinstance(n_total, int) else n_total
-    listed = F.array_sort(F.from_json(p, "resolved_ids array<string>")["resolved_ids"])
-    top = F.from_json(p, "map<string, string>")
-    said = lambda v: F.coalesce(F.get_json_object(v, "$.resolved"), F.lit("false"))
-    # Fixed list: how JSON writes what counts as no.
-    by = F.array_sort(F.map_keys(F.map_filter(top, lambda _, v: v.startswith("{") & ~said(v).isin("false", "null", "0", "0.0", "", "[]", "{}"))))
-    instances = (F.size(by) > 0) | ((F.size(top) > 0) & F.forall(F.map_values(top), lambda v: F.coalesce(v.startswith("{"), F.lit(False))))
+    # one element binds the variant, so that it is made once
+    return F.transform(F.array(F.try_parse_json(p)), lambda v: _report(v, n))[0]
+
+
+def _report(v: Column, n: Column) -> Column:
+    ids_of = F.try_variant_get(v, "$.resolved_ids", "array<string>")
+    listed = F.when(_kind(F.try_variant_get(v, "$.resolved_ids", "variant")) == "ARRAY", F.array_sort(ids_of))
+    top = F.when(_kind(v) == "OBJECT", F.try_variant_get(v, "$", "map<string, variant>"))
+    inner = F.map_filter(top, lambda _, x: F.coalesce(_kind(x) == "OBJECT", F.lit(False)))
+    by = F.array_sort(F.map_keys(F.map_filter(inner, lambda _, x: _counts_as_yes(F.try_variant_get(x, "$.resolved", "variant")))))
+    instances = (F.size(by) > 0) | ((F.size(top) > 0) & (F.size(inner) == F.size(top)))
     ids = F.coalesce(listed, F.when(instances, by))
-    number = F.get_json_object(p, "$.resolved_instances")
-    counted = F.when(number.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"), number.try_cast("double").cast("long"))
+    said = F.try_variant_get(v, "$.resolved_instances", "variant")
+    counted = F.when(_kind(said).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), F.try_variant_get(said, "$", "double").cast("long"))
     found = F.when(ids.isNotNull(), F.size(ids).cast("long")).otherwise(counted)
     rate = F.when(n > 0, F.round(found / n, 4)).otherwise(0.0)
     return F.when(found.isNotNull(), F.struct(F.coalesce(ids, F.array().cast("array<string>")).alias("ids"), found.alias("n_resolved"), rate.alias("resolved_rate")))

@@ -100,7 +100,7 @@ def recent_progress(done: DataFrame, totals: DataFrame, minutes: int = 30) -> Da
     every = "(PARTITION BY run_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     rows = done.where("ts IS NOT NULL").select("run_id", F.col("ts").cast("timestamp").alias("ts")).withColumns({"n_done": F.expr(f"count(*) OVER {every}"), "n_recent": F.expr(f"count(*) OVER {frame}")})
     rows = rows.join(totals.select("run_id", "n_total"), "run_id", "left")
-    left = F.greatest(F.col("n_total") - F.col("n_done"), F.lit(0))
+    left = F.when(F.col("n_total").isNotNull(), F.greatest(F.col("n_total") - F.col("n_done"), F.lit(0)))
     return rows.select("run_id", "ts", "n_done", "n_recent", (left * F.lit(60.0 * minutes) / F.col("n_recent")).alias("eta_s"))
 
 

@@ -121,6 +121,18 @@ def weighted_file_graph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return graph.weighted_file_graph(nodes, edges)
 
 
+@query(
+    "same_module_graph",
+    "WITH " + FILE_GRAPH.split("norm AS")[0] + """dirs AS (SELECT DISTINCT file, regexp_replace(file, '[^/]*$', '') AS dir FROM files),
+    m AS (SELECT a.file AS src, b.file AS dst FROM dirs a JOIN dirs b USING (dir) WHERE a.file <> b.file)
+    SELECT src, dst, round(coalesce(weight, 0) + CASE WHEN m.src IS NULL THEN 0 ELSE 0.2 END, 6)::DOUBLE AS weight, coalesce(n_import, 0) AS n_import, coalesce(n_symbol, 0) AS n_symbol, coalesce(n_test, 0) AS n_test FROM fg FULL JOIN m USING (src, dst)""",
+    **GRAPH,
+)
+def same_module_graph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """files of one folder are linked both ways, which is all pairs of a folder: here a nation's suppliers."""
+    return graph.weighted_file_graph(nodes, edges, same_module=True).withColumn("weight", F.round("weight", 6))
+
+
 @query("row_normalize", "WITH " + FILE_GRAPH + "SELECT src, dst, round(p, 6) AS p FROM norm", **GRAPH)
 def row_normalize(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return graph.row_normalized(graph.weighted_file_graph(nodes, edges)).select("src", "dst", F.round("p", 6).alias("p"))

@@ -143,7 +143,7 @@ def runs_in_progress(a: DataFrame, b: DataFrame) -> DataFrame:
 @query(
     "recent_progress",
     """WITH o AS (SELECT run_id, ts, count(*) OVER (PARTITION BY run_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n_done, count(*) OVER (PARTITION BY run_id ORDER BY ts RANGE BETWEEN INTERVAL 30 MINUTE PRECEDING AND CURRENT ROW) AS n_recent FROM e)
-    SELECT run_id, epoch_us(ts) AS ts_us, n_done, n_recent, round(greatest(n_total - n_done, 0) * 1800 / n_recent, 4) AS eta_s FROM o LEFT JOIN t USING (run_id)""",
+    SELECT run_id, epoch_us(ts) AS ts_us, n_done, n_recent, round(CASE WHEN n_total IS NOT NULL THEN greatest(n_total - n_done, 0) * 1800 / n_recent END, 4) AS eta_s FROM o LEFT JOIN t USING (run_id)""",
     e="SELECT user_id % 5 AS run_id, CAST(ts AS TIMESTAMP) AS ts FROM {events}", t="SELECT user_id % 5 AS run_id, count(*) + user_id % 5 * 100 AS n_total FROM {events} WHERE user_id % 5 > 0 GROUP BY user_id % 5",
 )
 def recent_progress(e: DataFrame, t: DataFrame) -> DataFrame:
@@ -217,7 +217,7 @@ def newest_runs(r: DataFrame) -> DataFrame:
     return telemetry.newest_runs(r.withColumn("has_summary", F.col("n") % 3 != 0), 25).select("run_id")
 
 
-@query("remaining_methods", "SELECT repo, method FROM (SELECT DISTINCT repo FROM r), (SELECT DISTINCT method FROM r) EXCEPT SELECT repo, method FROM r WHERE n % 9 = 0", r=TRACKS)
+@query("remaining_methods", "SELECT repo, method FROM (SELECT DISTINCT repo FROM r), (SELECT DISTINCT method FROM r) EXCEPT SELECT repo, method FROM r WHERE n % 9 = 0", r="SELECT event_id AS n, event_type AS method, concat('r', user_id) AS repo FROM {events}")
 def remaining_methods(r: DataFrame) -> DataFrame:
     plan = r.select("repo").distinct().crossJoin(F.broadcast(r.select("method").distinct()))
     return telemetry.remaining(plan, r.withColumn("n_success", F.when(F.col("n") % 9 == 0, 1).otherwise(0)))
