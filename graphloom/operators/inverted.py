@@ -1,9 +1,12 @@
 """F1 over an index that is built once and asked often: postings in blocks with their largest impact.
 
 Documents are numbered in tie order, and cut into ranges of `block_docs` by length, as documents of one length have much the same bounds.
-A block holds a term's postings of one range and the largest share that the term can add to a document there. For a query, the
-sum of these over its terms bounds every document of a range, so ranges whose bound is below the k-th score found so far
-are never opened, and the top-k stays exact.
+A block is a term's postings of one range; its head holds the largest share that the term can add to a document there. For a
+query, the sum of these over its terms bounds every document of a range, so ranges whose bound is below the k-th score found so
+far are never opened, and the top-k stays exact.
+
+Ranges are dealt into shards, a folder each, sorted by term: a task sums the bounds and the scores of its ranges by itself, and
+only these are shuffled, never postings.
 """
 
 from __future__ import annotations
@@ -18,77 +21,85 @@ from graphloom.operators import ranges
 from graphloom.operators.lexical import DELTA, K1, B
 from graphloom.storage import written
 
-#: Documents of a range, folders that terms are hashed into, and ranges that are opened for each query first.
-BLOCK_DOCS, BUCKETS, FIRST = 4, 32, 32
-#: Terms of queries (a row of about 60 bytes each) up to which they are broadcast.
-BROADCAST_TERMS = 200_000
-BLOCK = "term string, block long, n long, most double, postings array<struct<number: long, share: double>>, bucket int"
+#: Documents of a range, and ranges that are opened for each query first.
+BLOCK_DOCS, FIRST = 4, 32
+#: Rows (of about 40 bytes) up to which a side is broadcast: numbers of documents, terms of queries, opened ranges.
+BROADCAST_ROWS = 500_000
+POSTINGS = "term string, block long, number long, tf int, dl long, shard int"
+HEADS = "term string, block long, n long, most double, shard int"
+
+#: Of the tokens `t` each distinct one and how often it is there: the ends of the runs of the sorted array.
+COUNTED = """
+transform(array(array_sort(t)), st -> transform(array(filter(sequence(0, size(st) - 1), i -> i = size(st) - 1 OR get(st, i) <> get(st, i + 1))),
+  en -> transform(en, (e, k) -> named_struct('term', get(st, e), 'tf', e - coalesce(get(en, k - 1), -1))))[0])[0]
+"""
+
 
+def _share(avgdl):
+    return F.col("tf") * (K1 + 1) / (K1 * (1 - B + B * F.col("dl") / avgdl) + F.col("tf"))
 
-def bucket_of(buckets: int):
-    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
+def _near(df: DataFrame) -> DataFrame:
+    """Broadcast if it is small; `df` is a written table."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-def build(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", block_docs: int = BLOCK_DOCS, buckets: int = BUCKETS) -> Index:
-    """Writes the index of `docs` below `path`: documents, blocks in a folder for each bucket of terms, terms, figures.
 
-    A null text has no tokens, its document counts. Rows without id are passed over, rows that repeat an id are one document.
+def build(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", block_docs: int = BLOCK_DOCS, shards: int | None = None) -> Index:
+    """Writes the index of `docs` below `path`: documents, figures, postings and their heads in a folder a shard, terms.
+
+    A null text has no tokens, its document counts. Rows without id are passed over, rows that repeat an id are one document of all
+    their texts.
     """
-    cut = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), tokens(text).alias("t"))
-    # no token is empty: that one stands for the document
-    counts = cut.select("doc_id", F.explode(F.concat(F.array(F.lit("")), "t")).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    counts = written(counts, "inverted-counts")
-    sizes = counts.groupBy("doc_id").agg(F.sum(F.when(F.col("term") != "", F.col("tf")).otherwise(0)).alias("dl"))
-    told = ranges.numbered(sizes, "doc_id", "inverted").select(F.col("_row").alias("number"), "doc_id", "dl")
+    spark = docs.sparkSession
+    shards = shards or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    sizes = written(rows.groupBy("doc_id").agg(F.sum(F.size(tokens("text")).cast("long")).alias("dl"), F.count("*").alias("n")), "inverted-sizes")
+    if sizes.where("n > 1").limit(1).count():
+        rows = rows.groupBy("doc_id").agg(F.array_join(F.collect_list("text"), " ").alias("text"))
+    told = ranges.numbered(sizes.select("doc_id", "dl"), "doc_id", "inverted").select(F.col("_row").alias("number"), "doc_id", "dl")
     placed = ranges.numbered(told.withColumn("_by", F.struct("dl", "number")), "_by", "inverted")
     placed.select("number", "doc_id", "dl", F.floor((F.col("_row") - 1) / block_docs).alias("block")).write.parquet(f"{path}/docs")
-    spark = docs.sparkSession
     numbered = spark.read.parquet(f"{path}/docs")
-    figures = numbered.agg(F.count("*").alias("n"), F.avg(F.col("dl").cast("double")).alias("avgdl"))
-    figures.withColumns({"block_docs": F.lit(block_docs), "buckets": F.lit(buckets)}).write.parquet(f"{path}/figures")
-    stats = F.broadcast(spark.read.parquet(f"{path}/figures").select("n", "avgdl"))
-    share = F.col("tf") * (K1 + 1) / (K1 * (1 - B + B * F.col("dl") / F.col("avgdl")) + F.col("tf"))
-    postings = counts.where("term <> ''").join(numbered, "doc_id").crossJoin(stats).select("term", "block", "number", share.alias("share"))
-    blocks = postings.groupBy("term", "block").agg(
-        F.count("*").alias("n"), F.max("share").alias("most"), F.collect_list(F.struct("number", "share")).alias("postings")  # block_docs at most
-    )
-    blocks = blocks.withColumn("bucket", bucket_of(buckets)).repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
-    blocks.write.partitionBy("bucket").parquet(f"{path}/blocks")
-    df = spark.read.schema(BLOCK).parquet(f"{path}/blocks").groupBy("term").agg(F.sum("n").alias("df")).crossJoin(stats)
-    df.select("term", "df", F.log((F.col("n") + 1) / F.col("df")).alias("idf")).write.parquet(f"{path}/terms")
+    numbered.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.col("dl").cast("double")), F.lit(0.0)).alias("avgdl")).write.parquet(f"{path}/figures")
+    n, avgdl = spark.read.parquet(f"{path}/figures").first()
+    cut = rows.join(_near(numbered), "doc_id").select("number", "block", "dl", tokens("text").alias("t")).where("size(t) > 0")
+    postings = cut.select("number", "block", "dl", F.explode(F.expr(COUNTED)).alias("x")).select("x.term", "block", "number", "x.tf", "dl")
+    postings = postings.withColumn("shard", F.pmod(F.xxhash64("block"), F.lit(shards)).cast("int"))
+    postings.repartition(shards, "shard").sortWithinPartitions("shard", "term", "block").write.partitionBy("shard").parquet(f"{path}/postings")
+    heads = spark.read.schema(POSTINGS).parquet(f"{path}/postings").groupBy("shard", "term", "block").agg(F.count("*").alias("n"), F.max(_share(F.lit(avgdl))).alias("most"))
+    heads.repartition(shards, "shard").sortWithinPartitions("shard", "term", "block").select("term", "block", "n", "most", "shard").write.partitionBy("shard").parquet(f"{path}/heads")
+    df = spark.read.schema(HEADS).parquet(f"{path}/heads").groupBy("term").agg(F.sum("n").alias("df"))
+    df.select("term", "df", F.log((F.lit(n) + 1) / F.col("df")).alias("idf")).write.parquet(f"{path}/terms")
     return load(spark, path)
 
 
 @dataclass(frozen=True)
 class Index:
     docs: DataFrame
-    blocks: DataFrame
+    postings: DataFrame
+    heads: DataFrame
     terms: DataFrame
-    buckets: int
+    avgdl: float
 
     def search(self, queries: DataFrame, top_k: int = 10, first: int = FIRST) -> tuple[DataFrame, DataFrame]:
         """The top `top_k` for each of `queries(query_id, text)`: `query_id, doc_id, score, rank`, as `lexical.bm25plus` gives them; and
-        what that took: `query_id, n_postings, n_scored, n_blocks, n_opened`.
+        what that took: `query_id, n_postings, n_scored, n_blocks, n_opened`, blocks being ranges with a term of the query.
         """
         wanted = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-        known = wanted.join(self.terms, "term").select("query_id", "term", bucket_of(self.buckets).alias("bucket"), (F.col("qtf") * F.col("idf")).alias("weight"))
-        known = written(known, "inverted-asked")
-        near = F.broadcast if known.count() <= BROADCAST_TERMS else lambda df: df
+        known = written(wanted.join(self.terms, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "inverted-asked")
+        asked = _near(known)
         base = known.groupBy("query_id").agg(F.sum(F.col("weight") * DELTA).alias("base"))
-        # Of the blocks only their heads are read here.
-        heads = self.blocks.select("bucket", "term", "block", "n", "most").join(near(known), ["bucket", "term"])
-        heads = written(heads.select("query_id", "bucket", "term", "block", "n", "weight", (F.col("weight") * F.col("most")).alias("most")), "inverted-heads")
-        bounds = heads.groupBy("query_id", "block").agg(F.sum("most").alias("bound")).join(base, "query_id")
+        heads = self.heads.join(asked, "term").groupBy("query_id", "block").agg(F.sum(F.col("weight") * F.col("most")).alias("bound"), F.sum("n").alias("n"))
         order = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "block")
-        bounds = written(bounds.withColumn("nth", F.row_number().over(order)), "inverted-bounds")
+        bounds = written(heads.join(base, "query_id").withColumn("nth", F.row_number().over(order)), "inverted-bounds")
         best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "number")
         ranked = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
-        early = written(ranked(self._scored(heads, bounds.where(F.col("nth") <= first))), "inverted-early")
+        early = written(ranked(self._scored(asked, bounds.where(F.col("nth") <= first))), "inverted-early")
         kth = early.where(F.col("rank") == top_k).select("query_id", F.col("score").alias("kth"))
         # Scores are rounded to six places, so a bound may be short of one by as much.
         later = bounds.where(F.col("nth") > first).join(kth, "query_id", "left").where("kth IS NULL OR base + bound + 2e-6 >= kth")
-        later = written(later.select("query_id", "block", "base", "nth"), "inverted-later")
-        found = written(ranked(early.drop("rank").unionByName(self._scored(heads, later))).select("query_id", "number", "score"), "inverted-found")
+        later = written(later.select("query_id", "block", "base"), "inverted-later")
+        found = written(ranked(early.drop("rank").unionByName(self._scored(asked, later))).select("query_id", "number", "score"), "inverted-found")
         # Queries with fewer: the first other documents in tie order are among the first 2k.
         count = found.groupBy("query_id").agg(F.count("*").alias("m"))
         short = base.join(count, "query_id", "left").where(F.coalesce("m", F.lit(0)) < top_k).select("query_id", "base")
@@ -96,24 +107,26 @@ class Index:
         extra = short.crossJoin(F.broadcast(filler)).join(found.select("query_id", "number"), ["query_id", "number"], "left_anti")
         every = ranked(found.unionByName(extra.select("query_id", "number", F.round("base", 6).alias("score")))).where("score > 0")
         top = every.join(self.docs.select("number", "doc_id"), "number").select("query_id", "doc_id", "score", "rank")
-        opened = bounds.where(F.col("nth") <= first).select("query_id", "block").unionByName(later.select("query_id", "block")).withColumn("opened", F.lit(True))
-        spent = heads.groupBy("query_id", "block").agg(F.sum("n").alias("n")).join(opened, ["query_id", "block"], "left").groupBy("query_id")
-        work = spent.agg(
-            F.sum("n").alias("n_postings"), F.sum(F.when(F.col("opened"), F.col("n")).otherwise(0)).alias("n_scored"), F.count("*").alias("n_blocks"), F.count("opened").alias("n_opened")
+        opened = later.select("query_id", "block").withColumn("late", F.lit(True))
+        spent = bounds.join(opened, ["query_id", "block"], "left").withColumn("opened", F.coalesce("late", F.col("nth") <= first))
+        work = spent.groupBy("query_id").agg(
+            F.sum("n").alias("n_postings"), F.sum(F.when(F.col("opened"), F.col("n")).otherwise(0)).alias("n_scored"), F.count("*").alias("n_blocks"), F.count_if("opened").alias("n_opened")
         )
         return top, work
 
-    def _scored(self, heads: DataFrame, opened: DataFrame) -> DataFrame:
-        """Scores of all documents of the opened ranges that hold a term of the query."""
-        asked = heads.drop("n", "most").join(opened.select("query_id", "block", "base"), ["query_id", "block"])
-        hits = self.blocks.select("bucket", "term", "block", "postings").join(asked, ["bucket", "term", "block"])
-        hits = hits.select("query_id", "base", "weight", F.explode("postings").alias("p"))
-        parts = hits.groupBy("query_id", "p.number").agg(F.sum(F.col("weight") * F.col("p.share")).alias("part"), F.first("base").alias("base"))
+    def _scored(self, asked: DataFrame, opened: DataFrame) -> DataFrame:
+        """Scores of all documents of the opened ranges that hold a term of the query. A document's postings lie in one shard."""
+        opened = written(opened.select("query_id", "block", "base"), "inverted-opened")
+        hits = self.postings.join(F.broadcast(opened.select("block").distinct()), "block", "left_semi") if opened.count() <= BROADCAST_ROWS else self.postings
+        hits = hits.join(asked, "term").join(_near(opened), ["query_id", "block"])
+        parts = hits.groupBy("query_id", "number").agg(F.sum(F.col("weight") * _share(F.lit(self.avgdl))).alias("part"), F.first("base").alias("base"))
         return parts.select("query_id", "number", F.round(F.col("base") + F.col("part"), 6).alias("score"))
 
 
 def load(spark: SparkSession, path: str) -> Index:
     """An index that `build` has written."""
-    docs, figures = spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/figures")
     terms = spark.read.schema("term string, df long, idf double").parquet(f"{path}/terms")
-    return Index(docs, spark.read.schema(BLOCK).parquet(f"{path}/blocks"), terms, figures.first().buckets)
+    return Index(
+        spark.read.parquet(f"{path}/docs"), spark.read.schema(POSTINGS).parquet(f"{path}/postings"), spark.read.schema(HEADS).parquet(f"{path}/heads"), terms,
+        spark.read.parquet(f"{path}/figures").first().avgdl,
+    )

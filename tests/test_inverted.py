@@ -26,7 +26,7 @@ def test_equals_the_full_ranking_and_scores_less(spark):
     asked = [(i, f"w1 w{i * 7 + 3} w{i * 31 + 20} w{i * 31 + 20}") for i in range(40)] + [(90, "only here"), (91, "nowhere"), (92, ""), (93, "W1 w2!w3")]
     queries = spark.createDataFrame(asked, "query_id long, text string")
     for k, size in ((1, 2), (5, 4), (10, 16), (600, 8)):
-        index = inverted.build(docs, new_path(spark, "test-bm25"), block_docs=size, buckets=3)
+        index = inverted.build(docs, new_path(spark, "test-bm25"), block_docs=size, shards=3)
         top, work = index.search(queries, k, first=4)
         assert ranked(top) == ranked(lexical.bm25plus(docs, queries, k)), (k, size)
         total = work.agg(F.sum("n_postings").alias("a"), F.sum("n_scored").alias("b")).first()
@@ -52,9 +52,15 @@ def test_odd_documents(spark):
     assert empty.search(queries)[0].collect() == []
 
 
-def test_only_heads_are_read_for_the_bounds(spark):
-    """Postings are not read where the bounds are made: the column is pruned, and buckets without terms are too."""
+def test_counts_of_tokens(spark):
+    df = spark.createDataFrame([(["b", "a", "b", "c", "b"],), (["x"],)], "t array<string>")
+    assert [[tuple(x) for x in r.c] for r in df.select(F.expr(inverted.COUNTED).alias("c")).collect()] == [[("a", 1), ("b", 3), ("c", 1)], [("x", 1)]]
+
+
+def test_postings_are_not_shuffled_for_a_search(spark):
     docs = corpus(spark, 100)
-    index = inverted.build(docs, new_path(spark, "test-bm25"), buckets=8)
-    plan = index.blocks.where("bucket = 3").select("bucket", "term", "n")._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(bucket" in plan and "postings" not in plan.split("ReadSchema")[-1]
+    index = inverted.build(docs, new_path(spark, "test-bm25"), shards=4)
+    asked = spark.createDataFrame([(1, "w1", 1.0)], "query_id long, term string, weight double")
+    opened = spark.createDataFrame([(1, 3, 0.5)], "query_id long, block long, base double")
+    plan = index._scored(F.broadcast(asked), opened)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "partial_sum" in plan
