@@ -256,7 +256,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def select(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, with all their columns, that `near_dedup` keeps: of each component that of the least id."""
+    """The rows of `docs`, with all their columns, that `near_dedup` keeps: of each component that of the least id.
+
+    Rows without text, without words or without id are linked with nothing and stay. Rows that repeat an id are one document: they stay
+    or go together. The order of rows is free; an empty table gives an empty one. Columns keep their names, whatever these are.
+    """
     lost = written(near_dedup(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_lost")).distinct(), "minhash-lost")
     if lost.count() <= BROADCAST_IDS:
         lost = F.broadcast(lost)

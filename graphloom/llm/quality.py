@@ -188,6 +188,6 @@ def score(docs: DataFrame, model: Model, least_tail: float = LEAST_TAIL) -> Data
 
 
 def select(docs: DataFrame, model: Model, least_tail: float = LEAST_TAIL) -> DataFrame:
-    """The rows of `docs`, with all their columns, that `score` keeps."""
+    """The rows of `docs`, with all their columns, that `score` keeps: null texts as empty ones, rows that repeat alike, none of none."""
     # a struct keeps the documents' own columns apart from the verdict
     return docs.select(F.struct("*").alias("row"), _verdicts(docs, model).alias("v")).where(F.col("v.tail") >= least_tail).select("row.*")

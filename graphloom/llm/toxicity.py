@@ -28,6 +28,7 @@ SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
 STEPS, RATE, L2 = 200, 0.05, 1e-4
 #: The most labelled rows that the model is fitted on: toxic ones are few, and their words must be met.
+#: Chosen on a fifth of the training rows: of 437 toxic ones 374, 410 and 422 are caught with 4,000, 8,000 and 16,000 rows (check_s).
 MAX_TRAIN = 8_000
 
 
