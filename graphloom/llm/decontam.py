@@ -13,7 +13,9 @@ SHARE hundredths or more. Such a window holds at least 3 (v + n) / 7 occurrences
   finds, whatever the bits, all pairs that differ in fewer than BLOCKS bits; a pair at the least similarity differs in
   62 of 504 bits on the mean and is missed with probability 1e-6 (where all other shingles of the window belong to other
   items of the same length, 1e-3). Two sets that have nothing in common meet in 3 % of cases.
-* Pairs within RADIUS bits are measured exactly.
+* What the fingerprints miss is found by the sets themselves: with features ordered by the number of items that hold them, two sets with
+  t features in common share one of the first a - t + 1 of either (a being its size). So no pair is left to chance.
+* Pairs within RADIUS bits, and those that share such a rare feature, are measured exactly.
 * Items of COARSE shingles and more take windows in steps of n / COARSE, of which the nearest to a match falls short by less than a step;
   what comes near is then measured at every start, by running sums over the item's shingles in the document. So no row
   holds more than about COARSE / 7 windows, and of such an item the best window of a document is told.
@@ -76,6 +78,9 @@ filter(sequence(0, size(hits) - 1), k -> get(hits, k).p DIV stretch = part
   AND (k = 0 OR get(hits, k).p DIV {STEP} <> get(hits, k - 1).p DIV {STEP} OR get(hits, k - 1).p < w - v AND get(hits, k).p >= w - v))
 """
 
+#: The same of an item, for the least `v` of a window that can match it: three quarters of its size.
+NEAR_LEAST = f"greatest(1, CAST(({SHARE} * n + 99) DIV 100 AS INT) - {STEP} + 1)"
+
 #: Those hits' windows: start and sorted shingles.
 WINDOWS = f"""
 transform({STARTS}, k -> named_struct('start', least(get(hits, k).p, w - v),
@@ -113,6 +118,17 @@ def blocks() -> Column:
     ])
 
 
+def rarest(sets: DataFrame, features: str, counts: DataFrame, least: str) -> DataFrame:
+    """`sets` with each of its first features `f` by `counts(n, f, c)`, in as many rows: of two sets with `least` in common one is in both.
+
+    Features that no item of the length holds are in no common part, and sets with less than `least` others are left out.
+    """
+    keys = [c for c in sets.columns if c != features]
+    each = sets.select(*keys, F.explode(features).alias("f")).join(counts, ["n", "f"])
+    ranked = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("c", "f"))).alias("fs"))
+    return ranked.where(f"size(fs) >= {least}").select(*keys, F.explode(F.expr(f"slice(fs, 1, size(fs) - {least} + 1)")).alias("x")).select(*keys, "x.f")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`(_id, _h, item_id, start, similarity)`: windows found and the items they match; start counts shingles from 0.
 
@@ -149,10 +165,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         .join(near(theirs.select("n", "i1", "i2", F.explode(blocks()).alias("x")).select("n", "i1", "i2", "x.*"), 2 * BLOCKS * n_items), ["n", "block", "bits"])
         .select("k1", "k2", "i1", "i2").distinct()
     )
+    # every pair that can match, whatever its fingerprints
+    counts = theirs.select("n", F.explode("item_features").alias("f")).groupBy("n", "f").agg(F.count("*").alias("c"))
+    counts = near(written(counts, "decontam-counts"), 2 * n_shingles)
+    first = rarest(theirs.select("n", "i1", "i2", "item_features"), "item_features", counts, NEAR_LEAST)
+    shared = rarest(ours.select("n", "v", "k1", "k2", "features"), "features", counts, NEAR).join(near(written(first, "decontam-first"), 2 * n_shingles), ["n", "f"])
+    met = met.withColumn("rare", F.lit(False)).unionByName(shared.select("k1", "k2", "i1", "i2", F.lit(True).alias("rare")))
+    met = met.groupBy("k1", "k2", "i1", "i2").agg(F.max("rare").alias("rare"))
     differ = F.expr("aggregate(zip_with(fp, item_fp, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)")
     measured = (
         met.join(ours.select("k1", "k2", "v", "features", "fp"), ["k1", "k2"])
-        .join(near(theirs.withColumnRenamed("fp", "item_fp"), n_shingles + 8 * n_items), ["i1", "i2"]).where(differ <= RADIUS)
+        .join(near(theirs.withColumnRenamed("fp", "item_fp"), n_shingles + 8 * n_items), ["i1", "i2"]).where(F.col("rare") | (differ <= RADIUS))
         .withColumn("c", F.size(F.array_intersect("features", "item_features"))).withColumn("u", F.expr("v + n - c"))
         .where(f"100 * (c + {STEP} - 1) >= {SHARE} * (v + n - (c + {STEP} - 1))").select("n", "k1", "k2", "i1", "i2", (F.col("c") / F.col("u")).alias("similarity"))
     )

@@ -158,3 +158,14 @@ def test_long_items_equal_brute_force(spark):
     assert got(told) == want
     high = best(rows, items)
     assert all(abs(r.best_similarity - high.get(r.doc_id, 0.0)) < 1e-9 for r in told.collect())
+
+
+def test_no_match_is_left_to_chance(spark):
+    """A passage at 48 of 56 shingles, the others being those of another item of its length: its fingerprint shares no block with the item's."""
+    rng = random.Random(3571)
+    words = lambda n: [f"{rng.randrange(10**6)}" for _ in range(n)]
+    item, tail = words(60), words(8)
+    items = [(1, " ".join(item)), (2, " ".join(words(48) + item[48:52] + tail))]
+    rows = [(1, " ".join(item[:52] + tail))]
+    assert brute(rows, items) == [(1, (1,))]
+    assert got(decontaminate(table(spark, rows), bench(spark, items))) == brute(rows, items)
