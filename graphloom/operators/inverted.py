@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import tokens
 from graphloom.operators import ranges
-from graphloom.operators.lexical import DELTA, K1, B
+from graphloom.operators.lexical import COUNTED, DELTA, K1, B
 from graphloom.storage import written
 
 #: Documents of a range, and ranges that are opened for each query first.
@@ -28,12 +28,6 @@ BROADCAST_ROWS = 500_000
 POSTINGS = "term string, block long, number long, tf int, dl long, shard int"
 HEADS = "term string, block long, n long, most double, shard int"
 
-#: Of the tokens `t` each distinct one and how often it is there: the ends of the runs of the sorted array.
-COUNTED = """
-transform(array(array_sort(t)), st -> transform(array(filter(sequence(0, size(st) - 1), i -> i = size(st) - 1 OR get(st, i) <> get(st, i + 1))),
-  en -> transform(en, (e, k) -> named_struct('term', get(st, e), 'tf', e - coalesce(get(en, k - 1), -1))))[0])[0]
-"""
-
 
 def _share(avgdl):
     return F.col("tf") * (K1 + 1) / (K1 * (1 - B + B * F.col("dl") / avgdl) + F.col("tf"))
