@@ -75,6 +75,7 @@ def bfs_depth2(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def _scored(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, issues: DataFrame) -> DataFrame:
+    edges, nodes = written(edges, "edges"), written(nodes.select("id", "type", "file"), "nodes")  # much to make, and read more than once
     found = graph.evidence(_paths(edges, seeds), seeds, graph.file_of_nodes(nodes))
     hints = issues.select("query_id", graph.token_set("text").alias("tokens"))
     return graph.evidence_score(found, hints, graph.hub_degree(nodes, edges))
