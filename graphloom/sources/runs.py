@@ -91,10 +91,21 @@ def save_results(detailed: DataFrame, summary: DataFrame, path: str) -> None:
 
 
 def read_summaries(spark: SparkSession, root: str, schema: str, name: str = "summary.json") -> DataFrame:
-    """One JSON document for each run folder; broken ones are dropped."""
-    text = spark.read.option("wholetext", True).text(f"{root}/*/{name}")
-    run = F.element_at(F.split(F.input_file_name(), "/"), -2)
-    return text.select(run.alias("run_id"), F.from_json("value", schema).alias("j")).where("j IS NOT NULL").select("run_id", "j.*")
+    """One JSON document for each run folder; broken ones are dropped. Spark's tasks list the folders, not the driver one by one."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    system = fs.Path(root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    depth = len(system.makeQualified(fs.Path(root)).toUri().getPath().rstrip("/").split("/"))
+    reader = lambda: spark.read.option("wholetext", True)
+    text = reader().option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root)
+    text = text.select("value", F.input_file_name().alias("at"))
+    # Folders that such a listing hides, which are few.
+    hidden = [s.getPath() for s in system.globStatus(fs.Path(f"{root}/[_.]*/{name}")) or []]
+    hidden = [p.toString() for p in hidden if not (p.getParent().getName().startswith("_") and "=" in p.getParent().getName())]
+    if hidden:
+        text = text.unionByName(reader().text(hidden).select("value", F.input_file_name().alias("at")))
+    parts = F.split(F.regexp_replace("at", "^[A-Za-z0-9+.-]+:(//[^/]*)?", ""), "/")
+    text = text.where(F.size(parts) == depth + 2).select(F.element_at(parts, -2).alias("run_id"), F.from_json("value", schema).alias("j"))
+    return text.where("j IS NOT NULL").select("run_id", "j.*")
 
 
 def latex_pivot(rows: DataFrame, methods: Sequence[str], by: str = "repo", value: str = "f1") -> DataFrame:
