@@ -42,3 +42,18 @@ def test_words_are_those_of_tokens(spark, monkeypatch):
     want = rows.select(F.explode("t").alias("term"), "doc_id").groupBy("term", "doc_id").count().select("term", "doc_id", "count")
     assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
     assert {r.term: r.df for r in index.terms.collect()} == {r.term: r["count"] for r in want.groupBy("term").count().collect()}
+
+
+def test_an_index_asked_twice_is_cut_into_words_once(spark, monkeypatch):
+    from graphloom.plans import queries_text
+
+    made = []
+    written = inverted.written
+    monkeypatch.setattr(inverted, "written", lambda df, name: (made.append(name), written(df, name))[1])
+    monkeypatch.setattr(inverted, "TEXT_BYTES", 1_000)
+    docs = spark.createDataFrame([(i, f"a w{i % 7}", "s") for i in range(30)], "doc_id long, text string, source string")
+    items = spark.createDataFrame([(i, f"a w{i}") for i in range(4)], "query_id long, text string")
+    got = queries_text.bm25_index_twice(docs, items)
+    want = {i: [tuple(r) for r in lexical.bm25plus(docs, items.where(F.col("query_id") == i), 10 if i % 2 == 0 else 3).collect()] for i in range(4)}
+    assert sorted(tuple(r) for r in got.collect()) == sorted(r for rows in want.values() for r in rows)
+    assert made.count("inverted-counted") == 1 and "inverted-sizes" not in made
