@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import tokens
 from graphloom.operators.lexical import COUNTED, DELTA, K1, B  # noqa: F401
 from graphloom.shipping import ship
-from graphloom.storage import written
+from graphloom.storage import discard, written
 
 #: Documents of a range, and ranges that are opened for each query first.
 BLOCK_DOCS, FIRST = 4, 32
@@ -139,6 +139,7 @@ def build(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
     dealt = counted.where("dl > 0").repartition(shards, "doc_id").sortWithinPartitions("dl", "doc_id").withColumn("shard", F.spark_partition_id())
     schema = f"term string, shard int, n long, blocks array<long>, ns array<int>, mosts array<double>, docs array<{kind}>, places array<long>, tfs array<int>, dls array<long>"
     dealt.mapInArrow(_segments(block_docs, avgdl), schema).write.parquet(f"{path}/segments")
+    discard(counted)
     df = spark.read.schema(schema).parquet(f"{path}/segments").groupBy("term").agg(F.sum("n").alias("df"))
     df.select("term", "df", F.log((F.lit(n) + 1) / F.col("df")).alias("idf")).write.parquet(f"{path}/terms")
     return load(spark, path)
