@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.shipping import ship
+from graphloom.storage import store
+
 CHECKPOINT = "instance_id string, prediction string, per_instance string"
 MERGED_FILE = "predictions_partial.jsonl"
+#: Tasks at most that list folders; Spark's own bound is a task for each of 10,000.
+LISTING = 64
 
 
 def checkpoint_order(path: Column) -> Column:
@@ -90,19 +96,50 @@ def save_results(detailed: DataFrame, summary: DataFrame, path: str) -> None:
         summary.write.mode("overwrite").json(f"{at}/summary")
 
 
+def save_summaries(rows: DataFrame, root: str, name: str = "summary.json") -> None:
+    """The folder of each of `rows(run_id, value)` with its document. Tasks write them, however few bytes they are; a document has its name
+    once it is whole. `root` is a path or URI that all machines can open.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+
+    def put(runs: Iterator[Row]) -> None:
+        system, base = store(root)
+        for run_id, value in runs:
+            at = f"{base}/{run_id}"
+            system.create_dir(at, recursive=True)
+            part = f"{at}/.{name}.{uuid.uuid4().hex}"
+            with system.open_output_stream(part, compression=None) as out:
+                out.write(value.encode())
+            system.move(part, f"{at}/{name}")
+
+    # With a number of its own the exchange is not made one task, as a writer of small rows would be.
+    rows.select("run_id", "value").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "run_id").foreachPartition(put)
+
+
 def read_summaries(spark: SparkSession, root: str, schema: str, name: str = "summary.json") -> DataFrame:
-    """One JSON document for each run folder; broken ones are dropped. Spark's tasks list the folders, not the driver one by one."""
+    """One JSON document for each run folder; broken ones are dropped. Some of Spark's tasks list the folders, not the driver one by one."""
     fs = spark._jvm.org.apache.hadoop.fs
     system = fs.Path(root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     depth = len(system.makeQualified(fs.Path(root)).toUri().getPath().rstrip("/").split("/"))
-    reader = lambda: spark.read.option("wholetext", True)
-    text = reader().option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root)
-    text = text.select("value", F.input_file_name().alias("at"))
+    # What has this ending is not compressed, and is read without a look for its codec, which takes longer than the file.
+    if name.endswith(".json"):
+        reader, value = (lambda: spark.read.format("binaryFile")), F.col("content").cast("string").alias("value")
+    else:
+        reader, value = (lambda: spark.read.format("text").option("wholetext", True)), F.col("value")
+    tasks = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    kept = spark.conf.get(tasks)
+    spark.conf.set(tasks, str(min(int(kept), LISTING)))  # folders are listed as the reader is made
+    try:
+        text = reader().option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root)
+    finally:
+        spark.conf.set(tasks, kept)
+    text = text.select(value, F.input_file_name().alias("at"))
     # Folders that such a listing hides, which are few.
     hidden = [s.getPath() for s in system.globStatus(fs.Path(f"{root}/[_.]*/{name}")) or []]
     hidden = [p.toString() for p in hidden if not (p.getParent().getName().startswith("_") and "=" in p.getParent().getName())]
     if hidden:
-        text = text.unionByName(reader().text(hidden).select("value", F.input_file_name().alias("at")))
+        text = text.unionByName(reader().load(hidden).select(value, F.input_file_name().alias("at")))
     parts = F.split(F.regexp_replace("at", "^[A-Za-z0-9+.-]+:(//[^/]*)?", ""), "/")
     text = text.where(F.size(parts) == depth + 2).select(F.element_at(parts, -2).alias("run_id"), F.from_json("value", schema).alias("j"))
     return text.where("j IS NOT NULL").select("run_id", "j.*")
